@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from catalogspark.schemas import STRING_MAP, STRINGS
 
 # Workers get this module's Python functions with the query, whether or not they have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,6 +37,13 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 # A table row or cell ends where the next one starts.
 ENDS_OPEN = {"tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
+ENRICHMENT_SCHEMA = T.StructType(
+    [
+        T.StructField("pack_size", T.StringType()),
+        T.StructField("specifications", STRING_MAP),
+        T.StructField("alternative_products", STRINGS),
+    ]
+)
 ENRICHMENT_TYPE = pa.struct(
     [
         ("pack_size", pa.string()),
@@ -132,7 +142,7 @@ def read_fields(page: str) -> dict:
     }
 
 
-@F.arrow_udf("pack_size string, specifications map<string,string>, alternative_products array<string>")
+@F.arrow_udf(ENRICHMENT_SCHEMA)
 def _read_fields(pages: pa.Array) -> pa.Array:
     fields = [None if page is None else read_fields(page) for page in pages.to_pylist()]
     return pa.array(fields, type=ENRICHMENT_TYPE)

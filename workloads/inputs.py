@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from catalogspark.operators.ordering import first_seen
 from catalogspark.schemas import PRODUCT_SCHEMA
 from catalogspark.site import SiteConfig
+from catalogspark.sources.store import make_state
 
 SITE = SiteConfig()
 RUN_AT = "2024-06-01 00:00:00"
@@ -207,7 +209,7 @@ def observations(lineitem: DataFrame) -> DataFrame:
         "sku": F.col("l_partkey").cast("string"),
         "name": F.concat(F.lit("Part "), "l_partkey"),
         "product_url": F.concat(F.lit(f"{SITE.base}/product/p-"), "l_partkey"),
-        "category_path": F.array(F.col("l_shipmode")) if "l_shipmode" in lineitem.columns else none,
+        "category_path": none,
         "brand": F.when(F.col("l_discount") > 0.05, "Brand"),
         "price": F.round("l_extendedprice", 2).cast("decimal(18,4)"),
         "price_text": F.format_string("%.2f", "l_extendedprice"),
@@ -285,7 +287,7 @@ def categories(supplier: DataFrame) -> DataFrame:
     )
 
 
-def listing_replies(lineitem: DataFrame, page_size: int = 40, part_pages_only: bool = False) -> DataFrame:
+def listing_replies(lineitem: DataFrame, page_size: int = 40) -> DataFrame:
     """Search replies per category and page; a few pages are lost, empty or not JSON."""
     hits = listing_hits(lineitem)
     no = F.row_number().over(W.partitionBy("category").orderBy(*SEEN)) - 1
@@ -331,7 +333,42 @@ def recs_replies(lineitem: DataFrame) -> DataFrame:
         chosen = F.filter("items", lambda i: i["l_suppkey"] % 2 == parity)
         return F.to_json(F.struct(F.lit(name).alias("unitName"), F.transform(chosen, product).alias("products")))
 
-    payload = F.concat(F.lit('{"results":[null,'), unit("even", 0), F.lit(',{"products":"none"},'), unit("odd", 1), F.lit("]}"))
-    return orders.select(
+    payload = F.concat(
+        F.lit('{"results":[null,'), unit("even", 0), F.lit(',{"products":"none"},'), unit("odd", 1), F.lit("]}")
+    )
+    replies = orders.select(
         "l_orderkey", F.col("items")[0]["l_partkey"].cast("string").alias("sku"), payload.alias("payload")
     )
+    return first_seen(replies, "sku", "l_orderkey")
+
+
+def prior_states(part: DataFrame) -> DataFrame:
+    """States of an earlier run: of every eleven parts one is done, one failed and one only discovered."""
+    status = F.expr("CASE p_partkey % 11 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'discovered' END")
+    before = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return part.where(status.isNotNull()).select(
+        *make_state(
+            product_url(),
+            F.lit("earlier"),
+            status,
+            F.when(status == "done", F.concat(F.lit("SKU-"), "p_partkey")),
+            F.when(status == "failed", "unknown"),
+            before,
+        )
+    )
+
+
+def prior_products(part: DataFrame) -> DataFrame:
+    """Products of the earlier run: the parts that are done."""
+    values = {
+        "sku": F.concat(F.lit("SKU-"), "p_partkey"),
+        "name": F.concat(F.lit("old "), "p_name"),
+        "product_url": product_url(),
+        "extracted_at": F.lit("2024-01-01 00:00:00"),
+        "extraction_method": F.lit("json_ld"),
+        "source_category": F.lit("earlier"),
+    }
+    done = part.where(F.col("p_partkey") % 11 == 0)
+    return done.select(
+        *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PRODUCT_SCHEMA.fields]
+    )
