@@ -318,7 +318,7 @@ def listing_replies(lineitem: DataFrame, page_size: int = 40) -> DataFrame:
     )
 
 
-def recs_replies(lineitem: DataFrame) -> DataFrame:
+def recs_replies(lineitem: DataFrame, prefix: str = "") -> DataFrame:
     """Recommendations for the first line's part of each order: the order's lines in two units."""
     item = F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
     orders = lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
@@ -327,7 +327,7 @@ def recs_replies(lineitem: DataFrame) -> DataFrame:
         url = F.when(
             i["l_linenumber"] % 3 == 0, F.concat(F.lit("//shop.example.com/product/p-"), i["l_partkey"])
         ).otherwise(F.concat(F.lit("/product/p-"), i["l_partkey"]))
-        return F.struct(i["l_partkey"].cast("string").alias("sku"), url.alias("url"))
+        return F.struct(F.concat(F.lit(prefix), i["l_partkey"]).alias("sku"), url.alias("url"))
 
     def unit(name: str, parity: int) -> Column:
         chosen = F.filter("items", lambda i: i["l_suppkey"] % 2 == parity)
@@ -337,7 +337,7 @@ def recs_replies(lineitem: DataFrame) -> DataFrame:
         F.lit('{"results":[null,'), unit("even", 0), F.lit(',{"products":"none"},'), unit("odd", 1), F.lit("]}")
     )
     replies = orders.select(
-        "l_orderkey", F.col("items")[0]["l_partkey"].cast("string").alias("sku"), payload.alias("payload")
+        "l_orderkey", F.concat(F.lit(prefix), F.col("items")[0]["l_partkey"]).alias("sku"), payload.alias("payload")
     )
     return first_seen(replies, "sku", "l_orderkey")
 

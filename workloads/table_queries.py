@@ -33,15 +33,13 @@ def canonical_categories(spark, sf_dir):
     return found.select("name", "url", "slug", "position")
 
 
-@query(f"""SELECT 's-' || l_suppkey AS category, '{BASE}/product/p-' || l_partkey AS url, count(*) AS sightings
-FROM lineitem WHERE l_linenumber % 4 <> 3 GROUP BY ALL""")
+@query(f"""SELECT 's-' || l_suppkey AS category, '{BASE}/product/p-' || l_partkey AS url, l_orderkey, l_linenumber FROM
+(SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY {SEEN_SQL}) AS rn FROM lineitem WHERE l_linenumber % 4 <> 3)
+WHERE rn = 1""")
 def canonical_product_urls(spark, sf_dir):
-    """Distinct product URLs per category, with how often each was listed."""
     hits = inputs.listing_hits(table(spark, sf_dir, "lineitem"))
     first = discovery.canonical_product_urls(hits, SITE, keys=("category", "url"), order=SEEN)
-    each = discovery.canonical_product_urls(hits, SITE, keys=("category", "url", *SEEN[:3]), order=SEEN)
-    sightings = each.groupBy("category", "url").agg(F.count("*").alias("sightings"))
-    return first.select("category", "url").join(sightings, ["category", "url"])
+    return first.select("category", "url", "l_orderkey", "l_linenumber")
 
 
 _LINK_FORMS = f"""CASE page_id % 4 WHEN 0 THEN substr(url, 6) WHEN 1 THEN '/product/' || page_id
@@ -65,17 +63,11 @@ def category_from_slug(spark, sf_dir):
     return discovery.category_from_slug(table(spark, sf_dir, "part").select("p_partkey", slug.alias("slug")), SITE)
 
 
-@query(f"""SELECT slug AS name, '{BASE}/catalog/' || slug AS url, slug, min(position) AS position
-FROM (SELECT (page_id << 32) + i - 1 AS position, slugs[i] AS slug
-  FROM (SELECT page_id, slugs, unnest(range(1, len(slugs) + 1)) AS i
-    FROM (SELECT page_id, list_distinct_in_order AS slugs FROM
-      (SELECT page_id, list_filter(w, (x, k) -> list_position(w, x) = k) AS list_distinct_in_order FROM
-        (SELECT page_id, list_concat(modern, ['category' || repeat('', 1)], legacy) AS w0,
-                list_concat(modern, CASE WHEN page_id % 2 = 0 THEN ['category'] ELSE [] END, legacy) AS w FROM
-          (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN [] ELSE words END AS modern,
-                  CASE WHEN page_id % 2 = 0 THEN words ELSE [] END AS legacy FROM
-            (SELECT page_id, list_transform(regexp_extract_all(html, 'href="/([A-Za-z0-9][A-Za-z0-9-]*)"', 1), x -> lower(x)) AS words
-             FROM pages)))))))
+@query(f"""SELECT slug AS name, '{BASE}/catalog/' || slug AS url, slug, min((page_id << 32) + place + (page_id + 1) % 2) AS position FROM
+(SELECT page_id, slug, row_number() OVER (PARTITION BY page_id ORDER BY min(i)) - 1 AS place FROM
+  (SELECT page_id, lower(unnest(words)) AS slug, generate_subscripts(words, 1) AS i FROM
+    (SELECT page_id, regexp_extract_all(html, 'href="/([A-Za-z0-9][A-Za-z0-9-]*)"', 1) AS words FROM pages))
+ GROUP BY page_id, slug)
 WHERE slug <> 'category' GROUP BY slug""")
 def discovered_categories(spark, sf_dir):
     """The navigation links of every page as category links, in the legacy form on each second page."""
@@ -223,8 +215,7 @@ def top_alternatives(spark, sf_dir):
 @query(f"""SELECT 'SKU-' || p_partkey AS sku, coalesce(alternatives, '') AS alternative_products FROM part
 LEFT JOIN {top_recs(8)} ON sku = p_partkey WHERE p_partkey % 11 = 0""")
 def attached_alternatives(spark, sf_dir):
-    replies = inputs.recs_replies(table(spark, sf_dir, "lineitem")).withColumn("sku", F.concat(F.lit("SKU-"), "sku"))
-    found = recs.explode_recs(replies).withColumn("rec_sku", F.concat(F.lit("SKU-"), "rec_sku"))
+    found = recs.explode_recs(inputs.recs_replies(table(spark, sf_dir, "lineitem"), "SKU-"))
     products = inputs.prior_products(table(spark, sf_dir, "part"))
     attached = alternatives.attach_alternatives(products, alternatives.top_alternatives(found, site=SITE))
     return attached.select("sku", joined(F.col("alternative_products")).alias("alternative_products"))
@@ -331,7 +322,7 @@ def batch_table(spark, sf_dir):
     path = new_dir(spark, "products")
     products = store.products_table(spark, path)
     sightings = observations(spark, sf_dir)
-    products.write_batch(sightings, 0, [F.col(c).desc() for c in SEEN])
+    products.write_batch(sightings, 0, SEEN[::-1])
     products.write_batch(inputs.prior_products(table(spark, sf_dir, "part")), 1, "sku")
     products.write_batch(sightings, 2, SEEN)
     products.write_batch(sightings, 2, SEEN)
@@ -451,14 +442,14 @@ def _rate(method: str) -> str:
     return f"CAST(count(*) FILTER (method = '{method}') AS DOUBLE) / count(*)"
 
 
-_RATES = f"""count(*) AS products, printf('%.6f', {_rate('json_ld')}) AS json_ld_rate, printf('%.6f', {_rate('dom')}) AS dom_rate,
-  printf('%.6f', {_rate('playwright_dom')}) AS playwright_dom_rate, printf('%.6f', {_rate('llm_fallback')}) AS llm_fallback_rate,
+_RATES = f"""count(*) AS products, printf('%.10f', {_rate('json_ld')}) AS json_ld_rate, printf('%.10f', {_rate('dom')}) AS dom_rate,
+  printf('%.10f', {_rate('playwright_dom')}) AS playwright_dom_rate, printf('%.10f', {_rate('llm_fallback')}) AS llm_fallback_rate,
   {_rate('json_ld')} < 0.95 AS low_json_ld, {_rate('llm_fallback')} > 0.1 AS high_llm_fallback"""
 
 
 def _rates_as_text(rates):
     names = [n for n in rates.columns if n.endswith("_rate")]
-    return rates.withColumns({n: F.format_string("%.6f", n) for n in names})
+    return rates.withColumns({n: F.when(F.col(n).isNotNull(), F.format_string("%.10f", n)) for n in names})
 
 
 @query(f"SELECT {_RATES} FROM {OBS}")
@@ -483,7 +474,7 @@ _HEALTH = f"""(SELECT category, urls, f, products, b FROM
   USING (category))"""
 
 
-@query(f"""SELECT category, urls, printf('%.6f', f) AS failure_rate, products, printf('%.6f', b) AS fallback_rate,
+@query(f"""SELECT category, urls, printf('%.10f', f) AS failure_rate, products, printf('%.10f', b) AS fallback_rate,
   f > 2.0 * bf AS failure_spike, coalesce(b > 2.0 * bb, false) AS fallback_spike
 FROM {_HEALTH} JOIN (SELECT 'c-' || (user_id % 7) AS category, avg(CAST(event_type = 'error' AND user_id % 7 < 3 AS INT)) * 0.4 AS bf,
   CASE WHEN user_id % 7 % 2 = 0 THEN 0.05 ELSE 0.9 END AS bb FROM events GROUP BY user_id % 7) USING (category)""")
@@ -501,7 +492,7 @@ def category_health(spark, sf_dir):
     return _rates_as_text(health.drop("base_failure_rate", "base_fallback_rate"))
 
 
-@query("""SELECT doc_id, source AS source_category, lang AS extraction_method, printf('%.6f', avg(quality) OVER
+@query("""SELECT doc_id, source AS source_category, lang AS extraction_method, printf('%.10f', avg(quality) OVER
   (PARTITION BY source, lang ORDER BY doc_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) AS rolling_mean
 FROM labels JOIN documents USING (doc_id)""")
 def quality_rolling_mean(spark, sf_dir):
@@ -510,7 +501,7 @@ def quality_rolling_mean(spark, sf_dir):
     )
     scores = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("score")).join(documents, "doc_id")
     means = reports.quality_rolling_mean(scores, "doc_id", [], 19, chunk_rows=50)
-    return means.withColumn("rolling_mean", F.format_string("%.6f", "rolling_mean")).drop("score")
+    return means.withColumn("rolling_mean", F.format_string("%.10f", "rolling_mean")).drop("score")
 
 
 @query(None)
@@ -530,7 +521,6 @@ WORKED = f"(SELECT * FROM {FRONTIER} JOIN ({WITH_RENDERING}) USING (p_partkey) W
 
 def catalog_run(spark, sf_dir):
     part, lineitem, supplier = (table(spark, sf_dir, n) for n in ("part", "lineitem", "supplier"))
-    replies = inputs.recs_replies(lineitem).withColumn("sku", F.concat(F.lit("SKU-"), "sku"))
     given = catalog_job.CatalogInputs(
         categories=supplier.select(
             F.col("s_name").alias("name"),
@@ -543,7 +533,7 @@ def catalog_run(spark, sf_dir):
         states=inputs.prior_states(part),
         rendered=inputs.rendered_pages(part),
         answers=inputs.fallback_replies(part),
-        recs_payloads=replies,
+        recs_payloads=inputs.recs_replies(lineitem, "SKU-"),
     )
     return catalog_job.run_catalog_job(given, run_at(), SITE)
 
