@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` spread over all cores: its file is one split, but the pages written from it are not small."""
+    return table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+
+
 def run_at() -> Column:
     return F.lit(RUN_AT).cast("timestamp")
 

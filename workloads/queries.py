@@ -102,7 +102,7 @@ PARTIAL_NAMES = ("sku, name, description, brand, price_text, currency, availabil
 
 
 def static_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.product_pages(table(spark, sf_dir, "part"))
+    return inputs.product_pages(inputs.parts(spark, sf_dir))
 
 
 # --- 2.8 column functions ----------------------------------------------------------------------
@@ -296,7 +296,7 @@ FROM ({sql}) JOIN (SELECT p_partkey, {HAS_ANSWER} AS a, {PRICE} AS price FROM pa
 
 @query(f"SELECT p_partkey AS position, {PARTIAL_NAMES}, missing FROM ({filled(STATIC)}) WHERE {ANSWERED}")
 def merge_fallback(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
+    part = inputs.parts(spark, sf_dir)
     read = extraction.extract_partial(inputs.product_pages(part))
     replies = answers.parse_fallback_answers(inputs.fallback_replies(part))
     merged = read.join(replies, "url").withColumn(
@@ -326,7 +326,7 @@ JOIN ({RENDERED}) r USING (p_partkey) JOIN ({filled(RENDERED)}) f USING (p_partk
 
 
 def cascade_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
+    part = inputs.parts(spark, sf_dir)
     return cascade.run_cascade(
         inputs.product_pages(part), inputs.rendered_pages(part), inputs.fallback_replies(part)
     )
@@ -345,7 +345,7 @@ def cascade_with_rendering(spark, sf_dir):
 FROM ({STATIC}) s JOIN (SELECT p_partkey, has_html, CASE WHEN has_html THEN sku END AS sku, CASE WHEN has_html THEN name END AS name,
   CASE WHEN has_html THEN price_text END AS price_text, missing FROM ({filled(STATIC)})) f USING (p_partkey)""")
 def cascade_without_rendering(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
+    part = inputs.parts(spark, sf_dir)
     outcomes = cascade.run_cascade(inputs.product_pages(part), answers=inputs.fallback_replies(part))
     return outcomes.select("position", "partial.sku", "partial.name", "partial.price_text", "method", "error")
 

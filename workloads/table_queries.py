@@ -520,7 +520,8 @@ WORKED = f"(SELECT * FROM {FRONTIER} JOIN ({WITH_RENDERING}) USING (p_partkey) W
 
 
 def catalog_run(spark, sf_dir):
-    part, lineitem, supplier = (table(spark, sf_dir, n) for n in ("part", "lineitem", "supplier"))
+    part = inputs.parts(spark, sf_dir)
+    lineitem, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     given = catalog_job.CatalogInputs(
         categories=supplier.select(
             F.col("s_name").alias("name"),
