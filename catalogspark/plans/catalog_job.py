@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalogspark.operators.alternatives import attach_alternatives, top_alternatives
 from catalogspark.operators.discovery import canonical_categories, canonical_product_urls, filter_by_intent
 from catalogspark.operators.frontier import needs_work, with_prior_status
-from catalogspark.operators.ordering import cap_categories, cap_products_per_category
+from catalogspark.operators.ordering import cap_categories, cap_per_group
 from catalogspark.plans.cascade import read_static, resolve_tiers, route_outcomes
 from catalogspark.schemas import STATE_SCHEMA
 from catalogspark.session import materialize
@@ -51,10 +51,11 @@ def list_occurrences(
     """Capped (category, url) pairs in processing order: category, url, cat_pos, page_no, hit_pos."""
     order = ["page_no", "hit_pos"]
     chosen = categories.select(F.col("slug").alias("category"), F.col("position").alias("cat_pos"))
-    hits = explode_listing(readable_pages(listing_pages.join(chosen.select("category"), "category", "left_semi"), site))
-    urls = canonical_product_urls(hits, site, keys=("category", "url"), order=order)
-    capped = cap_products_per_category(urls, max_products, order=order)
-    return capped.join(chosen, "category").select("category", "url", "cat_pos", *order)
+    # Joined as pages, of which there are far fewer than hits.
+    hits = explode_listing(readable_pages(listing_pages.join(chosen, "category"), site))
+    urls = canonical_product_urls(hits, site, keys=("cat_pos", "url"), order=order)
+    capped = cap_per_group(urls, "cat_pos", order, max_products)
+    return capped.select("category", "url", "cat_pos", *order)
 
 
 def plan_frontier(occurrences: DataFrame, states: DataFrame) -> DataFrame:

@@ -65,15 +65,18 @@ def page_listing(hits: DataFrame, site: SiteConfig = SiteConfig(), order="rank")
 
 
 def readable_pages(listing_pages: DataFrame, site: SiteConfig = SiteConfig()) -> DataFrame:
-    """The reply pages a page-by-page reader gets to see, parsed; needs category, page_no, payload.
+    """The reply pages a page-by-page reader gets to see, with ``result`` in place of ``payload``.
+
+    Needs category, page_no and payload; other columns are kept.
 
     Reading a category ends after the page that the reply calls the last, before the first page that
     is missing, failed (NULL payload) or without results, and at the page cap.
     """
     cap = site.listing_max_pages
     reply = F.from_json("payload", LISTING_REPLY_SCHEMA)
+    kept = [c for c in listing_pages.columns if c != "payload"]
     pages = listing_pages.where(F.col("page_no").between(0, cap - 1)).select(
-        "category", "page_no", F.get(reply["results"], F.lit(0)).alias("result")
+        *kept, F.get(reply["results"], F.lit(0)).alias("result")
     )
     good = F.col("result").isNotNull()
     last = good & (F.col("page_no") + 1 >= F.coalesce("result.nbPages", F.col("page_no") + 1))
@@ -89,13 +92,9 @@ def readable_pages(listing_pages: DataFrame, site: SiteConfig = SiteConfig()) ->
 
 
 def explode_listing(readable: DataFrame) -> DataFrame:
-    """One row per hit with a URL: category, page_no, hit_pos, url, pages (the reply's page count)."""
+    """One row per hit with a URL: ``result`` gives way to hit_pos, url and pages, the reply's page count."""
+    kept = [c for c in readable.columns if c != "result"]
     hits = readable.where(~is_empty(F.col("result.hits"))).select(
-        "category",
-        "page_no",
-        F.col("result.nbPages").alias("pages"),
-        F.posexplode("result.hits").alias("hit_pos", "hit"),
-    )
-    return hits.where(F.col("hit.url") != "").select(
-        "category", "page_no", "hit_pos", F.col("hit.url").alias("url"), "pages"
+        *kept, F.col("result.nbPages").alias("pages"), F.posexplode("result.hits").alias("hit_pos", "hit")
     )
+    return hits.where(F.col("hit.url") != "").select(*kept, "hit_pos", F.col("hit.url").alias("url"), "pages")

@@ -6,13 +6,14 @@ of eight shapes, and the oracle states the expected fields from the same row.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalogspark.operators.ordering import first_seen
 from catalogspark.schemas import PRODUCT_SCHEMA
 from catalogspark.site import SiteConfig
+from catalogspark.sources.listings import page_listing
 from catalogspark.sources.store import make_state
 
 SITE = SiteConfig()
@@ -295,8 +296,11 @@ def categories(supplier: DataFrame) -> DataFrame:
 def listing_replies(lineitem: DataFrame, page_size: int = 40) -> DataFrame:
     """Search replies per category and page; a few pages are lost, empty or not JSON."""
     hits = listing_hits(lineitem)
-    no = F.row_number().over(W.partitionBy("category").orderBy(*SEEN)) - 1
-    numbered = hits.select("category", "url", no.alias("no")).withColumn("page_no", F.floor(F.col("no") / page_size))
+    site = replace(SITE, hits_per_page=page_size)
+    # No category is numbered as a whole: the search serves no more than its page cap.
+    numbered = page_listing(hits, site, order=SEEN).select(
+        "category", "url", (F.col("hit_no") - 1).alias("no"), F.col("page").alias("page_no")
+    )
     pages = numbered.groupBy("category", "page_no").agg(
         F.array_sort(F.collect_list(F.struct("no", "url"))).alias("hits")
     )
@@ -323,28 +327,46 @@ def listing_replies(lineitem: DataFrame, page_size: int = 40) -> DataFrame:
     )
 
 
-def recs_replies(lineitem: DataFrame, prefix: str = "") -> DataFrame:
-    """Recommendations for the first line's part of each order: the order's lines in two units."""
-    item = F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
-    orders = lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+def recs_replies(part: DataFrame, prefix: str = "") -> DataFrame:
+    """One reply per part that recommends itself and its three successors, one of them twice, and malformed
+    entries in between; each fourth reply is empty."""
+    key = F.col("p_partkey")
 
-    def product(i: Column) -> Column:
-        url = F.when(
-            i["l_linenumber"] % 3 == 0, F.concat(F.lit("//shop.example.com/product/p-"), i["l_partkey"])
-        ).otherwise(F.concat(F.lit("/product/p-"), i["l_partkey"]))
-        return F.struct(F.concat(F.lit(prefix), i["l_partkey"]).alias("sku"), url.alias("url"))
+    def product(n: int, host: str) -> Column:
+        text = '{"sku":"' + prefix + '%d","name":"x","url":"' + host + '/product/p-%d"}'
+        return F.format_string(text, key + n, key + n)
 
-    def unit(name: str, parity: int) -> Column:
-        chosen = F.filter("items", lambda i: i["l_suppkey"] % 2 == parity)
-        return F.to_json(F.struct(F.lit(name).alias("unitName"), F.transform(chosen, product).alias("products")))
-
-    payload = F.concat(
-        F.lit('{"results":[null,'), unit("even", 0), F.lit(',{"products":"none"},'), unit("odd", 1), F.lit("]}")
+    units = F.concat_ws(
+        ",",
+        F.lit("null"),
+        F.concat(
+            F.lit('{"unitName":"a","products":['),
+            F.concat_ws(",", product(1, "//shop.example.com"), product(0, ""), F.lit("null"), product(2, "")),
+            F.lit("]}"),
+        ),
+        F.lit('{"products":"none"}'),
+        F.concat(
+            F.lit('{"products":['),
+            F.concat_ws(",", product(2, ""), F.lit('{"sku":"no-url"}'), product(3, SITE.base), F.lit('{"url":"/product/no-sku"}')),
+            F.lit("]}"),
+        ),
     )
-    replies = orders.select(
-        "l_orderkey", F.concat(F.lit(prefix), F.col("items")[0]["l_partkey"]).alias("sku"), payload.alias("payload")
+    payload = F.when(key % 4 == 0, '{"results":[]}').otherwise(F.concat(F.lit('{"results":['), units, F.lit("]}")))
+    return part.select(F.concat(F.lit(prefix), key).alias("sku"), payload.alias("payload"))
+
+
+def recommended(lineitem: DataFrame) -> DataFrame:
+    """Line items as recommendations: a supplier's number as the SKU that gets its parts recommended."""
+    url = F.when(
+        F.col("l_linenumber") % 3 == 0, F.concat(F.lit("//shop.example.com/product/p-"), "l_partkey")
+    ).otherwise(F.concat(F.lit("/product/p-"), "l_partkey"))
+    return lineitem.select(
+        F.col("l_suppkey").cast("string").alias("sku"),
+        F.col("l_linenumber").alias("unit_pos"),
+        F.struct("l_orderkey", "l_partkey", "l_extendedprice").alias("product_pos"),
+        F.col("l_partkey").cast("string").alias("rec_sku"),
+        url.alias("rec_url"),
     )
-    return first_seen(replies, "sku", "l_orderkey")
 
 
 def prior_states(part: DataFrame) -> DataFrame:

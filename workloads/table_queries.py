@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalogspark.operators import alternatives, constraints, dedupe, discovery, frontier, ordering, reports
 from catalogspark.plans import catalog_job
 from catalogspark.schemas import PRODUCT_SCHEMA, STATE_SCHEMA
-from catalogspark.session import new_dir
+from catalogspark.session import materialize, new_dir
 from catalogspark.sources import export, listings, pages, recs, store
 from catalogspark.streaming import incremental
 from workloads import inputs
@@ -184,40 +184,37 @@ def capped_products_per_category(spark, sf_dir):
 
 # --- recommendations -------------------------------------------------------------------------------
 
-RECS = """(SELECT sku, pos, l_partkey, l_linenumber,
-  CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 3 END AS unit_pos,
-  row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 2 ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) - 1 AS product_pos
-FROM (SELECT *, first_value(l_partkey) OVER w AS sku, row_number() OVER w AS pos FROM lineitem
-      WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice))
-WHERE l_orderkey IN (SELECT min(l_orderkey) FROM
-  (SELECT l_orderkey, first(l_partkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS s FROM lineitem GROUP BY 1) GROUP BY s))"""
 
 
-@query(f"""SELECT '' || sku AS sku, unit_pos::INT AS unit_pos, product_pos::INT AS product_pos, '' || l_partkey AS rec_sku,
-  CASE WHEN l_linenumber % 3 = 0 THEN '//shop.example.com' ELSE '' END || '/product/p-' || l_partkey AS rec_url FROM {RECS}""")
+@query(f"""SELECT '' || p_partkey AS sku, unit_pos, product_pos, rec_sku, rec_url FROM part, (VALUES (0)) AS t(x),
+  LATERAL (VALUES (1, 0, '' || (p_partkey + 1), '//shop.example.com/product/p-' || (p_partkey + 1)), (1, 1, '' || p_partkey, '/product/p-' || p_partkey),
+    (1, 3, '' || (p_partkey + 2), '/product/p-' || (p_partkey + 2)), (3, 0, '' || (p_partkey + 2), '/product/p-' || (p_partkey + 2)),
+    (3, 1, 'no-url', NULL), (3, 2, '' || (p_partkey + 3), '{BASE}/product/p-' || (p_partkey + 3)), (3, 3, NULL, '/product/no-sku'))
+  AS r(unit_pos, product_pos, rec_sku, rec_url) WHERE p_partkey % 4 <> 0""")
 def exploded_recs(spark, sf_dir):
-    return recs.explode_recs(inputs.recs_replies(table(spark, sf_dir, "lineitem")))
+    return recs.explode_recs(inputs.recs_replies(inputs.parts(spark, sf_dir)))
 
 
-def top_recs(k: int) -> str:
-    return f"""(SELECT sku, string_agg('{BASE}/product/p-' || l_partkey, '|' ORDER BY unit_pos, product_pos) AS alternatives FROM
-  (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY unit_pos, product_pos) AS place FROM
-    (SELECT *, row_number() OVER (PARTITION BY sku, l_partkey ORDER BY unit_pos, product_pos) AS seen FROM {RECS} WHERE l_partkey <> sku)
-   WHERE seen = 1) WHERE place <= {k} GROUP BY sku)"""
-
-
-@query(f"SELECT '' || sku AS sku, alternatives FROM {top_recs(3)}")
+@query(f"""SELECT '' || l_suppkey AS sku, string_agg('{BASE}/product/p-' || l_partkey, '|' ORDER BY l_linenumber, l_orderkey, l_partkey, l_extendedprice) AS alternatives
+FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber, l_orderkey, l_partkey, l_extendedprice) AS place FROM
+  (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_linenumber, l_orderkey, l_extendedprice) AS seen
+   FROM lineitem WHERE l_partkey <> l_suppkey) WHERE seen = 1) WHERE place <= 8 GROUP BY l_suppkey""")
 def top_alternatives(spark, sf_dir):
-    found = alternatives.top_alternatives(recs.explode_recs(inputs.recs_replies(table(spark, sf_dir, "lineitem"))), 3, SITE)
+    found = alternatives.top_alternatives(inputs.recommended(table(spark, sf_dir, "lineitem")), site=SITE)
     return found.select("sku", joined(F.col("alternatives")).alias("alternatives"))
 
 
+# What the replies of ``inputs.recs_replies`` amount to.
+TOP_RECS = f"""(SELECT p_partkey AS rk, '{BASE}/product/p-' || (p_partkey + 1) || '|{BASE}/product/p-' || (p_partkey + 2)
+  || '|{BASE}/product/p-' || (p_partkey + 3) AS alternatives FROM part WHERE p_partkey % 4 <> 0)"""
+
+
 @query(f"""SELECT 'SKU-' || p_partkey AS sku, coalesce(alternatives, '') AS alternative_products FROM part
-LEFT JOIN {top_recs(8)} ON sku = p_partkey WHERE p_partkey % 11 = 0""")
+LEFT JOIN {TOP_RECS} ON rk = p_partkey WHERE p_partkey % 11 = 0""")
 def attached_alternatives(spark, sf_dir):
-    found = recs.explode_recs(inputs.recs_replies(table(spark, sf_dir, "lineitem"), "SKU-"))
-    products = inputs.prior_products(table(spark, sf_dir, "part"))
-    attached = alternatives.attach_alternatives(products, alternatives.top_alternatives(found, site=SITE))
+    part = inputs.parts(spark, sf_dir)
+    found = alternatives.top_alternatives(recs.explode_recs(inputs.recs_replies(part, "SKU-")), site=SITE)
+    attached = alternatives.attach_alternatives(inputs.prior_products(part), found)
     return attached.select("sku", joined(F.col("alternative_products")).alias("alternative_products"))
 
 
@@ -528,13 +525,13 @@ def catalog_run(spark, sf_dir):
             F.concat(F.lit(f"{BASE}/catalog/s-"), "s_suppkey", F.lit("/")).alias("url"),
             F.col("s_suppkey").alias("position"),
         ),
-        listing_pages=inputs.listing_replies(lineitem),
+        listing_pages=materialize(inputs.listing_replies(lineitem), "replies"),
         pages=inputs.product_pages(part),
         products=inputs.prior_products(part),
         states=inputs.prior_states(part),
         rendered=inputs.rendered_pages(part),
         answers=inputs.fallback_replies(part),
-        recs_payloads=inputs.recs_replies(lineitem, "SKU-"),
+        recs_payloads=inputs.recs_replies(part, "SKU-"),
     )
     return catalog_job.run_catalog_job(given, run_at(), SITE)
 
@@ -553,7 +550,7 @@ def catalog_run_stats(spark, sf_dir):
 @query(f"""SELECT sku, name, CASE WHEN p_partkey IS NULL THEN '' ELSE coalesce(r.alternatives, w.alternative_products) END AS alternative_products,
   extraction_method, source_category, price_text FROM
 (SELECT p_partkey, sku, name, price_text, alternative_products, method AS extraction_method, 's-' || first_cat AS source_category FROM {WORKED} WHERE error IS NULL) w
-LEFT JOIN (SELECT sku AS rk, alternatives FROM {top_recs(8)}) r ON r.rk = w.p_partkey
+LEFT JOIN {TOP_RECS} r ON r.rk = w.p_partkey
 UNION ALL SELECT 'SKU-' || p_partkey, 'old ' || p_name, '', 'json_ld', 'earlier', NULL FROM part WHERE p_partkey % 11 = 0""")
 def catalog_run_products(spark, sf_dir):
     products = catalog_run(spark, sf_dir).products
@@ -575,9 +572,10 @@ def catalog_run_states(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, name):
-    """A given table as a stream of files."""
+    """A given table as a stream of files; its one file is spread over all cores."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet*")
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet*")
+    return stream.repartition(spark.sparkContext.defaultParallelism)
 
 
 @query(f"""SELECT p_partkey AS position, sku, price_text, method,
