@@ -62,7 +62,8 @@ def variants_of(text: Column) -> Column:
 
 
 def master_data_text(html: Column) -> Column:
-    return nonblank(F.regexp_extract(html, MASTER_DATA, 1))
+    """The first literal with variant data, escaped as it stands; '' when there is none."""
+    return F.regexp_extract(html, MASTER_DATA, 1)
 
 
 def master_data(variants: Column) -> dict[str, Column]:

@@ -141,7 +141,7 @@ def pack_size_wordings(spark, sf_dir):
 FROM ({STATIC}) JOIN (SELECT p_partkey, p_brand FROM part) USING (p_partkey) WHERE item_numbers <> ''""")
 def inline_master_data(spark, sf_dir):
     read = static_pages(spark, sf_dir).select("position", master_data_text(F.col("html")).alias("raw"))
-    found = read.where("raw IS NOT NULL").select("position", variants_of(unescape_js(F.col("raw"))).alias("v"))
+    found = read.where("raw <> ''").select("position", variants_of(unescape_js(F.col("raw"))).alias("v"))
     data = master_data(F.col("v"))
     return found.select(
         "position",
