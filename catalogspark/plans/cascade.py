@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.functions.text import is_blank, is_empty
 from catalogspark.plans.extraction import extract_partial, merge_fallback, missing_error, missing_fields, product_record
 from catalogspark.session import materialize
+from catalogspark.site import SiteConfig
 from catalogspark.sources.answers import parse_fallback_answers
+from catalogspark.sources.pages import build_fallback_requests
 from catalogspark.sources.store import make_state
 
 _TIER_COLUMNS = ("partial", "method", "missing", "error")
@@ -66,20 +70,49 @@ def union_tiers(*branches: DataFrame) -> DataFrame:
     return whole
 
 
+def fallback_requests(
+    static: DataFrame, pages: DataFrame, rendered: DataFrame | None = None, site: SiteConfig = SiteConfig()
+) -> DataFrame:
+    """What to ask a model: the pages that all cheaper tiers leave incomplete, as prompts.
+
+    The page shown is the rendering, or without rendering the fetched page.
+    """
+    incomplete = static.where(F.col("fetch_error").isNull() & F.col("error").isNotNull()).select("url")
+    source = (pages if rendered is None else rendered).select("url", "html").where(~is_blank(F.col("html")))
+    shown = extract_partial(source.withColumn("page", F.col("html"))).where(F.size("missing") > 0)
+    asked = shown.select("url", "missing", F.col("page").alias("html"))
+    return build_fallback_requests(asked, site).join(incomplete, "url", "left_semi")
+
+
 def run_cascade(
     pages: DataFrame,
     rendered: DataFrame | None = None,
-    answers: DataFrame | None = None,
+    answers: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     strict: bool = False,
+    site: SiteConfig = SiteConfig(),
 ) -> DataFrame:
     """Outcome per page: the columns of ``pages`` without html, and partial, method, missing, error.
 
     A row without ``error`` is a success. With ``rendered`` given, an incomplete page counts by its
     rendering, and by an answer only if that is incomplete too; without a rendering it fails with the
     first tier's error. Without ``rendered``, answers apply to the fetched page. A failed fetch is
-    final.
+    final. ``answers`` is a table (url, content), or a function that makes it from the requests.
     """
-    return resolve_tiers(materialize(read_static(pages), "static-tier"), rendered, answers, strict)
+    static = materialize(read_static(pages), "static-tier")
+    return resolve_tiers(static, rendered, given_answers(answers, static, pages, rendered, site), strict)
+
+
+def given_answers(
+    answers: DataFrame | Callable[[DataFrame], DataFrame] | None,
+    static: DataFrame,
+    pages: DataFrame,
+    rendered: DataFrame | None,
+    site: SiteConfig,
+) -> DataFrame | None:
+    """The table of answers; a function is asked once and its answers are stored, as each may cost money."""
+    if not callable(answers):
+        return answers
+    return materialize(answers(fallback_requests(static, pages, rendered, site)), "answers")
 
 
 def resolve_tiers(
@@ -140,6 +173,3 @@ def route_outcomes(
         at,
     )
     return products, outcomes.select(*state, *extra)
-
-
-

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from catalogspark.operators.alternatives import attach_alternatives, top_alterna
 from catalogspark.operators.discovery import canonical_categories, canonical_product_urls, filter_by_intent
 from catalogspark.operators.frontier import needs_work, with_prior_status
 from catalogspark.operators.ordering import cap_categories, cap_per_group
-from catalogspark.plans.cascade import read_static, resolve_tiers, route_outcomes
+from catalogspark.plans.cascade import given_answers, read_static, resolve_tiers, route_outcomes
 from catalogspark.schemas import STATE_SCHEMA
 from catalogspark.session import materialize
 from catalogspark.site import SiteConfig
@@ -23,7 +24,8 @@ from catalogspark.sources.store import make_state, upsert_products, upsert_state
 @dataclass(frozen=True)
 class CatalogInputs:
     """Tables of a run. ``categories``: name, url, position; ``listing_pages``: category, page_no,
-    payload; the others as their readers describe. ``rendered`` None means no rendering."""
+    payload; the others as their readers describe. ``rendered`` None means no rendering; ``answers``
+    may be a function from fallback requests to their answers."""
 
     categories: DataFrame
     listing_pages: DataFrame
@@ -31,7 +33,7 @@ class CatalogInputs:
     products: DataFrame
     states: DataFrame
     rendered: DataFrame | None = None
-    answers: DataFrame | None = None
+    answers: DataFrame | Callable[[DataFrame], DataFrame] | None = None
     recs_payloads: DataFrame | None = None
 
 
@@ -117,13 +119,14 @@ def run_catalog_job(
     intent: str | None = None,
     max_categories: int | None = None,
     max_products_per_category: int | None = None,
+    choose_categories: Callable[[DataFrame, str | None], DataFrame] = filter_by_intent,
 ) -> CatalogRun:
     """Process every listed URL that is not done and return the new tables and the statistics.
 
     URLs whose page is not there yet are left as discovered, for a later run. Each page's HTML is read
     by the task that scans it and is never shuffled: what is joined and stored are partial records.
     """
-    categories = filter_by_intent(canonical_categories(inputs.categories, site), intent)
+    categories = choose_categories(canonical_categories(inputs.categories, site), intent)
     categories = materialize(cap_categories(categories, max_categories), "categories")
     occurrences = list_occurrences(categories, inputs.listing_pages, site, max_products_per_category)
     frontier = materialize(plan_frontier(occurrences, inputs.states), "frontier")
@@ -131,7 +134,8 @@ def run_catalog_job(
     work = frontier.where(needs_work(F.col("prior_status")))
     fetched = read_static(inputs.pages.select("url", "html", "fetch_error"))
     static = materialize(fetched.join(work, "url"), "static-tier")
-    outcomes = materialize(resolve_tiers(static, inputs.rendered, inputs.answers), "outcomes")
+    answers = given_answers(inputs.answers, static, inputs.pages, inputs.rendered, site)
+    outcomes = materialize(resolve_tiers(static, inputs.rendered, answers), "outcomes")
 
     order = ("cat_pos", "page_no", "hit_pos")
     new_products, new_states = route_outcomes(

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from catalogspark.plans.cascade import read_static, route_outcomes
 from catalogspark.sources.store import BatchTable
 
+# Workers get this module's Python function with the query, whether or not they have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def stream_extract(page_stream: DataFrame) -> DataFrame:
     """First-tier extraction of arriving pages: stateless, so it is the batch plan on a stream."""
@@ -36,18 +44,24 @@ def stream_upsert(
     return writer.trigger(availableNow=True).start()
 
 
+def _once_per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each URL in every Arrow batch."""
+    for batch in batches:
+        repeated = batch.column("url").to_pandas().duplicated()
+        yield batch.filter(pa.array(~repeated))
+
+
 def stream_first_seen(urls: DataFrame, at: str, within: str) -> DataFrame:
     """The first arrival of each URL; a URL is forgotten ``within`` that time after its arrival.
 
-    The watermark bounds the state, which would otherwise grow with every URL ever seen.
+    The watermark bounds the state, which would otherwise grow with every URL ever seen. Repeats are
+    dropped batch by batch before the shuffle, so a URL that arrives all the time is no hot spot.
     """
-    return urls.withWatermark(at, within).dropDuplicatesWithinWatermark(["url"])
+    thinned = urls.mapInArrow(_once_per_batch, urls.schema)
+    return thinned.withWatermark(at, within).dropDuplicatesWithinWatermark(["url"])
 
 
 def write_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to parquet files until its input runs out."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     return writer.outputMode("append").trigger(availableNow=True).start()
-
-
-

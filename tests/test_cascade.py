@@ -127,6 +127,23 @@ def test_tiers_without_rendering(spark):
     assert run_cascade(static).where("error IS NULL").count() == 1
 
 
+def test_a_function_answers_only_what_is_still_incomplete(spark):
+    static = pages(spark, good=page("G"), asked=NOTHING, shown=NOTHING, unseen=NOTHING, lost="x")
+    rendered = texts(spark, "html", asked=page("T", price=None), shown=page("R"), good=page("X", price=None))
+    seen = []
+
+    def ask(requests):
+        seen.append([(r.url.rsplit("/", 1)[-1], r.missing) for r in requests.collect()])
+        return requests.select("url", F.lit(json.dumps(ANSWER)).alias("content"))
+
+    rows = by_url(run_cascade(static, rendered, ask))
+    assert seen == [[("asked", ["price"])]]
+    assert {k for k, r in rows.items() if r.error is None} == {"good", "asked", "shown"}
+    rows = by_url(run_cascade(static, answers=ask))
+    assert sorted(k for k, _ in seen[1]) == ["asked", "shown", "unseen"]
+    assert {k for k, r in rows.items() if r.error is None} == {"good", "asked", "shown", "unseen"}
+
+
 def test_requests_name_what_is_missing(spark):
     site = SiteConfig(fallback_html_chars=30)
     df = spark.createDataFrame([("u", "x" * 40, ["price"]), ("v", "short", ["sku"]), ("w", "y", [])], "url string, html string, missing array<string>")
