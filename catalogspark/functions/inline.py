@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.functions.jsonld import sort_by_position
-from catalogspark.functions.text import nonblank, strip
+from catalogspark.functions.text import nonblank, nonempty, strip
 
 # Fixed value: the assignment that carries the data, as a quoted JavaScript text. The possessive
 # quantifiers keep Java's matcher from recursing once per character of a long text.
@@ -36,11 +36,11 @@ def variants_of(text: Column) -> Column:
     """Variants of a JSON object of objects, by position and then by their order in the text."""
     # A map keeps the source order of keys, which a VARIANT would sort.
     # In brackets, because the parser would ignore what follows a whole object.
-    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>")
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,variant>>")
     values = F.map_values(F.when(F.size(listed) == 1, listed[0]))
     fields = "struct<position:variant,sku:variant,manufacturer_part_number:variant,manufacturer_name:variant>"
     objects = F.filter(
-        F.transform(values, lambda v: F.try_variant_get(F.try_parse_json(v), "$", fields)), lambda v: v.isNotNull()
+        F.transform(values, lambda v: F.try_variant_get(v, "$", fields)), lambda v: v.isNotNull()
     )
 
     def string(v: Column) -> Column:
@@ -66,15 +66,27 @@ def master_data_text(html: Column) -> Column:
     return F.regexp_extract(html, MASTER_DATA, 1)
 
 
-def master_data(variants: Column) -> dict[str, Column]:
-    """Item numbers, maker's numbers and brand of the variants; NULL where nothing is given."""
+def variant_lists(variants: Column) -> dict[str, Column]:
+    """Item numbers, maker's numbers and brands of the variants, each without the blank ones."""
 
     def given(field: str) -> Column:
-        values = F.filter(F.transform(variants, lambda v: v[field]), lambda x: x.isNotNull())
-        return F.when(F.size(values) > 0, values)
-
-    return {
-        "item_numbers": given("item"),
-        "mfr_numbers": given("mfr"),
-        "brand": brand_mode(given("brand")),
-    }
+        return F.filter(F.transform(variants, lambda v: v[field]), lambda x: x.isNotNull())
+
+    return {"item_numbers": given("item"), "mfr_numbers": given("mfr"), "brands": given("brand")}
+
+
+def with_master_data(df: DataFrame, text: str, into: str) -> DataFrame:
+    """Replace the literal by a struct of item_numbers, mfr_numbers and brand; NULL where nothing is given.
+
+    Each step is a projection of its own, so that the literal is read once.
+    """
+    kept = [c for c in df.columns if c != text]
+    variants = df.select(*kept, variants_of(unescape_js(F.col(text))).alias("_variants"))
+    lists = variant_lists(F.col("_variants"))
+    listed = variants.select(*kept, *[c.alias(f"_{n}") for n, c in lists.items()])
+    data = F.struct(
+        nonempty(F.col("_item_numbers")).alias("item_numbers"),
+        nonempty(F.col("_mfr_numbers")).alias("mfr_numbers"),
+        brand_mode(F.col("_brands")).alias("brand"),
+    )
+    return listed.select(*kept, data.alias(into))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogspark.functions.inline import master_data, master_data_text, unescape_js, variants_of
-from catalogspark.functions.jsonld import breadcrumb_path, jsonld_entities, with_product_jsonld
+from catalogspark.functions.inline import master_data_text, with_master_data
+from catalogspark.functions.jsonld import crumb_names, inner_crumbs, jsonld_entities, with_product_jsonld
 from catalogspark.functions.markup import dom_enrichments, markup_candidate
 from catalogspark.functions.text import is_blank, is_empty, nonblank, nonempty, pack_size, parse_price, strip, strip_all
 from catalogspark.schemas import AVAILABILITIES, PRODUCT_SCHEMA, REQUIRED_FIELDS
@@ -76,19 +76,14 @@ def extract_partial(pages: DataFrame) -> DataFrame:
     )
     # Projections that several columns build on are kept apart by the optimizer, so the blocks of a
     # page are parsed once.
-    facts = read.select(
+    facts = read.select("*", crumb_names(F.col("_entities")).alias("_crumbs"))
+    products = with_master_data(with_product_jsonld(facts, "_entities", "_fields"), "_variants_text", "_master")
+    products = products.select(
         *keys,
-        "_entities",
-        "_markup",
-        breadcrumb_path(F.col("_entities")).alias("_path"),
-        variants_of(unescape_js(F.col("_variants_text"))).alias("_variants"),
-    )
-    products = with_product_jsonld(facts, "_entities", "_fields").select(
-        *keys,
-        "_path",
         "_fields",
+        "_master",
         dom_enrichments(F.col("_markup")).alias("_dom"),
-        F.struct(*[c.alias(n) for n, c in master_data(F.col("_variants")).items()]).alias("_master"),
+        inner_crumbs(F.col("_crumbs")).alias("_path"),
     )
     fields, dom, master = F.col("_fields"), F.col("_dom"), F.col("_master")
     merged = {name: fields[name] for name in PARTIAL_FIELDS if name not in _ADDED}

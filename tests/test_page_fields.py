@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from catalogspark.functions.inline import master_data, master_data_text, unescape_js, variants_of
+from catalogspark.functions.inline import master_data_text, with_master_data
 from catalogspark.functions.markup import dom_enrichments, markup_candidate, read_fields
 
 
@@ -11,9 +11,7 @@ from catalogspark.functions.markup import dom_enrichments, markup_candidate, rea
 def master_of(spark):
     def read(literal):
         df = spark.createDataFrame([(f'<script>window.masterData = "{literal}";</script>',)], "html string")
-        variants = variants_of(unescape_js(master_data_text(F.col("html"))))
-        data = df.select(variants.alias("v")).select(*[c.alias(n) for n, c in master_data(F.col("v")).items()])
-        return tuple(data.first())
+        return tuple(with_master_data(df.select(master_data_text(F.col("html")).alias("raw")), "raw", "d").first().d)
 
     return read
 

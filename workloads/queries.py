@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogspark.functions.inline import master_data, master_data_text, unescape_js, variants_of
+from catalogspark.functions.inline import master_data_text, with_master_data
 from catalogspark.functions.jsonld import breadcrumb_path, jsonld_entities, with_product_jsonld
 from catalogspark.functions.markup import dom_enrichments, markup_candidate
 from catalogspark.functions.ranking import completeness_of_product, dedupe_key, method_rank
@@ -125,12 +125,12 @@ def jsonld_breadcrumbs(spark, sf_dir):
 
 
 @query(f"""SELECT p_partkey, {GUESSED_PACK} AS from_description, CASE WHEN p_partkey % 7 = 2 THEN (p_size + 10) || '/box'
-  ELSE p_size || 9 || '/case' END AS from_name FROM part WHERE p_size >= 1""")
+  ELSE p_size || 9 || '/case' END AS from_name FROM part""")
 def pack_size_wordings(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("description", inputs.part_description())
     other = F.when(F.col("p_partkey") % 7 == 2, F.col("description")).otherwise(F.lit("no size"))
     name = F.concat(F.lit("Kit, "), "p_size", F.lit("9 pieces / CASE"))
-    return part.where("p_size >= 1").select(
+    return part.select(
         "p_partkey",
         pack_size(F.col("description")).alias("from_description"),
         pack_size(other, name).alias("from_name"),
@@ -141,13 +141,12 @@ def pack_size_wordings(spark, sf_dir):
 FROM ({STATIC}) JOIN (SELECT p_partkey, p_brand FROM part) USING (p_partkey) WHERE item_numbers <> ''""")
 def inline_master_data(spark, sf_dir):
     read = static_pages(spark, sf_dir).select("position", master_data_text(F.col("html")).alias("raw"))
-    found = read.where("raw <> ''").select("position", variants_of(unescape_js(F.col("raw"))).alias("v"))
-    data = master_data(F.col("v"))
-    return found.select(
+    data = with_master_data(read.where("raw <> ''"), "raw", "d")
+    return data.select(
         "position",
-        joined(data["item_numbers"]).alias("item_numbers"),
-        joined(data["mfr_numbers"]).alias("mfr_numbers"),
-        data["brand"].alias("brand"),
+        joined(F.col("d.item_numbers")).alias("item_numbers"),
+        joined(F.col("d.mfr_numbers")).alias("mfr_numbers"),
+        "d.brand",
     )
 
 

@@ -209,12 +209,13 @@ TOP_RECS = f"""(SELECT p_partkey AS rk, '{BASE}/product/p-' || (p_partkey + 1) |
   || '|{BASE}/product/p-' || (p_partkey + 3) AS alternatives FROM part WHERE p_partkey % 4 <> 0)"""
 
 
-@query(f"""SELECT 'SKU-' || p_partkey AS sku, coalesce(alternatives, '') AS alternative_products FROM part
-LEFT JOIN {TOP_RECS} ON rk = p_partkey WHERE p_partkey % 11 = 0""")
+@query(f"""SELECT 'SKU-' || p_partkey AS sku, coalesce(alternatives, 'kept') AS alternative_products FROM part
+LEFT JOIN {TOP_RECS} ON rk = p_partkey""")
 def attached_alternatives(spark, sf_dir):
     part = inputs.parts(spark, sf_dir)
     found = alternatives.top_alternatives(recs.explode_recs(inputs.recs_replies(part, "SKU-")), site=SITE)
-    attached = alternatives.attach_alternatives(inputs.prior_products(part), found)
+    products = part.select(F.concat(F.lit("SKU-"), "p_partkey").alias("sku"), F.array(F.lit("kept")).alias("alternative_products"))
+    attached = alternatives.attach_alternatives(products, found)
     return attached.select("sku", joined(F.col("alternative_products")).alias("alternative_products"))
 
 
