@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalogspark.functions.text import is_empty
 from catalogspark.operators.ordering import first_n
@@ -73,7 +74,9 @@ def readable_pages(listing_pages: DataFrame, site: SiteConfig = SiteConfig()) ->
     is missing, failed (NULL payload) or without results, and at the page cap.
     """
     cap = site.listing_max_pages
-    reply = F.from_json("payload", LISTING_REPLY_SCHEMA)
+    # In brackets, because the parser would ignore what follows a whole reply.
+    replies = F.from_json(F.concat(F.lit("["), "payload", F.lit("]")), T.ArrayType(LISTING_REPLY_SCHEMA))
+    reply = F.when(F.size(replies) == 1, replies[0])
     kept = [c for c in listing_pages.columns if c != "payload"]
     pages = listing_pages.where(F.col("page_no").between(0, cap - 1)).select(
         *kept, F.get(reply["results"], F.lit(0)).alias("result")

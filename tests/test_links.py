@@ -141,7 +141,10 @@ def test_paging_ends_with_the_last_page(spark):
     assert listed(spark, rows) == [("c", "a"), ("c", "b"), ("c", "a"), ("c", "c")]
 
 
-@pytest.mark.parametrize("bad", [None, "busy", '{"results": []}', "{}"])
+CUT, LONG = reply(5, "z")[:-2], reply(5, "z") + ", {}"
+
+
+@pytest.mark.parametrize("bad", [None, "busy", '{"results": []}', "{}", "[]", "", CUT, LONG])
 def test_paging_ends_before_a_lost_page(spark, bad):
     rows = [("c", 0, reply(5, "a")), ("c", 1, bad), ("c", 2, reply(5, "b")), ("d", 1, reply(2, "x"))]
     assert listed(spark, rows) == [("c", "a")]
