@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.functions.text import is_blank, is_empty
+from catalogspark.operators.ordering import first_seen, latest_by_key
 from catalogspark.plans.extraction import extract_partial, merge_fallback, missing_error, missing_fields, product_record
 from catalogspark.session import materialize
 from catalogspark.site import SiteConfig
@@ -33,17 +34,30 @@ def join_tiers(
     """Bring the costlier inputs to the rows that need them, as ``r_partial``, ``r_missing``, ``answer``.
 
     Rendered pages are reduced to partial records first: only those cross the network, not the HTML.
-    Both inputs hold one row per URL.
+    Of several renderings or answers of a URL one is taken.
     """
     if rendered is not None:
-        shown = extract_partial(rendered.where(~is_blank(F.col("html"))).select("url", "html"))
+        shown = extract_partial(with_copy_key(rendered.where(~is_blank(F.col("html"))), "url", "html"))
+        shown = latest_by_key(shown, "url", copy_order(shown))
         shown = shown.select("url", F.col("partial").alias("r_partial"), F.col("missing").alias("r_missing"))
         incomplete = incomplete.join(shown, "url", "left")
     if answers is not None:
-        incomplete = incomplete.join(parse_fallback_answers(answers).select("url", "answer"), "url", "left")
+        replies = first_seen(answers.select("url", "content"), "url", "content")
+        incomplete = incomplete.join(parse_fallback_answers(replies), "url", "left")
     return incomplete
 
 
+def with_copy_key(pages: DataFrame, *columns: str) -> DataFrame:
+    """The columns, the fetch time if there is one, and a key that tells copies of a page apart."""
+    time = [c for c in ("fetched_at",) if c in pages.columns and c not in columns]
+    return pages.select(*columns, *time, F.xxhash64("html").alias("copy_key"))
+
+
+def copy_order(pages: DataFrame) -> list[str]:
+    """The order in which the last copy of a page is the one to take."""
+    return [c for c in ("fetched_at", "copy_key") if c in pages.columns]
+
+
 def _filled(partial: Column, joined: DataFrame, strict: bool) -> Column:
     if "answer" not in joined.columns:
         return partial
@@ -120,15 +134,21 @@ def resolve_tiers(
     rendered: DataFrame | None = None,
     answers: DataFrame | None = None,
     strict: bool = False,
+    store: bool = False,
 ) -> DataFrame:
-    """``run_cascade`` on the stored first tier, which is read once per branch."""
+    """``run_cascade`` on the stored first tier, which is read once per branch.
+
+    With ``store`` the rows that went on to later tiers are stored too, for outcomes that several
+    readers need; the settled ones already are.
+    """
     keys = [c for c in static.columns if c not in _TIER_COLUMNS]
     out = [*keys, *_TIER_COLUMNS]
     unfetched = F.col("fetch_error").isNotNull()
     settled = static.where(unfetched | F.col("error").isNull()).select(*out)
     joined = join_tiers(static.where(~unfetched & F.col("error").isNotNull()), rendered, answers)
     if rendered is None:
-        return union_tiers(settled, _after_fallback(joined, F.col("partial"), keys, strict))
+        decided = _after_fallback(joined, F.col("partial"), keys, strict)
+        return union_tiers(settled, materialize(decided, "later-tiers") if store else decided)
 
     # One pass over the joined rows decides all three cases, so the join runs once.
     has_rendering = F.col("r_partial").isNotNull()
@@ -145,7 +165,7 @@ def resolve_tiers(
         .otherwise(F.col("error"))
         .alias("error"),
     )
-    return union_tiers(settled, decided)
+    return union_tiers(settled, materialize(decided, "later-tiers") if store else decided)
 
 
 def route_outcomes(

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from catalogspark.operators.alternatives import attach_alternatives, top_alternatives
 from catalogspark.operators.discovery import canonical_categories, canonical_product_urls, filter_by_intent
 from catalogspark.operators.frontier import needs_work, with_prior_status
-from catalogspark.operators.ordering import cap_categories, cap_per_group
-from catalogspark.plans.cascade import given_answers, read_static, resolve_tiers, route_outcomes
-from catalogspark.schemas import STATE_SCHEMA
+from catalogspark.operators.ordering import cap_categories, cap_per_group, latest_by_key
+from catalogspark.plans.cascade import copy_order, given_answers, read_static, resolve_tiers, route_outcomes, with_copy_key
+from catalogspark.schemas import PRODUCT_SCHEMA, STATE_SCHEMA
 from catalogspark.session import materialize
 from catalogspark.site import SiteConfig
 from catalogspark.sources.listings import explode_listing, readable_pages
 from catalogspark.sources.recs import explode_recs
-from catalogspark.sources.store import make_state, upsert_products, upsert_states
+from catalogspark.sources.store import make_state, replace_rows
 
 
 @dataclass(frozen=True)
@@ -123,7 +123,8 @@ def run_catalog_job(
 ) -> CatalogRun:
     """Process every listed URL that is not done and return the new tables and the statistics.
 
-    URLs whose page is not there yet are left as discovered, for a later run. Each page's HTML is read
+    URLs whose page is not there yet are left as discovered, for a later run; of several copies of a
+    page the last fetched counts. Each page's HTML is read
     by the task that scans it and is never shuffled: what is joined and stored are partial records.
     """
     categories = choose_categories(canonical_categories(inputs.categories, site), intent)
@@ -132,21 +133,22 @@ def run_catalog_job(
     frontier = materialize(plan_frontier(occurrences, inputs.states), "frontier")
 
     work = frontier.where(needs_work(F.col("prior_status")))
-    fetched = read_static(inputs.pages.select("url", "html", "fetch_error"))
-    static = materialize(fetched.join(work, "url"), "static-tier")
+    fetched = read_static(with_copy_key(inputs.pages, "url", "html", "fetch_error"))
+    # Copies of a page are dropped before the shuffle on its URL, which the join then shares.
+    latest = latest_by_key(fetched, "url", copy_order(fetched)).drop("fetched_at", "copy_key")
+    static = materialize(latest.join(work, "url"), "static-tier")
     answers = given_answers(inputs.answers, static, inputs.pages, inputs.rendered, site)
-    outcomes = materialize(resolve_tiers(static, inputs.rendered, answers), "outcomes")
+    outcomes = resolve_tiers(static, inputs.rendered, answers, store=True)
 
     order = ("cat_pos", "page_no", "hit_pos")
     new_products, new_states = route_outcomes(
         outcomes, at, source_category=F.col("category"), failed_category=F.col("last_category"), extra=order
     )
+    winners = latest_by_key(new_products, "sku", list(order)).select(*PRODUCT_SCHEMA.fieldNames())
     if inputs.recs_payloads is not None:
-        alternatives = top_alternatives(explode_recs(inputs.recs_payloads), site=site)
-        new_products = attach_alternatives(new_products, alternatives)
-    new_products = materialize(new_products, "new-products")
+        winners = attach_alternatives(winners, top_alternatives(explode_recs(inputs.recs_payloads), site=site))
 
-    untouched = work.where(F.col("prior_status").isNull()).join(outcomes.select("url"), "url", "left_anti")
+    untouched = work.where(F.col("prior_status").isNull()).join(static.select("url"), "url", "left_anti")
     nothing = F.lit(None).cast("string")
     waiting = untouched.select(
         *make_state(F.col("url"), F.col("category"), F.lit("discovered"), nothing, nothing, at), *order
@@ -155,9 +157,7 @@ def run_catalog_job(
         categories=categories,
         frontier=frontier,
         outcomes=outcomes,
-        products=upsert_products(inputs.products, new_products, list(order)),
-        states=upsert_states(
-            inputs.states.select(*STATE_SCHEMA.fieldNames()), new_states.unionByName(waiting), list(order)
-        ),
+        products=replace_rows(inputs.products, winners, "sku", keys=new_products),
+        states=replace_rows(inputs.states.select(*STATE_SCHEMA.fieldNames()), new_states.unionByName(waiting), "url"),
         stats=run_stats(frontier, outcomes, categories),
     )

@@ -19,16 +19,24 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STATE_SCHEMA).parquet(path)
 
 
+def replace_rows(existing: DataFrame, rows: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
+    """``existing`` with ``rows`` in place of those with the same key. Both hold each key once.
+
+    ``existing`` is only probed, so few keys leave it unshuffled. ``keys`` may give the same keys,
+    repeated or not, from a cheaper source than ``rows``.
+    """
+    given = (rows if keys is None else keys).select(key)
+    kept = existing.join(given, key, "left_anti").select(*existing.columns)
+    return kept.unionByName(rows.select(*existing.columns))
+
+
 def upsert(existing: DataFrame, batch: DataFrame, key: str, seq: str | list[str]) -> DataFrame:
     """``existing`` with every row of ``batch`` inserted or, by key, replaced as a whole.
 
-    Within the batch the last row by ``seq`` wins. ``existing`` holds each key once, so it is only
-    probed, not ranked: a small batch leaves it unshuffled. The batch is read twice, so it should be
-    a stored table rather than a long computation.
+    Within the batch the last row by ``seq`` wins. The batch is read twice, so it should be a stored
+    table rather than a long computation.
     """
-    winners = latest_by_key(batch, key, seq).select(*existing.columns)
-    kept = existing.join(batch.select(key), key, "left_anti").select(*existing.columns)
-    return kept.unionByName(winners)
+    return replace_rows(existing, latest_by_key(batch, key, seq), key, keys=batch)
 
 
 def upsert_products(existing: DataFrame, batch: DataFrame, seq: str | list[str]) -> DataFrame:

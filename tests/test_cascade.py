@@ -215,3 +215,28 @@ def test_later_url_wins_a_shared_sku_and_recs_are_attached(spark):
     rows = {r.sku: r for r in run.products.collect()}
     assert rows["S"].name == "second" and rows["S"].alternative_products == [f"{B}/product/q"] and rows["T"].alternative_products == []
     assert {r.status for r in run.states.collect()} == {"done"}
+
+
+def test_copies_of_a_page_count_once(spark):
+    """A third of the fetched rows are copies of one page; the last fetched of them counts."""
+    listed = listing(spark, a=["hot", "one"])
+    static = pages(spark, one=page("1"), hot=page("old")).withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp"))
+    copies = spark.range(60).select(
+        F.lit(f"{B}/product/hot").alias("url"), F.lit("cat").alias("category"),
+        F.when(F.col("id") == 41, page("last")).otherwise(NOTHING).alias("html"), F.lit(None).cast("string").alias("fetch_error"),
+        F.when(F.col("id") == 41, "2024-03-01").otherwise("2024-02-01").cast("timestamp").alias("fetched_at"),
+    )
+    others = static.where("url LIKE '%/one'").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(30)))).drop("n")
+    rendered = texts(spark, "html", one=page("R")).unionByName(texts(spark, "html", one=page("R")))
+    run = run_catalog_job(inputs(spark, listed, static.unionByName(copies).unionByName(others), rendered=rendered), at())
+    stats = run.stats.first()
+    assert (stats.discovered, stats.extracted_jsonld, stats.failed, stats.skipped_done) == (2, 2, 0, 0)
+    assert {r.sku for r in run.products.collect()} == {"last", "1"} and run.states.count() == 2
+
+
+def test_repeated_renderings_and_answers_do_not_repeat_rows(spark):
+    static = pages(spark, asked=page("S", price=None))
+    rendered = texts(spark, "html", asked=page("T", price=None))
+    answers = texts(spark, "content", asked=json.dumps(ANSWER))
+    outcomes = run_cascade(static, rendered.unionByName(rendered), answers.unionByName(answers).unionByName(answers))
+    assert outcomes.count() == 1 and outcomes.first().error is None
