@@ -218,7 +218,7 @@ def observations(lineitem: DataFrame) -> DataFrame:
         "category_path": none,
         "brand": F.when(F.col("l_discount") > 0.05, "Brand"),
         "price": F.round("l_extendedprice", 2).cast("decimal(18,4)"),
-        "price_text": F.format_string("%.2f", "l_extendedprice"),
+        "price_text": F.col("l_extendedprice").cast("decimal(18,2)").cast("string"),
         "currency": F.lit("USD"),
         "availability": F.lit("InStock"),
         "pack_size": F.when(F.col("l_tax") > 0.04, "10/box"),

@@ -152,7 +152,8 @@ LISTED = f"""(SELECT *, rn // 40 AS page_no, rn % 40 AS hit_pos FROM
   ceil(n / 40)::BIGINT AS pages FROM {LISTED} JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) USING (l_suppkey)""")
 def listing_pages(spark, sf_dir):
     """Replies read page by page until the last, a lost or an empty one."""
-    readable = listings.readable_pages(inputs.listing_replies(table(spark, sf_dir, "lineitem")), SITE)
+    replies = materialize(inputs.listing_replies(table(spark, sf_dir, "lineitem")), "replies")
+    readable = listings.readable_pages(replies, SITE)
     hits = listings.explode_listing(readable)
     partkey = F.regexp_extract("url", r"p-(\d+)", 1).cast("bigint")
     return hits.select("category", "page_no", "hit_pos", partkey.alias("l_partkey"), "pages")
