@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogspark.llm import line_dedup, quality_rules, sharding, warc
+from catalogspark.llm import line_dedup, near_dedup, pieces, quality_rules, sharding, warc
 from catalogspark.llm.common import table
 from catalogspark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The public vocabulary that texts are encoded with.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def query(sql: str | None = None):
@@ -29,6 +31,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op4_sentencepiece(spark, sf_dir):
+    return pieces.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES).drop("text")
+
+
 @query(
     """WITH lined AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 each_line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM lined),
@@ -48,6 +55,11 @@ def op5_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query()
+def op6_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
