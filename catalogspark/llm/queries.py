@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogspark.llm import line_dedup, near_dedup, pieces, quality_rules, sharding, warc
+from catalogspark.llm import language_model, line_dedup, near_dedup, pieces, quality_rules, sharding, warc
 from catalogspark.llm.common import table
 from catalogspark.session import configure
 
@@ -74,6 +74,11 @@ def op8_quality_rules(spark, sf_dir):
     return scored.select(F.col("_row.doc_id").alias("doc_id"), *counts)
 
 
+@query()
+def op9_pitman_yor_scores(spark, sf_dir):
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 @query(
     """WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
   FROM pages),
