@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogspark.llm import language_model, line_dedup, near_dedup, pieces, quality_rules, sharding, suffix_dedup, warc
+from catalogspark.llm import decontamination, language_model, line_dedup, near_dedup, pieces, quality_rules, sharding, suffix_dedup, warc
 from catalogspark.llm.common import table
 from catalogspark.session import configure
 
@@ -36,6 +36,11 @@ def op2_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
 
 
+@query()
+def op3_simhash_decontamination(spark, sf_dir):
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op4_sentencepiece(spark, sf_dir):
     return pieces.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES).drop("text")
