@@ -46,13 +46,13 @@ def pieces_of(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterat
         at = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, first word of each text and their number, starting bytes): words are runs of non-space bytes, A-Z lower-cased."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first word of each text and their number, starting bytes): words are runs of bytes that are no gaps, A-Z lower-cased."""
     global _POWERS
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
     data = _LOWER[data]
-    word = ~_IS_SPACE[data]
+    word = ~gaps[data]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
     edges = offsets[:-1][offsets[:-1] < len(data)]
@@ -62,7 +62,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), starts
     place = np.arange(len(data), dtype=np.int64)
     place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(data))))
-    code = _CODE[data]
+    code = np.where(gaps, np.uint64(0), _CODE)[data]
     if (longest := int(place[word].max()) + 1) > len(_POWERS):
         _POWERS = np.cumprod(np.full(longest, _BASE, np.uint64))
     code *= _POWERS[np.minimum(place, len(_POWERS) - 1)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogspark.llm import decontamination, language_model, line_dedup, near_dedup, pieces, quality_rules, sharding, suffix_dedup, warc
+from catalogspark.llm import cotraining, decontamination, language_model, line_dedup, near_dedup, pieces, quality_rules, sharding, suffix_dedup, warc
 from catalogspark.llm.common import table
 from catalogspark.session import configure
 
@@ -31,6 +31,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_cotraining(spark, sf_dir):
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def op2_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
