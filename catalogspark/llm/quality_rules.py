@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogspark.llm.common import SPACE, ascii_lower, packed, text_or_empty, words
+from catalogspark.llm.common import SPACE, packed, text_or_empty, words
 from catalogspark.session import once
 
 SYMBOLS = "#*$%&|<>"
@@ -19,7 +19,7 @@ class Rules:
     """Parameters. `trusted_rows` bounds the labelled documents that the target is fitted on; counts of the raw corpus cover all."""
 
     buckets: int = 1 << 16
-    trusted_rows: int = 20_000
+    trusted_rows: int = 50_000
     shrink: float = 8.0
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -34,25 +34,22 @@ def _covered(places: str) -> Column:
 
 
 def with_counts(df: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """`keep`, the words `w` of the column `text`, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
-    keep = [*keep]
-    df = once(df, [*keep, text], w=words(F.col(text)), lines=F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
+    """`keep`, the hashes `w` of the words in the column `text`, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    df = once(df, [*keep, text], w=_word_hashes(text), lines=lines)
     at = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
     threes = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), at)).otherwise(F.array().cast("array<bigint>"))
     plain = F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")
-    df = df.select(
-        *keep, "w",
-        F.size("w").cast("long").alias("n_words"),
-        F.length(plain).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        threes.alias("threes"),
-    )
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
-    df = once(df, [*keep, "w", *counts], threes=F.col("threes"))
+    counts = dict(
+        n_words=F.size("w").cast("long"),
+        word_chars=F.length(plain).cast("long"),
+        n_symbols=(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+    )
+    df = once(df, [*keep, "w"], **counts, threes=threes)
     # equal windows stand side by side once sorted; only texts with any are sorted
     repeats = F.size(F.array_distinct("threes")) < F.size("threes")
-    pairs = F.when(repeats, F.array_sort(F.transform("threes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    pairs = F.when(repeats, F.sort_array(F.transform("threes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     df = once(df, [*keep, "w", *counts], pairs=pairs)
     hash_at = lambda i: F.get("pairs", i)["h"]
     again = lambda x, i: F.when((x["h"] == hash_at(i + 1)) | ((i > 0) & (x["h"] == hash_at(F.greatest(i - 1, F.lit(0))))), x["i"])
@@ -61,16 +58,26 @@ def with_counts(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     return df.select(*keep, "w", *counts, F.coalesce(_covered("places"), F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def _grams(w: str) -> Column:
-    """Lower-cased words and pairs of neighbours, hashed."""
-    pair = lambda x, i: F.when(i > 0, F.xxhash64(F.get(F.col(w), F.greatest(i - 1, F.lit(0))), x))
-    return F.concat(F.transform(w, lambda x: F.xxhash64(x)), F.filter(F.transform(w, pair), lambda h: h.isNotNull()))
+def _word_hashes(text: str) -> Column:
+    return F.transform(words(F.col(text)), lambda x: F.xxhash64(x))
+
+
+def _bucket(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets)).cast("int")
+
+
+def _pair(w: str, i: Column) -> Column:
+    """The hash of a word, by its place from the second on, and the one before."""
+    return F.xxhash64(F.get(w, F.greatest(i - 1, F.lit(0))), F.get(w, i))
 
 
 def _buckets(docs: DataFrame, keep: list[str], buckets: int) -> DataFrame:
-    lowered = once(docs, keep, w=words(ascii_lower(F.col("text"))))
-    grams = F.transform(_grams("w"), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    return lowered.select(*keep, F.explode(grams).alias("bucket"))
+    """A row for each word, and for each pair of neighbours, with its bucket."""
+    hashed = once(docs, keep, w=_word_hashes("text"))
+    single = F.transform("w", lambda h: _bucket(h, buckets))
+    double = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: _bucket(_pair("w", i), buckets))
+    both = F.when(F.size("w") > 1, F.concat(single, double)).otherwise(single)
+    return hashed.select(*keep, F.explode(both).alias("bucket"))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, rules: Rules) -> list[float]:
@@ -94,13 +101,12 @@ def log_ratios(docs: DataFrame, labels: DataFrame, rules: Rules) -> list[float]:
 
 
 def llr(w: str, ratios: list[float]) -> Column:
-    """The mean log ratio of a text's n-grams; NULL without words. The ratios become one constant array of the plan."""
+    """The mean log ratio of a text's words and pairs of neighbours; NULL without words. The ratios become one constant array of the plan."""
     weights = F.split(F.lit(" ".join(f"{x:g}" for x in ratios)), " ").cast("array<double>")
-    n = len(ratios)
-    weight = lambda h: F.get(weights, F.pmod(h, F.lit(n)).cast("int"))
-    grams = _grams(w)
-    total = F.aggregate(grams, F.lit(0.0), lambda acc, h: acc + weight(h))
-    return total / F.size(grams)
+    weight = lambda h: F.get(weights, _bucket(h, len(ratios)))
+    each = F.transform(w, lambda h, i: weight(h) + F.when(i > 0, weight(_pair(w, i))).otherwise(F.lit(0.0)))
+    total = F.aggregate(each, F.lit(0.0), lambda sum_, x: sum_ + x)
+    return total / F.nullif(2 * F.size(w) - 1, F.lit(-1))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -116,8 +122,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, rules: Rules = Rules())
     ratios = log_ratios(docs, labels, rules)
     rows = packed(docs).select("_row", F.coalesce("_row.text", F.lit("")).alias("text"))
     counted = with_counts(rows, ["_row"], "text")
-    lowered = once(counted, [c for c in counted.columns if c != "w"], w=F.transform("w", ascii_lower))
-    scored = lowered.withColumn("llr", llr("w", ratios)).drop("w")
+    scored = once(counted, [c for c in counted.columns if c != "w"], llr=llr("w", ratios))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= rules.threshold, F.lit(False)))
