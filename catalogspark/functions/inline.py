@@ -32,12 +32,19 @@ def brand_mode(brands: Column) -> Column:
     return F.array_max(counted)["brand"]
 
 
+def _last_values(entries: Column) -> Column:
+    """Values of an object in the order of its keys; a repeated key has its last value in its first place."""
+    keys, values = F.map_keys(entries), F.map_values(entries)
+    last = F.transform(F.array_distinct(keys), lambda k: F.element_at(F.filter(values, lambda v, i: F.get(keys, i) == k), -1))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), values).otherwise(last)
+
+
 def variants_of(text: Column) -> Column:
     """Variants of a JSON object of objects, by position and then by their order in the text."""
     # A map keeps the source order of keys, which a VARIANT would sort.
     # In brackets, because the parser would ignore what follows a whole object.
     listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,variant>>")
-    values = F.map_values(F.when(F.size(listed) == 1, listed[0]))
+    values = _last_values(F.when(F.size(listed) == 1, listed[0]))
     fields = "struct<position:variant,sku:variant,manufacturer_part_number:variant,manufacturer_name:variant>"
     objects = F.filter(
         F.transform(values, lambda v: F.try_variant_get(v, "$", fields)), lambda v: v.isNotNull()

@@ -68,13 +68,13 @@ def discover_categories(pages: DataFrame, site: SiteConfig = SiteConfig(), page_
     """Categories linked on landing pages, in the order of pages and of links within a page.
 
     A sub-category link counts for its parent. Every page first drops its own repeated links, so
-    navigation that is on all pages leaves each task only once.
+    navigation that is on all pages leaves each task only once. ``position`` is the pair (page, pos).
     """
     links = pages.select(
         F.col(page_order).cast("bigint").alias("page_order"),
         F.posexplode(F.array_distinct(category_links(F.col("html"), site))).alias("pos", "url"),
     )
-    position = F.shiftleft(F.col("page_order"), 32) + F.col("pos")
+    position = F.struct(F.col("page_order").alias("page"), "pos")
     raw = links.select(F.lit(None).cast("string").alias("name"), "url", position.alias("position"))
     return canonical_categories(raw, site).select("name", "url", "slug", "position")
 
@@ -95,6 +95,9 @@ def filter_by_intent(categories: DataFrame, intent: str | None) -> DataFrame:
 
 
 def attach_source_category(urls: DataFrame, categories: DataFrame) -> DataFrame:
-    """Add ``source_category``, the slug of the category whose URL is in ``category_url``."""
-    slugs = categories.select(F.col("url").alias("category_url"), F.col("slug").alias("source_category"))
-    return urls.join(slugs, "category_url")
+    """Add ``source_category``, the slug of the category whose URL is in ``category_url``; NULL if there is none.
+
+    Of several categories with one URL the first slug counts, so no row is lost or repeated.
+    """
+    slugs = categories.groupBy(F.col("url").alias("category_url")).agg(F.min("slug").alias("source_category"))
+    return urls.join(slugs, "category_url", "left")

@@ -35,9 +35,9 @@ def refresh_frontier(listing: DataFrame, products: DataFrame, as_of: Column, n_d
     """Products to extract again: changed since extraction, or extracted more than ``n_days`` ago.
 
     Needs (url, lastmod) and (product_url, extracted_at). URLs without a product are new, not stale,
-    and are left to ``select_frontier``.
+    and are left to ``select_frontier``. Of several products with one URL the last extraction counts.
     """
-    known = products.select(F.col("product_url").alias("url"), "extracted_at")
+    known = products.groupBy(F.col("product_url").alias("url")).agg(F.max("extracted_at").alias("extracted_at"))
     changed = F.col("lastmod") > F.col("extracted_at")
     old = F.col("extracted_at") < as_of - F.make_interval(days=F.lit(n_days))
     reason = F.when(changed, "changed").when(old, "old")

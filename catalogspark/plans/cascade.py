@@ -12,7 +12,7 @@ from catalogspark.operators.ordering import first_seen, latest_by_key
 from catalogspark.plans.extraction import extract_partial, merge_fallback, missing_error, missing_fields, product_record
 from catalogspark.session import materialize
 from catalogspark.site import SiteConfig
-from catalogspark.sources.answers import parse_fallback_answers
+from catalogspark.sources.answers import merge_parts, parse_fallback_answers
 from catalogspark.sources.pages import build_fallback_requests
 from catalogspark.sources.store import make_state
 
@@ -33,17 +33,22 @@ def join_tiers(
 ) -> DataFrame:
     """Bring the costlier inputs to the rows that need them, as ``r_partial``, ``r_missing``, ``answer``.
 
-    Rendered pages are reduced to partial records first: only those cross the network, not the HTML.
-    Of several renderings or answers of a URL one is taken.
+    Only renderings of these rows are read. Of several renderings of a URL one is taken, and of several
+    answers to the same part of it; the answers to its parts fill the gaps of those before.
     """
     if rendered is not None:
-        shown = extract_partial(with_copy_key(rendered.where(~is_blank(F.col("html"))), "url", "html"))
+        wanted = rendered.where(~is_blank(F.col("html"))).join(incomplete.select("url"), "url", "left_semi")
+        shown = extract_partial(with_copy_key(wanted, "url", "html"))
         shown = latest_by_key(shown, "url", copy_order(shown))
         shown = shown.select("url", F.col("partial").alias("r_partial"), F.col("missing").alias("r_missing"))
         incomplete = incomplete.join(shown, "url", "left")
     if answers is not None:
-        replies = first_seen(answers.select("url", "content"), "url", "content")
-        incomplete = incomplete.join(parse_fallback_answers(replies), "url", "left")
+        if "part_no" in answers.columns:
+            replies = first_seen(answers.select("url", "part_no", "content"), ["url", "part_no"], "content")
+            parsed = merge_parts(parse_fallback_answers(replies))
+        else:
+            parsed = parse_fallback_answers(first_seen(answers.select("url", "content"), "url", "content"))
+        incomplete = incomplete.join(parsed, "url", "left")
     return incomplete
 
 
@@ -89,13 +94,17 @@ def fallback_requests(
 ) -> DataFrame:
     """What to ask a model: the pages that all cheaper tiers leave incomplete, as prompts.
 
-    The page shown is the rendering, or without rendering the fetched page.
+    The page shown is the rendering, or without rendering the fetched page, of which the first tier is not
+    repeated. Only incomplete pages are read.
     """
-    incomplete = static.where(F.col("fetch_error").isNull() & F.col("error").isNotNull()).select("url")
-    source = (pages if rendered is None else rendered).select("url", "html").where(~is_blank(F.col("html")))
+    incomplete = static.where(F.col("fetch_error").isNull() & F.col("error").isNotNull()).select("url", "missing")
+    source = (pages if rendered is None else rendered).where(~is_blank(F.col("html")))
+    source = with_copy_key(source.join(incomplete.select("url"), "url", "left_semi"), "url", "html")
+    source = latest_by_key(source, "url", copy_order(source)).select("url", "html")
+    if rendered is None:
+        return build_fallback_requests(source.join(incomplete, "url"), site)
     shown = extract_partial(source.withColumn("page", F.col("html"))).where(F.size("missing") > 0)
-    asked = shown.select("url", "missing", F.col("page").alias("html"))
-    return build_fallback_requests(asked, site).join(incomplete, "url", "left_semi")
+    return build_fallback_requests(shown.select("url", "missing", F.col("page").alias("html")), site)
 
 
 def run_cascade(
@@ -110,7 +119,8 @@ def run_cascade(
     A row without ``error`` is a success. With ``rendered`` given, an incomplete page counts by its
     rendering, and by an answer only if that is incomplete too; without a rendering it fails with the
     first tier's error. Without ``rendered``, answers apply to the fetched page. A failed fetch is
-    final. ``answers`` is a table (url, content), or a function that makes it from the requests.
+    final. ``answers`` is a table (url, content), with part_no if pages were asked about in parts, or a
+    function that makes it from the requests.
     """
     static = materialize(read_static(pages), "static-tier")
     return resolve_tiers(static, rendered, given_answers(answers, static, pages, rendered, site), strict)

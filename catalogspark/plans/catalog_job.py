@@ -16,9 +16,9 @@ from catalogspark.plans.cascade import copy_order, given_answers, read_static, r
 from catalogspark.schemas import PRODUCT_SCHEMA, STATE_SCHEMA
 from catalogspark.session import materialize
 from catalogspark.site import SiteConfig
-from catalogspark.sources.listings import explode_listing, readable_pages
+from catalogspark.sources.listings import explode_listing, pages_past_cap, readable_pages
 from catalogspark.sources.recs import explode_recs
-from catalogspark.sources.store import make_state, replace_rows
+from catalogspark.sources.store import make_state, publish, replace_rows
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,11 @@ class CatalogRun:
     products: DataFrame
     states: DataFrame
     stats: DataFrame
+    cut_categories: DataFrame
+
+    def publish(self, path: str) -> int:
+        """Store products and states as the next version below ``path``; readers then see both of them."""
+        return publish(path, products=self.products, states=self.states)
 
 
 def list_occurrences(
@@ -119,13 +124,14 @@ def run_catalog_job(
     intent: str | None = None,
     max_categories: int | None = None,
     max_products_per_category: int | None = None,
+    max_alternatives: int = 8,
     choose_categories: Callable[[DataFrame, str | None], DataFrame] = filter_by_intent,
 ) -> CatalogRun:
     """Process every listed URL that is not done and return the new tables and the statistics.
 
     URLs whose page is not there yet are left as discovered, for a later run; of several copies of a
-    page the last fetched counts. Each page's HTML is read
-    by the task that scans it and is never shuffled: what is joined and stored are partial records.
+    page the last fetched counts. Pages without work are dropped before anything is read from their HTML.
+    ``max_alternatives`` links are kept per product.
     """
     categories = choose_categories(canonical_categories(inputs.categories, site), intent)
     categories = materialize(cap_categories(categories, max_categories), "categories")
@@ -133,7 +139,8 @@ def run_catalog_job(
     frontier = materialize(plan_frontier(occurrences, inputs.states), "frontier")
 
     work = frontier.where(needs_work(F.col("prior_status")))
-    fetched = read_static(with_copy_key(inputs.pages, "url", "html", "fetch_error"))
+    wanted = inputs.pages.join(work.select("url"), "url", "left_semi")
+    fetched = read_static(with_copy_key(wanted, "url", "html", "fetch_error"))
     # Copies of a page are dropped before the shuffle on its URL, which the join then shares.
     latest = latest_by_key(fetched, "url", copy_order(fetched)).drop("fetched_at", "copy_key")
     static = materialize(latest.join(work, "url"), "static-tier")
@@ -146,7 +153,7 @@ def run_catalog_job(
     )
     winners = latest_by_key(new_products, "sku", list(order)).select(*PRODUCT_SCHEMA.fieldNames())
     if inputs.recs_payloads is not None:
-        winners = attach_alternatives(winners, top_alternatives(explode_recs(inputs.recs_payloads), site=site))
+        winners = attach_alternatives(winners, top_alternatives(explode_recs(inputs.recs_payloads), max_alternatives, site))
 
     untouched = work.where(F.col("prior_status").isNull()).join(static.select("url"), "url", "left_anti")
     nothing = F.lit(None).cast("string")
@@ -160,4 +167,5 @@ def run_catalog_job(
         products=replace_rows(inputs.products, winners, "sku", keys=new_products),
         states=replace_rows(inputs.states.select(*STATE_SCHEMA.fieldNames()), new_states.unionByName(waiting), "url"),
         stats=run_stats(frontier, outcomes, categories),
+        cut_categories=pages_past_cap(inputs.listing_pages, site),
     )

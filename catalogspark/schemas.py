@@ -4,7 +4,7 @@ from pyspark.sql import types as T
 
 STRINGS = T.ArrayType(T.StringType())
 STRING_MAP = T.MapType(T.StringType(), T.StringType())
-PRICE = T.DecimalType(18, 4)
+PRICE = T.DecimalType(38, 10)
 
 # The domains of the three enumerated columns.
 METHODS = ("json_ld", "dom", "playwright_dom", "llm_fallback")

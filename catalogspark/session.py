@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,18 +21,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
+    """The folder for intermediate tables, ``spark.checkpoint.dir``, which all executors must reach.
 
-    A cluster must name one that all executors reach; only a local session gets a folder of its own.
+    The setting is fixed when a session starts, so a session without one is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = os.path.join(tempfile.gettempdir(), "catalogspark")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not configured:
+        raise ValueError("start the session with spark.checkpoint.dir, a folder that all executors can reach")
+    return configured
 
 
 def new_dir(spark: SparkSession, name: str) -> str:

@@ -8,7 +8,10 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class SiteConfig:
-    """Address and URL shapes of one shop, and the caps of a run."""
+    """Address and URL shapes of one shop, and the caps of a run; None is no cap.
+
+    ``fallback_html_chars`` is the size of one request; a longer page is asked about in several.
+    """
 
     base_url: str = "https://shop.example.com"
     host: str = "shop.example.com"
@@ -16,7 +19,7 @@ class SiteConfig:
     product_prefix: str = "/product"
     reserved_slugs: tuple[str, ...] = ("category",)
     hits_per_page: int = 40
-    listing_max_pages: int = 50
+    listing_max_pages: int | None = None
     max_alternatives: int = 8
     fallback_html_chars: int = 60_000
 

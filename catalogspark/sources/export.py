@@ -84,6 +84,8 @@ def export_csv(products: DataFrame, path: str) -> int:
 
     def write(rows: DataFrame) -> None:
         options = {"header": "true", "escape": '"', "emptyValue": ""}
+        # values are written as they are, with the white space at their ends
+        options |= {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
         rows.write.mode("overwrite").options(**options).csv(path)
 
     return _write_counted(products.orderBy("sku").select(*csv_row()), write)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalogspark.functions.text import is_empty
 from catalogspark.operators.ordering import first_n
+from catalogspark.operators.rolling import row_numbers
 from catalogspark.schemas import LISTING_REPLY_SCHEMA
+from catalogspark.session import materialize, once
 from catalogspark.site import SiteConfig
 
 # Where a category page names the settings of its product search.
@@ -55,8 +58,13 @@ def filter_listing_by_categories(hits: DataFrame, categories: DataFrame) -> Data
 def page_listing(hits: DataFrame, site: SiteConfig = SiteConfig(), order="rank") -> DataFrame:
     """Number the hits of each category (``hit_no`` from 1, ``page`` from 0) as pages of the search.
 
-    Pages past the cap are not served, so they are cut; ``hit_page_cap`` marks categories with that many.
+    With a cap, the pages past it are cut, and ``hit_page_cap`` marks categories with more than that.
     """
+    if site.listing_max_pages is None:
+        first, *rest = [order] if isinstance(order, str) else order
+        ranked = row_numbers(hits, ["category"], first, rest).withColumnRenamed("row_no", "hit_no")
+        page = F.floor((F.col("hit_no") - 1) / site.hits_per_page)
+        return ranked.withColumn("page", page).withColumn("hit_page_cap", F.lit(False))
     limit = site.hits_per_page * site.listing_max_pages
     ranked = first_n(hits, "category", order, limit, rank_as="hit_no")
     page = F.floor((F.col("hit_no") - 1) / site.hits_per_page)
@@ -71,29 +79,36 @@ def readable_pages(listing_pages: DataFrame, site: SiteConfig = SiteConfig()) ->
     Needs category, page_no and payload; other columns are kept.
 
     Reading a category ends after the page that the reply calls the last, before the first page that
-    is missing, failed (NULL payload) or without results, and at the page cap.
+    is missing, failed (NULL payload) or without results, and at the page cap if there is one. Each
+    reply is parsed once, and stored without its text.
     """
     cap = site.listing_max_pages
     # In brackets, because the parser would ignore what follows a whole reply.
     replies = F.from_json(F.concat(F.lit("["), "payload", F.lit("]")), T.ArrayType(LISTING_REPLY_SCHEMA))
     reply = F.when(F.size(replies) == 1, replies[0])
     kept = [c for c in listing_pages.columns if c != "payload"]
-    pages = listing_pages.where(F.col("page_no").between(0, cap - 1)).select(
-        *kept, F.get(reply["results"], F.lit(0)).alias("result")
+    numbered = F.col("page_no") >= 0 if cap is None else F.col("page_no").between(0, cap - 1)
+    parsed = once(listing_pages.where(numbered), kept, result=F.get(reply["results"], F.lit(0)))
+    pages = materialize(parsed, "listing-replies")
+    good = pages.where(F.col("result").isNotNull())
+    last = F.col("page_no") + 1 >= F.coalesce("result.nbPages", F.col("page_no") + 1)
+    read = good.groupBy("category", "page_no").agg(F.max(last).alias("last"))
+    place = F.row_number().over(W.partitionBy("category").orderBy("page_no")) - 1
+    ends = read.withColumn("place", place).groupBy("category").agg(
+        F.min(F.when(F.col("last"), F.col("page_no") + 1)).alias("after_last"),
+        F.min(F.when(F.col("page_no") != F.col("place"), F.col("place"))).alias("first_gap"),
+        F.count("*").alias("read"),
     )
-    good = F.col("result").isNotNull()
-    last = good & (F.col("page_no") + 1 >= F.coalesce("result.nbPages", F.col("page_no") + 1))
-    # At most ``cap`` different page numbers per category: a bounded set whatever the table holds.
-    ends = pages.groupBy("category").agg(
-        F.min(F.when(last, F.col("page_no") + 1)).alias("after_last"),
-        F.collect_set(F.when(good, F.col("page_no"))).alias("read"),
-    )
-    numbers = F.sequence(F.lit(0), F.lit(cap))
-    first_gap = F.array_min(F.array_except(numbers, F.col("read").cast("array<int>")))
-    ends = ends.select("category", F.least("after_last", first_gap).alias("end"))
+    ends = ends.select("category", F.least("after_last", F.coalesce("first_gap", "read")).alias("end"))
     return pages.join(ends, "category").where(F.col("page_no") < F.col("end")).drop("end")
 
 
+def pages_past_cap(listing_pages: DataFrame, site: SiteConfig = SiteConfig()) -> DataFrame:
+    """Categories that a page cap cuts, with the number of reply pages past it; none without a cap."""
+    past = F.lit(False) if site.listing_max_pages is None else F.col("page_no") >= site.listing_max_pages
+    return listing_pages.where(past).groupBy("category").agg(F.count_distinct("page_no").alias("pages_past_cap"))
+
+
 def explode_listing(readable: DataFrame) -> DataFrame:
     """One row per hit with a URL: ``result`` gives way to hit_pos, url and pages, the reply's page count."""
     kept = [c for c in readable.columns if c != "result"]

@@ -28,23 +28,27 @@ def classify_pages(pages: DataFrame, site: SiteConfig = SiteConfig()) -> DataFra
 
 
 def build_fallback_requests(incomplete: DataFrame, site: SiteConfig = SiteConfig()) -> DataFrame:
-    """Requests for a model: one per page with missing fields.
+    """Requests for a model, for each page with missing fields: url, part_no, parts, missing, prompt.
 
-    Needs url, html and missing. A prompt has a size budget, so it shows the first
-    ``site.fallback_html_chars`` characters; ``truncated`` marks pages that are longer.
+    Needs url, html and missing. A prompt shows at most ``site.fallback_html_chars`` characters. A longer page
+    is asked about in several parts, numbered from 0, which together show all of it.
     """
     budget = site.fallback_html_chars
     asked = incomplete.where((F.size("missing") > 0) & ~is_blank(F.col("html")))
+    parts = F.ceil(F.length("html") / budget).cast("int")
+    asked = asked.select("url", "missing", "html", parts.alias("parts"))
+    asked = asked.withColumn("part_no", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return asked.select(
         "url",
+        "part_no",
+        "parts",
         "missing",
-        F.length("html").alias("html_chars"),
-        (F.length("html") > budget).alias("truncated"),
         F.format_string(
-            "Page: %s\nFill in: %s\nHTML (at most %s characters):\n%s",
+            "Page: %s\nFill in: %s\nHTML, part %s of %s:\n%s",
             "url",
             F.array_join("missing", ", "),
-            F.lit(budget),
-            F.substring("html", 1, budget),
+            F.col("part_no") + 1,
+            "parts",
+            F.substring("html", F.col("part_no") * budget + 1, F.lit(budget)),
         ).alias("prompt"),
     )

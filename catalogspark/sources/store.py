@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from catalogspark.operators.ordering import latest_by_key
 from catalogspark.schemas import PRODUCT_SCHEMA, STATE_SCHEMA
@@ -64,45 +66,87 @@ def make_state(
     return [v.cast(f.dataType).alias(f.name) for v, f in zip(values, STATE_SCHEMA)]
 
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store that Spark reaches; none if there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+
+
 class BatchTable:
-    """A keyed table stored as one parquet folder per batch.
+    """A keyed table stored as one parquet folder per writer and batch.
 
     Writing a batch costs as much as the batch, however large the table is, and writing it again
-    replaces just its own folder, so a replay is harmless. Reading keeps the last row per key.
+    replaces just its own folder, so a replay is harmless. Batch ids count per writer: a stream with a
+    new checkpoint, a second stream and a batch job each have a name of their own. Reading
+    keeps the last row per key; a writer that came later counts as later, and so does a later batch of one.
     ``compact`` folds the batches into one when reading gets slow.
     """
 
-    BATCH = "batch_id"
+    WRITER, BATCH = "writer", "batch_id"
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str):
         self.spark, self.path, self.schema, self.key = spark, path, schema, key
 
-    def write_batch(self, rows: DataFrame, batch_id: int, seq: str | list[str]) -> None:
+    def _ranked_name(self, writer: str) -> str:
+        """The writer's name with its rank among all writers in front, given at its first batch."""
+        known = [n.split("=", 1)[1] for n in _names(self.spark, self.path) if n.startswith(f"{self.WRITER}=")]
+        return next((n for n in sorted(known) if n[9:] == writer), f"{len(known):08d}.{writer}")
+
+    def write_batch(self, rows: DataFrame, batch_id: int, seq: str | list[str], writer: str = "batch") -> None:
+        if not re.fullmatch(r"[A-Za-z0-9._-]+", writer):
+            raise ValueError("a writer's name consists of letters, digits, dots, dashes and underscores")
         winners = latest_by_key(rows, self.key, seq).select(*self.schema.fieldNames())
-        (
-            winners.withColumn(self.BATCH, F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(self.BATCH)
-            .parquet(self.path)
-        )
+        folder = f"{self.path}/{self.WRITER}={self._ranked_name(writer)}/{self.BATCH}={batch_id}"
+        winners.write.mode("overwrite").parquet(folder)
 
     def _rows(self) -> DataFrame:
-        stored = StructType([*self.schema.fields, StructField(self.BATCH, LongType())])
+        stored = StructType([*self.schema.fields, StructField(self.WRITER, StringType()), StructField(self.BATCH, LongType())])
         return self.spark.read.schema(stored).parquet(self.path)
 
     def read(self) -> DataFrame:
-        return latest_by_key(self._rows(), self.key, self.BATCH).drop(self.BATCH)
+        return latest_by_key(self._rows(), self.key, [self.WRITER, self.BATCH]).drop(self.WRITER, self.BATCH)
 
     def compact(self, path: str) -> BatchTable:
-        """A copy at a new path with all batches folded into the last one's folder."""
-        last = self._rows().agg(F.max(self.BATCH)).first()[0]
+        """A copy at a new path with all batches folded into one; later writers rank after it."""
         target = BatchTable(self.spark, path, self.schema, self.key)
-        if last is not None:
-            target.write_batch(self.read(), last, self.key)
+        target.write_batch(self.read(), 0, self.key, "compacted")
         return target
 
 
+VERSION = re.compile(r"version=(\d+)$")
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions below ``path``: those whose last file, the mark of a finished write, is there."""
+    found = [int(m[1]) for n in _names(spark, path) if (m := VERSION.match(n))]
+    return sorted(v for v in found if "_complete" in _names(spark, f"{path}/version={v}"))
+
+
+def publish(path: str, **tables: DataFrame) -> int:
+    """Store tables together as the next version below ``path``, and return its number.
+
+    Readers see a version only once its mark is written, so they switch from all old tables to all new ones.
+    A table may be made from the version that it replaces, which stays as it is. There is one publisher at a time; what a failed one left is
+    overwritten.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    number = max(versions(spark, path), default=0) + 1
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/version={number}/{name}")
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number}/_complete")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark).close()
+    return number
+
+
+def read_published(spark: SparkSession, path: str, name: str, schema: StructType, version: int | None = None) -> DataFrame:
+    """A table of the latest complete version, or of a given one; empty if nothing was published yet."""
+    found = versions(spark, path)
+    if version is None and not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/version={found[-1] if version is None else version}/{name}")
+
+
 def products_table(spark: SparkSession, path: str) -> BatchTable:
     return BatchTable(spark, path, PRODUCT_SCHEMA, "sku")
 

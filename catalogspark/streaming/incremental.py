@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -27,32 +28,36 @@ def stream_upsert(
 ) -> StreamingQuery:
     """Upsert products and states per micro-batch, from ``stream_extract`` rows, until input runs out.
 
-    Batches are stored under their id, so a batch that is run again after a failure replaces itself.
+    Batches are stored under their id and the checkpoint's name, so a batch that is run again after a failure
+    replaces itself and nothing else.
     ``seq`` orders the rows of a batch; ``category`` must be among the columns.
     """
 
+    # ids count per checkpoint, so the checkpoint is the writer
+    writer = f"stream-{hashlib.md5(checkpoint.rstrip('/').encode()).hexdigest()[:16]}"
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             new_products, new_states = route_outcomes(batch, at, extra=(seq,))
-            products.write_batch(new_products, batch_id, seq)
-            states.write_batch(new_states, batch_id, seq)
+            products.write_batch(new_products, batch_id, seq, writer)
+            states.write_batch(new_states, batch_id, seq, writer)
         finally:
             batch.unpersist()
 
-    writer = extracted.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    query = extracted.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return query.trigger(availableNow=True).start()
 
 
 def _once_per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each URL in every Arrow batch."""
+    """One row of each URL in every Arrow batch."""
     for batch in batches:
         repeated = batch.column("url").to_pandas().duplicated()
         yield batch.filter(pa.array(~repeated))
 
 
 def stream_first_seen(urls: DataFrame, at: str, within: str) -> DataFrame:
-    """The first arrival of each URL; a URL is forgotten ``within`` that time after its arrival.
+    """One arrival of each URL, not always its first; a URL is forgotten ``within`` that time after its arrival.
 
     The watermark bounds the state, which would otherwise grow with every URL ever seen. Repeats are
     dropped batch by batch before the shuffle, so a URL that arrives all the time is no hot spot.

@@ -13,8 +13,10 @@ from catalogspark.session import configure  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    shared = os.environ.get("SPARK_CHECKPOINT_DIR") or str(tmp_path_factory.mktemp("shared"))
     session = (
         SparkSession.builder.master("local[8]")
+        .config("spark.checkpoint.dir", shared)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -22,8 +24,6 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield configure(session)
     session.stop()
 

@@ -147,9 +147,10 @@ def test_a_function_answers_only_what_is_still_incomplete(spark):
 def test_requests_name_what_is_missing(spark):
     site = SiteConfig(fallback_html_chars=30)
     df = spark.createDataFrame([("u", "x" * 40, ["price"]), ("v", "short", ["sku"]), ("w", "y", [])], "url string, html string, missing array<string>")
-    rows = {r.url: r for r in build_fallback_requests(df, site).collect()}
-    assert set(rows) == {"u", "v"} and rows["u"].truncated and rows["u"].html_chars == 40 and not rows["v"].truncated
-    assert rows["u"].prompt.endswith("\n" + "x" * 30) and "Fill in: price" in rows["u"].prompt
+    rows = {(r.url, r.part_no): r for r in build_fallback_requests(df, site).collect()}
+    assert set(rows) == {("u", 0), ("u", 1), ("v", 0)} and {k: r.parts for k, r in rows.items()} == {("u", 0): 2, ("u", 1): 2, ("v", 0): 1}
+    assert rows["u", 0].prompt.endswith("\n" + "x" * 30) and rows["u", 1].prompt.endswith("\n" + "x" * 10)
+    assert "Fill in: price" in rows["u", 0].prompt
 
 
 def listing(spark, **urls):

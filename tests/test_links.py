@@ -22,6 +22,7 @@ from catalogspark.sources.listings import (
     extract_listing_config,
     filter_listing,
     page_listing,
+    pages_past_cap,
     readable_pages,
 )
 from catalogspark.sources.pages import classify_pages
@@ -58,11 +59,13 @@ def test_categories_are_canonical_and_distinct(spark):
 
 
 def test_product_urls(spark):
-    urls = [f"{B}/product/one", f"{B}/product/one/", f"{B}/catalog/x", "https://o.example.org/product/x", "/product/rel", "",
-            f"{B}/product/Has_Caps", f"{B}/product/One", None]
-    df = spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, position int")
-    found = canonical_product_urls(df, SITE).orderBy("position").collect()
-    assert [r.url for r in found] == [f"{B}/product/one", f"{B}/product/rel", f"{B}/product/One"]
+    # each address with what becomes of it
+    cases = [("/product/a1-b2/", f"{B}/product/a1-b2"), (f"{B.upper()}/product/q", None), (f"{B}/product/deep/er", None),
+             (f"{B}/cart/product", None), (f"{B}/product/a1-b2", None), ("ftp://x.example.com/product/q", None), (None, None),
+             (f"{B}/product/a1_b2", None), (f"{B}/product/q9", f"{B}/product/q9")]
+    df = spark.createDataFrame([(u, i) for i, (u, _) in enumerate(cases)], "url string, position int")
+    found = {r.position: r.url for r in canonical_product_urls(df, SITE).collect()}
+    assert found[0] == cases[0][1] and found[8] == cases[8][1] and not {2, 3, 4, 5, 6, 7} & set(found)
 
 
 def test_normalized_links(values):
@@ -106,6 +109,9 @@ def test_caps_and_source_category(spark):
     assert cap_categories(df, None).count() == 3
     urls = spark.createDataFrame([("x", f"{B}/catalog/b")], "url string, category_url string")
     assert attach_source_category(urls, df).first().source_category == "b"
+    unknown = spark.createDataFrame([("x", f"{B}/catalog/b"), ("y", "nowhere"), ("z", None)], "url string, category_url string")
+    found = attach_source_category(unknown, df.unionByName(df)).collect()
+    assert {(r.url, r.source_category) for r in found} == {("x", "b"), ("y", None), ("z", None)} and len(found) == 3
 
 
 def test_page_types(spark):
@@ -153,7 +159,9 @@ def test_paging_ends_before_a_lost_page(spark, bad):
 def test_paging_cap_and_missing_page_count(spark):
     many = [("c", i, reply(99, f"u{i}")) for i in range(6)]
     small = SiteConfig(listing_max_pages=4)
-    assert len(listed(spark, many, small)) == 4
+    assert len(listed(spark, many, small)) == 4 and len(listed(spark, many)) == 6
+    replies = spark.createDataFrame(many, "category string, page_no int, payload string")
+    assert [tuple(r) for r in pages_past_cap(replies, small).collect()] == [("c", 2)] and not pages_past_cap(replies).count()
     assert listed(spark, [("c", 0, '{"results":[{"hits":[{"url":"a"},{"url":""},{}]}]}'), ("c", 1, reply(2, "b"))]) == [("c", "a")]
 
 

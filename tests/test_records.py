@@ -174,3 +174,28 @@ def test_ordering_does_not_depend_on_partitions(spark, partitions):
         ids.setdefault(-1 if i % 3 == 0 else i % 101, []).append(i)
     assert first == {k: v[0] for k, v in ids.items()} and last == {k: v[-1] for k, v in ids.items()}
     assert top == {k: (len(v[:1500]), v[:1500][-1], len(v[:1500])) for k, v in ids.items()}
+
+
+def test_writers_do_not_replace_each_other(spark, tmp_path):
+    table = products_table(spark, f"{tmp_path}/t")
+    table.write_batch(products(spark, product("A", name="one"), product("B", name="one")), 0, "seq", "stream-1")
+    table.write_batch(products(spark, product("A", name="two")), 0, "seq", "stream-2")
+    table.write_batch(products(spark, product("B", name="late")), 1, "seq", "stream-1")
+    table.write_batch(products(spark, product("A", name="two")), 0, "seq", "stream-2")
+    assert {r.sku: r.name for r in table.read().collect()} == {"A": "two", "B": "late"}
+    assert {r.sku: r.name for r in table.compact(f"{tmp_path}/c").read().collect()} == {"A": "two", "B": "late"}
+
+
+def test_published_versions_switch_together(spark, tmp_path):
+    from catalogspark.schemas import PRODUCT_SCHEMA
+    from catalogspark.sources.store import publish, read_published, versions
+
+    path = f"{tmp_path}/p"
+    read = lambda **more: {r.sku for r in read_published(spark, path, "products", PRODUCT_SCHEMA, **more).collect()}
+    assert read() == set()
+    columns = PRODUCT_SCHEMA.fieldNames()
+    assert publish(path, products=products(spark, product("A")).select(*columns)) == 1
+    merged = read_published(spark, path, "products", PRODUCT_SCHEMA).unionByName(products(spark, product("B")).select(*columns))
+    assert publish(path, products=merged) == 2 and read() == {"A", "B"} and read(version=1) == {"A"}
+    merged.write.parquet(f"{path}/version=3/products")
+    assert versions(spark, path) == [1, 2] and read() == {"A", "B"}

@@ -91,3 +91,18 @@ def test_row_numbers_match_a_full_sort(spark, rows):
     for g in {g for g, _ in rows}:
         order = sorted((at, i) for i, (h, at) in enumerate(rows) if h == g)
         assert [got[i] for _, i in order] == list(range(1, len(order) + 1))
+
+
+def test_rolling_mean_keeps_missing_groups_and_splits_equal_times(spark):
+    from catalogspark.operators.rolling import rolling_mean
+
+    rows = [(None if i % 3 == 0 else "g", None if i % 10 == 0 else 7 if i % 2 else i, i, float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, at int, no int, v double")
+    got = {r.no: r.rolling_mean for r in rolling_mean(df, ["g"], "at", ["no"], "v", 2, chunk_rows=7).collect()}
+    want = {}
+    for group in (None, "g"):
+        ordered = sorted((r for r in rows if r[0] == group), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        for k, r in enumerate(ordered):
+            near = [x[3] for x in ordered[max(0, k - 2) : k + 1]]
+            want[r[2]] = sum(near) / len(near)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

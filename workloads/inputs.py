@@ -6,14 +6,11 @@ of eight shapes, and the oracle states the expected fields from the same row.
 
 from __future__ import annotations
 
-from dataclasses import replace
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalogspark.schemas import PRODUCT_SCHEMA
 from catalogspark.site import SiteConfig
-from catalogspark.sources.listings import page_listing
 from catalogspark.sources.store import make_state
 
 SITE = SiteConfig()
@@ -217,7 +214,7 @@ def observations(lineitem: DataFrame) -> DataFrame:
         "product_url": F.concat(F.lit(f"{SITE.base}/product/p-"), "l_partkey"),
         "category_path": none,
         "brand": F.when(F.col("l_discount") > 0.05, "Brand"),
-        "price": F.round("l_extendedprice", 2).cast("decimal(18,4)"),
+        "price": F.round("l_extendedprice", 2).cast("decimal(38,10)"),
         "price_text": F.col("l_extendedprice").cast("decimal(18,2)").cast("string"),
         "currency": F.lit("USD"),
         "availability": F.lit("InStock"),
@@ -293,13 +290,12 @@ def categories(supplier: DataFrame) -> DataFrame:
     )
 
 
-def listing_replies(lineitem: DataFrame, page_size: int = 40) -> DataFrame:
+def listing_replies(lineitem: DataFrame, page_size: int = 7) -> DataFrame:
     """Search replies per category and page; a few pages are lost, empty or not JSON."""
     hits = listing_hits(lineitem)
-    site = replace(SITE, hits_per_page=page_size)
-    # No category is numbered as a whole: the search serves no more than its page cap.
-    numbered = page_listing(hits, site, order=SEEN).select(
-        "category", "url", (F.col("hit_no") - 1).alias("no"), F.col("page").alias("page_no")
+    no = F.row_number().over(Window.partitionBy("category").orderBy(*SEEN)) - 1
+    numbered = hits.withColumn("no", no.cast("long")).select(
+        "category", "url", "no", F.floor(F.col("no") / page_size).alias("page_no")
     )
     pages = numbered.groupBy("category", "page_no").agg(
         F.array_sort(F.collect_list(F.struct("no", "url"))).alias("hits")

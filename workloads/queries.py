@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -365,14 +366,19 @@ def outcome_states(spark, sf_dir):
     return states.withColumn("updated_at", export.iso_time(F.col("updated_at")))
 
 
-@query(f"""SELECT url, replace(missing, '|', ', ') AS missing, false AS truncated FROM ({STATIC})
+@query(f"""SELECT url, replace(missing, '|', ', ') AS missing, true AS whole FROM ({STATIC})
 WHERE has_html AND missing <> ''""")
 def fallback_requests(spark, sf_dir):
     incomplete = static_pages(spark, sf_dir).where("html IS NOT NULL")
     read = extraction.extract_partial(incomplete.withColumn("page", F.col("html"))).withColumnRenamed("page", "html")
-    asked = pages.build_fallback_requests(read, SITE)
-    whole = F.contains("prompt", F.lit("</html>"))
-    return asked.select("url", F.array_join("missing", ", ").alias("missing"), (F.col("truncated") | ~whole).alias("truncated"))
+    asked = pages.build_fallback_requests(read, replace(SITE, fallback_html_chars=300))
+    # the pages put together again from the parts of their prompts, after the heading
+    shown = F.regexp_extract("prompt", r"(?s)^Page: [^\n]*\nFill in: [^\n]*\nHTML, part \d+ of \d+:\n(.*)$", 1)
+    parts = F.array_sort(F.collect_list(F.struct("part_no", shown.alias("shown"))))
+    again = asked.groupBy("url", "missing").agg(F.array_join(F.transform(parts, lambda p: p["shown"]), "").alias("html"), F.max("parts").alias("parts"))
+    joined = again.join(incomplete.select("url", F.col("html").alias("page")), "url")
+    whole = (F.col("html") == F.col("page")) & (F.col("parts") == F.ceil(F.length("page") / 300))
+    return joined.select("url", F.array_join("missing", ", ").alias("missing"), whole.alias("whole"))
 
 
 @query(f"""SELECT '{BASE}/product/p-' || p_partkey AS url, 'static fetch: HTTP 503' AS error FROM part

@@ -63,7 +63,7 @@ def category_from_slug(spark, sf_dir):
     return discovery.category_from_slug(table(spark, sf_dir, "part").select("p_partkey", slug.alias("slug")), SITE)
 
 
-@query(f"""SELECT slug AS name, '{BASE}/catalog/' || slug AS url, slug, min((page_id << 32) + place + (page_id + 1) % 2) AS position FROM
+@query(f"""SELECT slug AS name, '{BASE}/catalog/' || slug AS url, slug, arg_min(page_id, (page_id, place)) AS page, arg_min(place + (page_id + 1) % 2, (page_id, place)) AS pos FROM
 (SELECT page_id, slug, row_number() OVER (PARTITION BY page_id ORDER BY min(i)) - 1 AS place FROM
   (SELECT page_id, lower(unnest(words)) AS slug, generate_subscripts(words, 1) AS i FROM
     (SELECT page_id, regexp_extract_all(html, 'href="/([A-Za-z0-9][A-Za-z0-9-]*)"', 1) AS words FROM pages))
@@ -78,7 +78,8 @@ def discovered_categories(spark, sf_dir):
     )
     nav = F.array_join(F.transform(words, lambda w: F.replace(link, F.lit("%s"), w)), "\n")
     landing = table(spark, sf_dir, "pages").select(F.col("page_id").alias("position"), nav.alias("html"))
-    return discovery.discover_categories(landing, SITE)
+    found = discovery.discover_categories(landing, SITE)
+    return found.select("name", "url", "slug", F.col("position.page").alias("page"), F.col("position.pos").cast("bigint").alias("pos"))
 
 
 @query("""SELECT s_suppkey, CASE WHEN ok THEN 'APP' || s_suppkey END AS application_id, CASE WHEN ok THEN 'a2V5=' END AS api_key,
@@ -142,14 +143,14 @@ def source_category(spark, sf_dir):
 
 # --- 2.1 and 2.6 listings --------------------------------------------------------------------------
 
-LISTED = f"""(SELECT *, rn // 40 AS page_no, rn % 40 AS hit_pos FROM
+LISTED = f"""(SELECT *, rn // 7 AS page_no, rn % 7 AS hit_pos FROM
   (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {SEEN_SQL}) - 1 AS rn,
-          CASE l_suppkey % 7 WHEN 3 THEN 4 WHEN 4 THEN 3 WHEN 5 THEN 2 ELSE 50 END AS stop FROM lineitem)
-  WHERE rn // 40 < least(stop, 50))"""
+          CASE l_suppkey % 7 WHEN 3 THEN 4 WHEN 4 THEN 3 WHEN 5 THEN 2 ELSE count(*) OVER (PARTITION BY l_suppkey) END AS stop FROM lineitem)
+  WHERE rn // 7 < stop)"""
 
 
 @query(f"""SELECT 's-' || l_suppkey AS category, CAST(page_no AS INT) AS page_no, CAST(hit_pos AS INT) AS hit_pos, l_partkey,
-  ceil(n / 40)::BIGINT AS pages FROM {LISTED} JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) USING (l_suppkey)""")
+  ceil(n / 7)::BIGINT AS pages FROM {LISTED} JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) USING (l_suppkey)""")
 def listing_pages(spark, sf_dir):
     """Replies read page by page until the last, a lost or an empty one."""
     replies = materialize(inputs.listing_replies(table(spark, sf_dir, "lineitem")), "replies")
@@ -163,7 +164,7 @@ def listing_pages(spark, sf_dir):
 FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {SEEN_SQL}) AS rn, count(*) OVER (PARTITION BY l_suppkey) AS n
       FROM lineitem) WHERE rn <= 350""")
 def paged_listing(spark, sf_dir):
-    small = replace(SITE, hits_per_page=7)
+    small = replace(SITE, hits_per_page=7, listing_max_pages=50)
     paged = listings.page_listing(inputs.listing_hits(table(spark, sf_dir, "lineitem")), small, order=SEEN)
     return paged.select(
         "category", "l_orderkey", "l_linenumber", "l_suppkey", F.col("hit_no").cast("bigint").alias("hit_no"), "page", "hit_page_cap"
@@ -335,6 +336,26 @@ def constraint_violations(spark, sf_dir):
     return constraints.check_constraints(observations(spark, sf_dir))
 
 
+@query(f"""SELECT 'unique' AS rule, 'url' AS "column", '{BASE}/product/' || user_id AS value, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1
+UNION ALL SELECT 'domain', 'status', 'unheard', count(*) FROM events WHERE event_id % 50 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'not_null', 'category', NULL, count(*) FROM events WHERE event_id % 70 = 0 HAVING count(*) > 0""")
+def state_violations(spark, sf_dir):
+    """Crawl states with unknown statuses and missing categories among them."""
+    states = inputs.crawl_states(table(spark, sf_dir, "events"))
+    states = states.withColumn("status", F.when(F.col("event_id") % 50 == 0, "unheard").otherwise(F.col("status")))
+    return constraints.check_state_constraints(
+        states.withColumn("category", F.when(F.col("event_id") % 70 == 0, None).otherwise(F.col("category")))
+    )
+
+
+@query(f"""SELECT 's-' || l_suppkey AS category, ceil(count(*) / 7)::BIGINT - 50 AS pages_past_cap FROM lineitem
+GROUP BY l_suppkey HAVING count(*) > 350""")
+def capped_listing_report(spark, sf_dir):
+    """Categories that a cap of 50 reply pages would cut."""
+    replies = inputs.listing_replies(table(spark, sf_dir, "lineitem"))
+    return listings.pages_past_cap(replies, replace(SITE, listing_max_pages=50))
+
+
 EXPORTED = f"""(SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY method_rank, score DESC, l_shipdate DESC, {SEEN_SQL}) AS rn FROM
   (SELECT o.*, l.l_discount, l.l_tax, l.l_quantity FROM {OBS} o JOIN lineitem l USING (l_partkey, l_suppkey, l_orderkey, l_linenumber, l_extendedprice)))"""
 
@@ -503,9 +524,10 @@ def quality_rolling_mean(spark, sf_dir):
     return means.withColumn("rolling_mean", F.format_string("%.10f", "rolling_mean")).drop("score")
 
 
-@query(None)
+@query("""SELECT '' || l_partkey AS sku, count(*) AS n FROM lineitem
+WHERE ('0x' || substr(md5('' || l_partkey), 1, 8))::BIGINT % 100 < 10 GROUP BY 1""")
 def review_sample(spark, sf_dir):
-    """A tenth of the parts' records, the same in every run; the hash is Spark's own, so there is no SQL twin."""
+    """A tenth of the parts' records, the same in every run."""
     return reports.sample_for_review(observations(spark, sf_dir)).groupBy("sku").agg(F.count("*").alias("n"))
 
 
@@ -570,6 +592,16 @@ def catalog_run_states(spark, sf_dir):
     return catalog_run(spark, sf_dir).states.drop("updated_at")
 
 
+@query(f"""SELECT sku, name, price_text, extraction_method FROM (SELECT 'SKU-' || p_partkey AS sku, name, price_text, method AS extraction_method FROM {WORKED} WHERE error IS NULL)
+UNION ALL SELECT 'SKU-' || p_partkey, 'old ' || p_name, NULL, 'json_ld' FROM part WHERE p_partkey % 11 = 0""")
+def published_run(spark, sf_dir):
+    """The products of a run, published after an earlier version."""
+    path, run = new_dir(spark, "published"), catalog_run(spark, sf_dir)
+    store.publish(path, products=inputs.prior_products(table(spark, sf_dir, "part")), states=run.states.limit(0))
+    run.publish(path)
+    return store.read_published(spark, path, "products", PRODUCT_SCHEMA).select("sku", "name", "price_text", "extraction_method")
+
+
 # --- 2.11 streaming ----------------------------------------------------------------------------------
 
 
