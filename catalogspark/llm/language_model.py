@@ -40,7 +40,7 @@ class Model:
     """Parameters. `block_bytes` bounds the text that one block holds, `sweeps` those that only warm up, `samples` those averaged."""
 
     contexts: int = 1024
-    block_bytes: int = 1 << 24
+    block_bytes: int = 1 << 22
     bucket_bytes: int = 1 << 24
     rounds: int = 2
     sweeps: int = 2
