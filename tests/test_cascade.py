@@ -19,15 +19,15 @@ B = SiteConfig().base
 
 def at():
     return F.lit("2024-06-01").cast("timestamp")
-NOTHING = "<html><body>nothing structured</body></html>"
+NOTHING = "<p>words and no product</p>"
 ANSWER = {
-    "sku": "GP-1", "name": "Mystery Pack", "brand": "Pro", "price": "42.50", "currency": "USD", "availability": "Sometimes",
-    "pack_size": "150/box", "description": " Premium ", "specifications": {" Color ": "Blue ", "Color": "Red"},
-    "image_urls": ["https://i.example.com/1.jpg"], "alternative_products": ["https://e.example.com/product/j", ""], "category_path": ["Gloves"],
+    "sku": "Q77", "name": "Lamp shade", "brand": "Umbra Works", "price": "7.05", "currency": "USD", "availability": "on request",
+    "pack_size": "12/case", "description": " folds flat ", "specifications": {" Fits ": "E14 ", "Fits": "E27"},
+    "image_urls": ["https://pics.example.com/q77.png"], "alternative_products": ["https://other.example.com/product/bulb", ""], "category_path": ["Lamps"],
 }
 
 
-def page(sku="K", name="Good", price="12.34", extra="", **fields):
+def page(sku="K", name="Plain chair", price="88.2", extra="", **fields):
     product = {"@type": "Product", "sku": sku, "name": name, "offers": {"price": price}} | fields
     return f'<script type="application/ld+json">{json.dumps(product)}</script>{extra}'
 
@@ -63,7 +63,7 @@ def test_records_have_defaults(spark):
     record = build_records(read, at(), F.col("category")).first()
     assert record.asDict() | {"extracted_at": None} == {
         "sku": "K", "item_numbers": [], "mfr_numbers": [], "name": "N", "product_url": f"{B}/product/a", "category_path": [], "brand": None,
-        "price": Decimal("12.3400"), "price_text": "12.34", "currency": None, "availability": None, "pack_size": None, "description": "",
+        "price": Decimal("88.2"), "price_text": "88.2", "currency": None, "availability": None, "pack_size": None, "description": "",
         "specifications": {}, "image_urls": [], "alternative_products": [], "extracted_at": None, "extraction_method": "json_ld",
         "source_category": "cat",
     }
@@ -89,8 +89,8 @@ def test_answers_fill_only_gaps(spark):
     loose = by_url(joined.select("url", merge_fallback(F.col("partial"), F.col("answer")).alias("m")))
     strict = by_url(joined.select("url", merge_fallback(F.col("partial"), F.col("answer"), strict=True).alias("m")))
     a = loose["a"].m
-    assert (a.sku, a.name, a.price, a.price_text, a.category_path) == ("GP-1", "Good", Decimal("42.50"), "42.50", ["Gloves"])
-    assert a.image_urls == ["https://i.example.com/1.jpg"] and strict["a"].m.image_urls == []
+    assert (a.sku, a.name, a.price, a.price_text, a.category_path) == ("Q77", "Plain chair", Decimal("7.05"), "7.05", ["Lamps"])
+    assert a.image_urls == ["https://pics.example.com/q77.png"] and strict["a"].m.image_urls == []
     assert loose["b"].m.price == 0  # a price of 0 is a value, though it does not count as a price
 
 
@@ -120,9 +120,9 @@ def test_tiers_without_rendering(spark):
     rows = by_url(run_cascade(static, answers=texts(spark, "content", asked=json.dumps(ANSWER))))
     assert rows["asked"].method == "llm_fallback" and rows["asked"].error is None
     record, _ = route_outcomes(run_cascade(static, answers=texts(spark, "content", asked=json.dumps(ANSWER))), at())
-    asked = record.where("sku = 'GP-1'").first()
-    assert (asked.availability, asked.description, asked.specifications) == ("Unknown", "Premium", {"Color": "Red"})
-    assert asked.alternative_products == ["https://e.example.com/product/j"] and asked.category_path == ["Gloves"]
+    asked = record.where("sku = 'Q77'").first()
+    assert (asked.availability, asked.description, asked.specifications) == ("Unknown", "folds flat", {"Fits": "E27"})
+    assert asked.alternative_products == ["https://other.example.com/product/bulb"] and asked.category_path == ["Lamps"]
     assert rows["failed"].error == "required fields missing after LLM fallback: ['price']"
     assert run_cascade(static).where("error IS NULL").count() == 1
 

@@ -35,6 +35,11 @@ def test_equally_frequent_brands_give_the_first(master_of):
     assert master_of(quoted(text)) == (None, None, "Zeta")
 
 
+def test_a_repeated_key_has_its_last_value_in_its_first_place(master_of):
+    text = '{"a":{"sku":"1"},"b":{"sku":"2"},"a":{"sku":"3"},"c":{"sku":"4"},"b":{"sku":"5"}}'
+    assert master_of(quoted(text)) == (["3", "5", "4"], None, None)
+
+
 def test_escapes_of_the_literal(master_of):
     assert master_of(r"{\"a\":{\"sku\":\"x\/1\",\"manufacturer_name\":\"D\'Or é \xe9 é\"}}") == (["x/1"], None, "D'Or é é é")
     assert master_of(r"{\x22a\x22:{\x22sku\x22:\x22q\x22}}") == (["q"], None, None)

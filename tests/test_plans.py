@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from catalogspark.operators.dedupe import dedupe_products
 from catalogspark.operators.ordering import first_n, first_seen, latest_by_key
-from catalogspark.plans.cascade import read_static, resolve_tiers
+from catalogspark.plans.cascade import fallback_requests, read_static, resolve_tiers
 from catalogspark.plans.extraction import extract_partial
+from catalogspark.session import new_dir
+from catalogspark.sources.listings import readable_pages
 from catalogspark.sources.store import upsert_products
 from workloads import inputs
 
@@ -39,7 +41,7 @@ def test_extraction_is_narrow_and_reads_blocks_once(pages):
     assert "Exchange" not in text
     assert text.count("application/ld\\+json") == 1
     assert text.count("window\\.masterData") == 1
-    assert text.count("ArrowEvalPython") == 1  # both Python functions share one trip
+    assert text.count("ArrowEvalPython") == 2  # one trip for markup and entities, one for entities that were escaped twice
     assert re.search(r"ReadSchema: struct<.*html:string", text)
 
 
@@ -49,20 +51,29 @@ def test_extraction_reads_only_what_is_asked(pages):
 
 
 
-def test_html_is_never_shuffled(spark, part, pages, tmp_path):
+def test_only_pages_that_are_needed_are_read(spark, part, pages, tmp_path):
     static = stored(spark, read_static(pages), tmp_path / "static")
     rendered = stored(spark, inputs.rendered_pages(part), tmp_path / "rendered")
     answers = stored(spark, inputs.fallback_replies(part), tmp_path / "answers")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        df = resolve_tiers(static, rendered, answers)
-        text = plan(df)
-        assert "SortMergeJoin" in text
-        shuffles = shuffle_outputs(df)
-        assert len(shuffles) == 3
-        assert not any("html" in names for names in shuffles)
+        for df in (resolve_tiers(static, rendered, answers), fallback_requests(static, pages, rendered)):
+            text = plan(df)
+            # children stand below their parents: each parsing of HTML is above the semi-join with what is incomplete
+            assert 0 < text.index("ArrowEvalPython") < text.index("LeftSemi")
+            assert text.count("LeftSemi") == 1
+            assert sum("html" in re.split(r"[#, 0-9L]+", names) for names in shuffle_outputs(df)) == 1
+        assert "ArrowEvalPython" not in plan(fallback_requests(static, pages))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # few incomplete pages are broadcast, and then no HTML moves
+    assert not any("html" in re.split(r"[#, 0-9L]+", names) for names in shuffle_outputs(resolve_tiers(static, rendered, answers)))
+
+
+def test_replies_are_parsed_once(spark):
+    replies = stored(spark, inputs.listing_replies(inputs.table(spark, SF, "lineitem")), new_dir(spark, "replies"))
+    df = readable_pages(replies)
+    assert "payload" not in plan(df)
 
 
 def shuffle_outputs(df):
