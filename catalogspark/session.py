@@ -23,17 +23,29 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables, ``spark.checkpoint.dir``, which all executors must reach.
 
-    The setting is fixed when a session starts, so a session without one is refused.
+    The setting is fixed when a session starts. A session without it needs a call of ``setCheckpointDir``.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
         raise ValueError("start the session with spark.checkpoint.dir, a folder that all executors can reach")
     return configured
 
 
+_made: dict[str, list[str]] = {}
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def close(spark: SparkSession) -> None:
+    """Remove all that this application has stored below the shared folder; results that still read it end here."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

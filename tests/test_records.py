@@ -199,3 +199,19 @@ def test_published_versions_switch_together(spark, tmp_path):
     assert publish(path, products=merged) == 2 and read() == {"A", "B"} and read(version=1) == {"A"}
     merged.write.parquet(f"{path}/version=3/products")
     assert versions(spark, path) == [1, 2] and read() == {"A", "B"}
+
+
+def test_intermediate_tables_are_removed(spark):
+    from catalogspark import session
+    from catalogspark.sources.store import _names
+
+    kept = dict(session._made)
+    session._made.clear()
+    try:
+        table = session.materialize(spark.range(5), "numbers")
+        (path,) = session._made[spark.sparkContext.applicationId]
+        assert table.count() == 5 and _names(spark, path)
+        session.close(spark)
+        assert not _names(spark, path) and not session._made
+    finally:
+        session._made.update(kept)

@@ -540,7 +540,7 @@ FRONTIER = f"""(SELECT l_partkey AS p_partkey, count(*) AS n, arg_min(l_suppkey,
 WORKED = f"(SELECT * FROM {FRONTIER} JOIN ({WITH_RENDERING}) USING (p_partkey) WHERE prior IS NULL OR prior <> 'done')"
 
 
-def catalog_run(spark, sf_dir):
+def catalog_run(spark, sf_dir, **prior):
     part = inputs.parts(spark, sf_dir)
     lineitem, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     given = catalog_job.CatalogInputs(
@@ -552,7 +552,7 @@ def catalog_run(spark, sf_dir):
         listing_pages=materialize(inputs.listing_replies(lineitem), "replies"),
         pages=inputs.product_pages(part),
         products=inputs.prior_products(part),
-        states=inputs.prior_states(part),
+        states=inputs.prior_states(part, **prior),
         rendered=inputs.rendered_pages(part),
         answers=inputs.fallback_replies(part),
         recs_payloads=inputs.recs_replies(part, "SKU-"),
@@ -560,17 +560,29 @@ def catalog_run(spark, sf_dir):
     return catalog_job.run_catalog_job(given, run_at(), SITE)
 
 
-@query(f"""SELECT (SELECT count(*) FROM supplier) AS discovered_categories, (SELECT count(*) FROM {FRONTIER} WHERE prior IS NULL) AS discovered,
+RUN_STATS = f"""SELECT (SELECT count(*) FROM supplier) AS discovered_categories, (SELECT count(*) FROM {FRONTIER} WHERE prior IS NULL) AS discovered,
   count(*) FILTER (error IS NULL AND method = 'json_ld') AS extracted_jsonld,
   count(*) FILTER (error IS NULL AND method = 'playwright_dom') AS extracted_playwright,
   count(*) FILTER (error IS NULL AND method = 'llm_fallback') AS extracted_llm,
   CAST(coalesce(sum(n) FILTER (error IS NOT NULL), 0) AS BIGINT) AS failed,
   CAST(coalesce(sum(n - 1) FILTER (error IS NULL), 0) + (SELECT coalesce(sum(n), 0) FROM {FRONTIER} WHERE prior = 'done') AS BIGINT) AS skipped_done
-FROM {WORKED}""")
+FROM {WORKED}"""
+
+
+@query(RUN_STATS)
 def catalog_run_stats(spark, sf_dir):
     return catalog_run(spark, sf_dir).stats
 
 
+PRIOR = "CASE l_partkey % 11 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'discovered' END"
+
+
+@query(RUN_STATS.replace(PRIOR, "CASE WHEN l_partkey % 100 <> 7 THEN 'done' END"))
+def catalog_run_small_frontier(spark, sf_dir):
+    """A run in which a hundredth of the pages has work."""
+    return catalog_run(spark, sf_dir, status="CASE WHEN p_partkey % 100 <> 7 THEN 'done' END").stats
+
+
 @query(f"""SELECT sku, name, CASE WHEN p_partkey IS NULL THEN '' ELSE coalesce(r.alternatives, w.alternative_products) END AS alternative_products,
   extraction_method, source_category, price_text FROM
 (SELECT p_partkey, sku, name, price_text, alternative_products, method AS extraction_method, 's-' || first_cat AS source_category FROM {WORKED} WHERE error IS NULL) w
