@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalogspark.functions.text import is_blank, is_empty
 from catalogspark.operators.ordering import first_seen, latest_by_key
 from catalogspark.plans.extraction import extract_partial, merge_fallback, missing_error, missing_fields, product_record
-from catalogspark.session import materialize
+from catalogspark.session import configure, materialize
 from catalogspark.site import SiteConfig
 from catalogspark.sources.answers import merge_parts, parse_fallback_answers
 from catalogspark.sources.pages import build_fallback_requests
@@ -122,6 +122,7 @@ def run_cascade(
     final. ``answers`` is a table (url, content), with part_no if pages were asked about in parts, or a
     function that makes it from the requests.
     """
+    configure(pages.sparkSession)
     static = materialize(read_static(pages), "static-tier")
     return resolve_tiers(static, rendered, given_answers(answers, static, pages, rendered, site), strict)
 

@@ -9,12 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.operators.alternatives import attach_alternatives, top_alternatives
-from catalogspark.operators.discovery import canonical_categories, canonical_product_urls, filter_by_intent
+from catalogspark.operators.discovery import (
+    canonical_categories,
+    canonical_product_urls,
+    category_from_slug,
+    discover_categories,
+    filter_by_intent,
+)
 from catalogspark.operators.frontier import needs_work, with_prior_status
 from catalogspark.operators.ordering import cap_categories, cap_per_group, latest_by_key
 from catalogspark.plans.cascade import copy_order, given_answers, read_static, resolve_tiers, route_outcomes, with_copy_key
 from catalogspark.schemas import PRODUCT_SCHEMA, STATE_SCHEMA
-from catalogspark.session import materialize
+from catalogspark.session import configure, materialize
 from catalogspark.site import SiteConfig
 from catalogspark.sources.listings import explode_listing, pages_past_cap, readable_pages
 from catalogspark.sources.recs import explode_recs
@@ -25,9 +31,10 @@ from catalogspark.sources.store import make_state, publish, replace_rows
 class CatalogInputs:
     """Tables of a run. ``categories``: name, url, position; ``listing_pages``: category, page_no,
     payload; the others as their readers describe. ``rendered`` None means no rendering; ``answers``
-    may be a function from fallback requests to their answers."""
+    may be a function from fallback requests to their answers. Without ``categories`` they are those that
+    ``landing_pages`` (position, html) link, or those that ``slugs`` (slug, position) name."""
 
-    categories: DataFrame
+    categories: DataFrame | None
     listing_pages: DataFrame
     pages: DataFrame
     products: DataFrame
@@ -35,6 +42,8 @@ class CatalogInputs:
     rendered: DataFrame | None = None
     answers: DataFrame | Callable[[DataFrame], DataFrame] | None = None
     recs_payloads: DataFrame | None = None
+    landing_pages: DataFrame | None = None
+    slugs: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -52,6 +61,15 @@ class CatalogRun:
         return publish(path, products=self.products, states=self.states)
 
 
+def start_categories(inputs: CatalogInputs, site: SiteConfig) -> DataFrame:
+    """Name, url and position of the categories that a run starts from."""
+    if inputs.categories is not None:
+        return inputs.categories
+    if inputs.landing_pages is not None:
+        return discover_categories(inputs.landing_pages, site).select("name", "url", "position")
+    return category_from_slug(inputs.slugs, site).select("name", "url", "position")
+
+
 def list_occurrences(
     categories: DataFrame, listing_pages: DataFrame, site: SiteConfig, max_products: int | None
 ) -> DataFrame:
@@ -133,7 +151,8 @@ def run_catalog_job(
     page the last fetched counts. Pages without work are dropped before anything is read from their HTML.
     ``max_alternatives`` links are kept per product.
     """
-    categories = choose_categories(canonical_categories(inputs.categories, site), intent)
+    configure(inputs.pages.sparkSession)
+    categories = choose_categories(canonical_categories(start_categories(inputs, site), site), intent)
     categories = materialize(cap_categories(categories, max_categories), "categories")
     occurrences = list_occurrences(categories, inputs.listing_pages, site, max_products_per_category)
     frontier = materialize(plan_frontier(occurrences, inputs.states), "frontier")

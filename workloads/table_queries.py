@@ -540,7 +540,7 @@ FRONTIER = f"""(SELECT l_partkey AS p_partkey, count(*) AS n, arg_min(l_suppkey,
 WORKED = f"(SELECT * FROM {FRONTIER} JOIN ({WITH_RENDERING}) USING (p_partkey) WHERE prior IS NULL OR prior <> 'done')"
 
 
-def catalog_run(spark, sf_dir, **prior):
+def catalog_run(spark, sf_dir, given_categories=True, landing_pages=None, slugs=None, **prior):
     part = inputs.parts(spark, sf_dir)
     lineitem, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     given = catalog_job.CatalogInputs(
@@ -557,6 +557,8 @@ def catalog_run(spark, sf_dir, **prior):
         answers=inputs.fallback_replies(part),
         recs_payloads=inputs.recs_replies(part, "SKU-"),
     )
+    if not given_categories:
+        given = replace(given, categories=None, landing_pages=landing_pages, slugs=slugs)
     return catalog_job.run_catalog_job(given, run_at(), SITE)
 
 
@@ -577,6 +579,14 @@ def catalog_run_stats(spark, sf_dir):
 PRIOR = "CASE l_partkey % 11 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'discovered' END"
 
 
+@query(RUN_STATS)
+def catalog_run_from_landing_page(spark, sf_dir):
+    """A run that finds its categories on the landing pages of the nations."""
+    link = F.concat(F.lit(f'<a href="{BASE}/catalog/s-'), "s_suppkey", F.lit('">s</a>'))
+    landing = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("position"), link.alias("html"))
+    return catalog_run(spark, sf_dir, given_categories=False, landing_pages=landing).stats
+
+
 @query(RUN_STATS.replace(PRIOR, "CASE WHEN l_partkey % 100 <> 7 THEN 'done' END"))
 def catalog_run_small_frontier(spark, sf_dir):
     """A run in which a hundredth of the pages has work."""
