@@ -215,3 +215,23 @@ def test_intermediate_tables_are_removed(spark):
         assert not _names(spark, path) and not session._made
     finally:
         session._made.update(kept)
+
+
+def test_small_and_large_limits_agree(spark):
+    from pyspark.sql import functions as F
+
+    from catalogspark.operators.ordering import first_n
+
+    rows = spark.range(300).select((F.col("id") % 4 * F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 1000).alias("at"), "id")
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["at"], r["id"])):
+        want.setdefault(r["k"], []).append(r["id"])
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "20")
+    try:
+        for n in (19, 20, 21, 299):
+            got = {}
+            for r in first_n(rows, "k", ["at", "id"], n, rank_as="rank").orderBy("rank").collect():
+                got.setdefault(r["k"], []).append(r["id"])
+            assert got == {k: v[:n] for k, v in want.items()}
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")

@@ -267,20 +267,41 @@ def brand_mode(spark, sf_dir):
 
 # --- 2.1 store -------------------------------------------------------------------------------------
 
-UPSERTED = f"""(SELECT '' || l_partkey AS sku, printf('%.2f', l_extendedprice) AS price_text, method AS extraction_method FROM
-  (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC) AS rn
-   FROM {OBS}) WHERE rn = 1
-  UNION ALL SELECT 'SKU-' || p_partkey, NULL, 'json_ld' FROM part WHERE p_partkey % 11 = 0)"""
+# All columns of a product as text: absent lists and maps as '-', times by the second.
+_PRODUCT_TEXT = f"""'' || l_partkey AS sku, '-' AS item_numbers, '-' AS mfr_numbers, 'Part ' || l_partkey AS name, '{BASE}/product/p-' || l_partkey AS product_url,
+  '' AS category_path, CASE WHEN l_discount > 0.05 THEN 'Brand' END AS brand, printf('%.4f', l_extendedprice) AS price, printf('%.2f', l_extendedprice) AS price_text,
+  'USD' AS currency, 'InStock' AS availability, CASE WHEN l_tax > 0.04 THEN '10/box' END AS pack_size, '' AS description,
+  CASE WHEN l_quantity > 25 THEN 'k=v' ELSE '-' END AS specifications, CASE WHEN l_linenumber > 4 THEN 'x|y' ELSE 'x' END AS image_urls,
+  CASE WHEN CAST(l_quantity AS INT) % 2 = 0 THEN 'x' ELSE '' END AS alternative_products, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS extracted_at,
+  CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'json_ld' WHEN 'RF' THEN 'dom' WHEN 'NF' THEN 'playwright_dom' WHEN 'NO' THEN 'llm_fallback' ELSE 'other' END AS extraction_method,
+  's-' || l_suppkey AS source_category"""
+_OLD_PRODUCT_TEXT = f"""'SKU-' || p_partkey, '-', '-', 'old ' || p_name, '{BASE}/product/p-' || p_partkey, '-', NULL, NULL, NULL, NULL, NULL, NULL, NULL, '-', '-', '-',
+  '2024-01-01 00:00:00', 'json_ld', 'earlier'"""
+UPSERTED_WHOLE = f"""(SELECT {_PRODUCT_TEXT} FROM
+  (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem)
+  WHERE rn = 1 UNION ALL SELECT {_OLD_PRODUCT_TEXT} FROM part WHERE p_partkey % 11 = 0)"""
+
+
+def product_text(products):
+    """Every column of a products table as text."""
+    pairs = F.transform(F.map_entries("specifications"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    shown = {
+        "price": F.col("price").cast("decimal(38,4)").cast("string"),
+        "specifications": F.coalesce(F.array_join(pairs, "|"), F.lit("-")),
+        "extracted_at": F.date_format("extracted_at", "yyyy-MM-dd HH:mm:ss"),
+    }
+    lists = ("item_numbers", "mfr_numbers", "category_path", "image_urls", "alternative_products")
+    shown |= {name: F.coalesce(F.array_join(name, "|"), F.lit("-")) for name in lists}
+    return products.select(*[shown.get(f.name, F.col(f.name)).alias(f.name) for f in PRODUCT_SCHEMA])
 
 
-@query(f"SELECT * FROM {UPSERTED}")
+@query(f"SELECT * FROM {UPSERTED_WHOLE}")
 def upsert_products(spark, sf_dir):
     """Sightings upserted into a table that has other products, then upserted again over themselves."""
     sightings = observations(spark, sf_dir)
     existing = inputs.prior_products(table(spark, sf_dir, "part"))
     once = store.upsert_products(existing, sightings, SEEN)
-    again = store.upsert_products(once, sightings, SEEN)
-    return again.select("sku", "price_text", "extraction_method")
+    return product_text(store.upsert_products(once, sightings, SEEN))
 
 
 @query("SELECT count(*) AS n FROM lineitem")
@@ -316,7 +337,7 @@ def upsert_states(spark, sf_dir):
     return store.upsert_states(existing, changes(spark, sf_dir), "event_id").drop("updated_at")
 
 
-@query(f"SELECT sku, price_text, extraction_method FROM {UPSERTED}")
+@query(f"SELECT * FROM {UPSERTED_WHOLE}")
 def batch_table(spark, sf_dir):
     """Batches stored, one of them twice, compacted, and read back."""
     path = new_dir(spark, "products")
@@ -326,7 +347,7 @@ def batch_table(spark, sf_dir):
     products.write_batch(inputs.prior_products(table(spark, sf_dir, "part")), 1, "sku")
     products.write_batch(sightings, 2, SEEN)
     products.write_batch(sightings, 2, SEEN)
-    return products.compact(new_dir(spark, "compacted")).read().select("sku", "price_text", "extraction_method")
+    return product_text(products.compact(new_dir(spark, "compacted")).read())
 
 
 @query(f"""SELECT 'unique' AS rule, 'sku' AS "column", '' || l_partkey AS value, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(*) > 1
