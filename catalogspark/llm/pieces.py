@@ -31,8 +31,8 @@ MARK = "▁"
 #: Fixed values of the model format: types of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Encodings of segments that a worker remembers.
-REMEMBERED = 200_000
+#: Encodings of segments that a worker remembers, twice this many at most.
+REMEMBERED = 150_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -77,6 +77,8 @@ class Machine:
     halves: dict[int, tuple[int, int]] = field(default_factory=dict)
     apart: dict[tuple[int, int], bool] = field(default_factory=dict)
     known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    older: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    longest_from: dict[str, int] = field(default_factory=dict)
 
     # --- encoding ---------------------------------------------------------------------------------
 
@@ -86,7 +88,7 @@ class Machine:
         return MARK + text if text and self.dummy_prefix else text
 
     def encode(self, text: str) -> array:
-        out, known = array("i"), self.known
+        out, known, older = array("i"), self.known, self.older
         if not text:
             return out
         if self.dummy_prefix and "  " not in text and text[0] != " " and MARK not in text and text[-1] != " ":
@@ -96,10 +98,14 @@ class Machine:
         for s in segments:
             ids = known.get(s)
             if ids is None:
+                ids = older.get(s)
+                if ids is None:
+                    ids = tuple(self.shortest_path(s[0] if isinstance(s, tuple) else MARK + s))
                 if len(known) >= REMEMBERED:
-                    known.clear()
-                whole = s[0] if isinstance(s, tuple) else MARK + s
-                ids = known[s] = tuple(self.shortest_path(whole))
+                    # the older half goes; what is used again comes back from it
+                    self.older, self.known = known, {}
+                    known, older = self.known, self.older
+                known[s] = ids
             out.extend(ids)
         return out
 
@@ -146,14 +152,15 @@ class Machine:
         if whole is not None:
             return [whole]
         path, ends, dead = [], [0], set()
-        at, reach = 0, min(n, self.longest)
+        longest_from = self.longest_from
+        at, reach = 0, min(n, longest_from.get(part[:4]) or longest_from.get(part[:3], 2))
         while at < n:
             for j in range(reach, at, -1):
                 piece = arcs.get(part[at:j])
                 if piece is not None and j not in dead and (not path or self.may_follow(path[-1], piece)):
                     path.append(piece)
                     ends.append(j)
-                    at, reach = j, min(n, j + self.longest)
+                    at, reach = j, min(n, j + (longest_from.get(part[j : j + 4]) or longest_from.get(part[j : j + 3], 2)))
                     break
             else:
                 if not path:
@@ -284,6 +291,10 @@ def _derive(machine: Machine) -> None:
             made[piece] = machine.merge(name)
     machine.arcs = {n: i for n, i in whole.items() if len(n) == 1 or len(made[i]) == 2}
     machine.halves = {i: tuple(made[i]) for n, i in machine.arcs.items() if len(n) > 1}
+    for name in machine.arcs:
+        # pieces by their first four characters, and those of three by themselves
+        if len(name) >= 3:
+            machine.longest_from[name[:4]] = max(len(name), machine.longest_from.get(name[:4], 3))
 
 
 class _Without(dict):
