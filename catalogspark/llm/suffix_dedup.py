@@ -35,6 +35,8 @@ SPAN = LENGTH - ANCHOR + 1
 #: Anchors are compared by this many bits; equal hashes of different anchors cost time, not correctness.
 KEY_BITS = 48
 BATCHES = 8
+#: Positions hashed at a time, which keeps working memory small.
+CHUNK = 1 << 17
 NO_ID = np.iinfo(np.int64).max
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 PACKED = "block long, bucket int, data binary"
@@ -71,17 +73,26 @@ def _words_at(data: np.ndarray) -> np.ndarray:
 
 def _fingerprints(data: np.ndarray, size: int, seed: int) -> np.ndarray:
     """A 64-bit hash of the `size` bytes at each position; positions too close to the end have none."""
-    n = len(data) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    word = _words_at(data)
+    n = max(0, len(data) - size + 1)
     out = np.zeros(n, np.uint64)
-    for k, at in enumerate([*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]):
-        part = word[at : at + n] * hashing.FACTORS[(k + seed) % 16]
-        part ^= part >> np.uint64(29)
-        out += part
-        out *= hashing.FACTORS[(k + 7 * seed + 3) % 16]
-    return hashing.mix(out)
+    word = _words_at(data)
+    places = [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]
+    for start in range(0, n, CHUNK):
+        own = out[start : start + CHUNK]
+        for k, at in enumerate(places):
+            part = word[start + at : start + at + len(own)] * hashing.FACTORS[(k + seed) % 16]
+            part ^= part >> np.uint64(29)
+            own += part
+            own *= hashing.FACTORS[(k + 7 * seed + 3) % 16]
+        own[:] = hashing.mix(own)
+    return out
+
+
+def _least_ahead(values: np.ndarray, width: int) -> None:
+    """Replace each value by the least of it and the one `width` further on."""
+    for start in range(0, len(values) - width, CHUNK):
+        end = min(start + CHUNK, len(values) - width)
+        values[start:end] = np.minimum(values[start:end], values[start + width : end + width])
 
 
 class _Block:
@@ -98,21 +109,24 @@ class _Block:
             none = np.zeros(0, np.int64)
             return none.astype(np.uint64), none, none, none
         least = np.full(n, _LAST, np.uint64)
-        least[: n - ANCHOR + 1] = _fingerprints(self.data, ANCHOR, 1) >> np.uint64(64 - KEY_BITS)
+        least[: n - ANCHOR + 1] = _fingerprints(self.data, ANCHOR, 1)
         width = 1
         while 2 * width <= SPAN:
-            least[: n - width] = np.minimum(least[: n - width], least[width:])
+            _least_ahead(least, width)
             width *= 2
-        rest = SPAN - width
-        least[: n - rest] = np.minimum(least[: n - rest], least[rest:])
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        inside = np.arange(n) + LENGTH <= np.repeat(self.offsets[1:], sizes)
+        _least_ahead(least, SPAN - width)
+        inside = np.ones(n, bool)
+        for start, end in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist()):
+            inside[max(start, end - LENGTH + 1) : end] = False
+        # a run ends where the anchor changes and with the last window of a document, which the next one is not beside
+        change = least[1:] != least[:-1]
         begins = inside.copy()
-        begins[1:] &= ~inside[:-1] | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+        begins[1:] &= ~inside[:-1] | change
+        ends = inside
+        ends[:-1] &= ~inside[1:] | change
         starts = np.flatnonzero(begins)
-        ends = inside.copy()
-        ends[:-1] &= ~inside[1:] | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-        return least[starts], starts, np.flatnonzero(ends) + 1, doc[starts]
+        # least hashes lie close to zero, so they are hashed again to spread over the buckets
+        return hashing.mix(least[starts]) >> np.uint64(64 - KEY_BITS), starts, np.flatnonzero(ends) + 1, np.searchsorted(self.offsets, starts, "right") - 1
 
     def keys(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(distinct keys in order, whether several documents of the block have it, bounds of each bucket)."""
@@ -249,9 +263,9 @@ def _wanted(block: _Block, buckets: int, answers: dict[int, bytes]) -> np.ndarra
     return key[wanted]
 
 
-def _in_buckets(pieces: dict[str, np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piece numbers bucket by bucket, and each bucket's bounds; pieces are in order of their keys already."""
-    return np.arange(len(pieces["key"])), np.searchsorted(_bucket_of(pieces["key"], buckets), np.arange(buckets + 1))
+def _in_buckets(pieces: dict[str, np.ndarray], buckets: int) -> np.ndarray:
+    """Each bucket's bounds among the pieces, which are in order of their keys."""
+    return np.searchsorted(_bucket_of(pieces["key"], buckets), np.arange(buckets + 1))
 
 
 def _send_pieces(buckets: int):
@@ -259,7 +273,7 @@ def _send_pieces(buckets: int):
         rows = dict(zip(table["bucket"].to_pylist(), table["data"].to_pylist()))
         block = _opened(rows.pop(-1))
         pieces = block.pieces(_wanted(block, buckets, rows))
-        _, cuts = _in_buckets(pieces, buckets)
+        cuts = _in_buckets(pieces, buckets)
         out = []
         for b in np.flatnonzero(np.diff(cuts)):
             own = pieces["sample"][cuts[b] : cuts[b + 1]]
@@ -347,7 +361,7 @@ def _remove(buckets: int, with_bytes: bool):
                 (shared if step == 1 else answers)[b] = data
         block = _opened(own[0])
         pieces = block.pieces(_wanted(block, buckets, shared))
-        _, cuts = _in_buckets(pieces, buckets)
+        cuts = _in_buckets(pieces, buckets)
         windows = pieces["size"] - LENGTH + 1
         first = np.concatenate([[0], np.cumsum(windows)])
         hit = np.zeros(first[-1], bool)
@@ -379,7 +393,7 @@ def _remove(buckets: int, with_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, with_bytes: bool = True, block_bytes: int = 1 << 22, bucket_bytes: int = 1 << 24) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, with_bytes: bool = True, block_bytes: int = 1 << 22, bucket_bytes: int = 1 << 23) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes.
 
     Removed is each byte that a 50-byte string covers which also starts in a document with a smaller doc_id, judged on the input. A NULL
