@@ -173,8 +173,8 @@ def description_cleanup(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey,
-  CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN printf('%.4f', o_totalprice) WHEN 2 THEN printf('%.4f', o_totalprice)
-    WHEN 3 THEN NULL ELSE '1200.0000' END AS price,
+  CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN printf('%.2f', o_totalprice) || '00000000' WHEN 2 THEN printf('%.2f', o_totalprice) || '00000000'
+    WHEN 3 THEN NULL ELSE '1200.0000000000' END AS price,
   CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'InStock' WHEN 2 THEN 'PreOrder' WHEN 3 THEN 'Unknown'
     ELSE 'Discontinued' END AS availability,
   o_orderpriority AS stripped FROM orders""")
@@ -250,7 +250,7 @@ def record_columns() -> list[Column]:
     ]
 
 
-@query(f"""SELECT {RECORD_NAMES}, price_text || '00' AS price, method AS extraction_method, p_type AS source_category,
+@query(f"""SELECT {RECORD_NAMES}, price_text || '00000000' AS price, method AS extraction_method, p_type AS source_category,
   '2024-06-01T00:00:00+00:00' AS extracted_at
 FROM ({STATIC}) JOIN (SELECT p_partkey, p_type FROM part) USING (p_partkey) WHERE missing = ''""")
 def build_records(spark, sf_dir):
@@ -350,7 +350,7 @@ def cascade_without_rendering(spark, sf_dir):
     return outcomes.select("position", "partial.sku", "partial.name", "partial.price_text", "method", "error")
 
 
-@query(f"""SELECT {RECORD_NAMES.replace('price_text, ', '').replace('product_url', "coalesce(product_url, url) AS product_url").replace('description', "coalesce(description, '') AS description")}, price_text, price_text || '00' AS price,
+@query(f"""SELECT {RECORD_NAMES.replace('price_text, ', '').replace('product_url', "coalesce(product_url, url) AS product_url").replace('description', "coalesce(description, '') AS description")}, price_text, price_text || '00000000' AS price,
   method AS extraction_method, p_type AS source_category, '2024-06-01T00:00:00+00:00' AS extracted_at
 FROM ({WITH_RENDERING}) JOIN (SELECT p_partkey, p_type FROM part) USING (p_partkey) WHERE error IS NULL""")
 def outcome_products(spark, sf_dir):
