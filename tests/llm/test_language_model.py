@@ -65,6 +65,26 @@ def test_neighbours_are_learned(spark):
     assert all(r.score > 0.6 * r.base_score for r in held)
 
 
+def test_histories_do_not_share_restaurants(spark):
+    """4,000 histories, each with one successor: with a bounded number of restaurants several successors would share one."""
+    n, rng = 4000, random.Random(6)
+    pairs = [f"h{k} s{k}" for k in range(n)]
+    rows = [(i, " ".join(rng.sample(pairs, 400))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm.score_texts(docs, lm.Model(block_bytes=200_000, bucket_bytes=50_000)).collect()
+    held = [r for r in got if r.held_out]
+    # a successor that is certain leaves each pair's first word only, log10(8000) or so, and some for seating
+    assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -2.2
+
+
+def test_a_word_is_spread_over_buckets():
+    """A frequent word's pairs lie in several buckets, and a frequent history's too."""
+    grid, hashes = lm._grid(100), np.random.default_rng(2).integers(1, 2**63, 5000).astype(np.uint64)
+    one = np.full(5000, 7, np.uint64)
+    for buckets in (lm._bucket_of(one, hashes, grid), lm._bucket_of(hashes, one, grid)):
+        assert np.bincount(buckets).max() < 5000 / 5
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     words, contexts = 40, 6
