@@ -12,7 +12,9 @@ their first `LENGTH` bytes, not alphabetically: only equality of that many bytes
    of about equal size merge, so an entry is merged a logarithmic number of times.
 3. The answers, a bit per window, return to the blocks, which remove what repeated windows cover.
 
-A frequent passage is sent once per block, so no task receives all its copies.
+A frequent passage is sent once per block, so no task receives all its copies. A short string with ever other text around it, as a header
+of less than `LENGTH` bytes has, gives one anchor many different pieces. Anchors with more than `HOT` runs send the fingerprints of
+their windows instead, each once per block with its smallest document, spread over as many buckets again by fingerprint.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ SPAN = LENGTH - ANCHOR + 1
 #: Anchors are compared by this many bits; equal hashes of different anchors cost time, not correctness.
 KEY_BITS = 48
 BATCHES = 8
+#: Anchors with more runs than this are spread by window.
+HOT = 1 << 14
 #: Positions hashed at a time, which keeps working memory small.
 CHUNK = 1 << 17
 NO_ID = np.iinfo(np.int64).max
@@ -128,35 +132,55 @@ class _Block:
         # least hashes lie close to zero, so they are hashed again to spread over the buckets
         return hashing.mix(least[starts]) >> np.uint64(64 - KEY_BITS), starts, np.flatnonzero(ends) + 1, np.searchsorted(self.offsets, starts, "right") - 1
 
-    def keys(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct keys in order, whether several documents of the block have it, bounds of each bucket)."""
+    def keys(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys in order, whether several documents of the block have it, number of runs up to 65535, bounds of each bucket)."""
         key, _, _, doc = self.anchors()
         order = np.argsort(key, kind="stable")
         key, ids = key[order], self.ids[doc[order]]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         shared = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(key) else np.zeros(0, bool)
+        runs = np.minimum(np.diff(np.append(first, len(key))), 65535).astype(np.uint16)
         key = key[first]
-        return key, shared, np.searchsorted(_bucket_of(key, buckets), np.arange(buckets + 1))
+        return key, shared, runs, np.searchsorted(_bucket_of(key, buckets), np.arange(buckets + 1))
 
-    def pieces(self, wanted: np.ndarray) -> dict[str, np.ndarray]:
+    def pieces(self, wanted: np.ndarray, hot: np.ndarray) -> dict[str, np.ndarray]:
         """The runs whose anchor is wanted (sorted keys), their text up to the end of the last window, and equal ones numbered.
 
-        `of` gives each run the number of its piece; `sample` a run of each piece in its smallest document, `least` that document's id.
+        Pieces are in order of their keys, those of hot anchors (a flag per wanted key) after all others, from number `cold` on. `of` gives each run the number of its piece; `sample` a run of each piece in its smallest document, `least` that document's id.
         """
         key, start, end, doc = self.anchors()
         at = np.searchsorted(wanted, key)
         at[at == len(wanted)] = 0
         hit = (wanted[at] == key) if len(wanted) else np.zeros(len(key), bool)
+        late = hot[at[hit]] if len(wanted) else hit[hit]
         key, start, end, ids = key[hit], start[hit], end[hit], self.ids[doc[hit]]
         size = end - start + LENGTH - 1
         a, b = (_run_hash(self.data, start, size, seed) for seed in (2, 5))
-        order = np.lexsort((ids, b, a, key))
+        order = np.lexsort((ids, b, a, key, late))
         k, x, y = key[order], a[order], b[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(k) else np.zeros(0, bool)
         of = np.empty(len(k), np.int64)
         of[order] = np.cumsum(new) - 1
         sample = order[new]
-        return {"start": start, "end": end, "ids": ids, "of": of, "sample": sample, "key": key[sample], "least": ids[sample], "size": size[sample]}
+        return {"start": start, "end": end, "ids": ids, "of": of, "sample": sample, "key": key[sample], "least": ids[sample], "size": size[sample],
+                "cold": int((~late[sample]).sum())}
+
+    def hot_windows(self, pieces: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(high, low, smallest document) of each distinct window of the hot pieces, in order, and the number of each of their windows."""
+        cold = pieces["cold"]
+        if cold == len(pieces["key"]):
+            none = np.zeros(0, np.int64)
+            return none.astype(np.uint64), none.astype(np.uint64), none, none
+        windows = pieces["size"][cold:] - LENGTH + 1
+        at = np.repeat(pieces["start"][pieces["sample"][cold:]] - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+        high, low = _fingerprints(self.data, LENGTH, 3)[at], _fingerprints(self.data, LENGTH, 4)[at]
+        least = np.repeat(pieces["least"][cold:], windows)
+        order = np.lexsort((least, low, high))
+        h, w = high[order], low[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        return h[new], w[new], least[order][new], of
 
 
 def _run_hash(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
@@ -226,53 +250,64 @@ def _send_keys(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(2)):
-                key, shared, cuts = _opened(data.as_py()).keys(buckets)
+                key, shared, runs, cuts = _opened(data.as_py()).keys(buckets)
                 for b in np.flatnonzero(np.diff(cuts)):
                     own = slice(cuts[b], cuts[b + 1])
-                    yield _row(name, int(b), _pack(_planes(key[own]), np.packbits(shared[own])))
+                    yield _row(name, int(b), _pack(_planes(key[own]), np.packbits(shared[own]), runs[own]))
+
+    return run
+
+
+def _find_shared(hot: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """For each block, two bits per key that it sent: whether several documents have it, and whether it has more than `hot` runs."""
+        # equal blocks send the same and may share their answer
+        rows, keys, shared, runs = dict(zip(table["block"].to_pylist(), table["data"].to_pylist())), [], [], []
+        for data in rows.values():
+            planes, bits, n = _unpack(data, "u1", "u1", "u2")
+            keys.append(_from_planes(planes))
+            shared.append(np.unpackbits(bits, count=len(keys[-1])).astype(bool))
+            runs.append(n)
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        ordered = every[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        counts = np.diff(np.append(first, len(ordered)))
+        found = (counts > 1) | np.logical_or.reduceat(np.concatenate(shared)[order], first)
+        many = np.add.reduceat(np.concatenate(runs)[order].astype(np.int64), first) > hot
+        bits = np.empty((2, len(every)), bool)
+        bits[:, order] = np.repeat([found, many], counts, axis=1)
+        cuts = np.cumsum([0, *map(len, keys)])
+        return _table([_row(b, key[0].as_py(), _pack(*(np.packbits(x[i:j]) for x in bits))) for b, i, j in zip(rows, cuts[:-1], cuts[1:])])
 
     return run
 
 
-def _find_shared(key: tuple, table: pa.Table) -> pa.Table:
-    """For each block, a bit per key that it sent: whether several documents have it."""
-    # equal blocks send the same and may share their answer
-    rows, keys, shared = dict(zip(table["block"].to_pylist(), table["data"].to_pylist())), [], []
-    for data in rows.values():
-        planes, bits = _unpack(data, "u1", "u1")
-        keys.append(_from_planes(planes))
-        shared.append(np.unpackbits(bits, count=len(keys[-1])).astype(bool))
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    ordered = every[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    counts = np.diff(np.append(first, len(ordered)))
-    found = (counts > 1) | np.logical_or.reduceat(np.concatenate(shared)[order], first)
-    bits = np.empty(len(every), bool)
-    bits[order] = np.repeat(found, counts)
-    cuts = np.cumsum([0, *map(len, keys)])
-    return _table([_row(b, key[0].as_py(), _pack(np.packbits(bits[i:j]))) for b, i, j in zip(rows, cuts[:-1], cuts[1:])])
-
-
-def _wanted(block: _Block, buckets: int, answers: dict[int, bytes]) -> np.ndarray:
-    key, _, cuts = block.keys(buckets)
-    wanted = np.zeros(len(key), bool)
+def _wanted(block: _Block, buckets: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The block's keys that other documents have, in order, and whether they are hot."""
+    key, _, _, cuts = block.keys(buckets)
+    wanted, hot = np.zeros(len(key), bool), np.zeros(len(key), bool)
     for b, data in answers.items():
-        (bits,) = _unpack(data, "u1")
-        wanted[cuts[b] : cuts[b + 1]] = np.unpackbits(bits, count=cuts[b + 1] - cuts[b]).astype(bool)
-    return key[wanted]
+        for out, bits in zip((wanted, hot), _unpack(data, "u1", "u1")):
+            out[cuts[b] : cuts[b + 1]] = np.unpackbits(bits, count=cuts[b + 1] - cuts[b]).astype(bool)
+    return key[wanted], hot[wanted]
 
 
 def _in_buckets(pieces: dict[str, np.ndarray], buckets: int) -> np.ndarray:
-    """Each bucket's bounds among the pieces, which are in order of their keys."""
-    return np.searchsorted(_bucket_of(pieces["key"], buckets), np.arange(buckets + 1))
+    """Each bucket's bounds among the pieces that are not hot, which are in order of their keys."""
+    return np.searchsorted(_bucket_of(pieces["key"][: pieces["cold"]], buckets), np.arange(buckets + 1))
+
+
+def _in_hot_buckets(high: np.ndarray, buckets: int) -> np.ndarray:
+    """Bounds among sorted fingerprints of each bucket for hot windows, which are numbered from `buckets` on."""
+    return np.searchsorted(_bucket_of(high >> np.uint64(64 - KEY_BITS), buckets), np.arange(buckets + 1))
 
 
 def _send_pieces(buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = dict(zip(table["bucket"].to_pylist(), table["data"].to_pylist()))
         block = _opened(rows.pop(-1))
-        pieces = block.pieces(_wanted(block, buckets, rows))
+        pieces = block.pieces(*_wanted(block, buckets, rows))
         cuts = _in_buckets(pieces, buckets)
         out = []
         for b in np.flatnonzero(np.diff(cuts)):
@@ -280,6 +315,11 @@ def _send_pieces(buckets: int):
             size = pieces["size"][cuts[b] : cuts[b + 1]]
             spread = np.repeat(pieces["start"][own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             out.append(_row(key[0].as_py(), int(b), _pack(pieces["least"][cuts[b] : cuts[b + 1]], size.astype(np.int32), block.data[spread])))
+        high, low, least, _ = block.hot_windows(pieces)
+        cuts = _in_hot_buckets(high, buckets)
+        for b in np.flatnonzero(np.diff(cuts)):
+            own = slice(cuts[b], cuts[b + 1])
+            out.append(_row(key[0].as_py(), int(buckets + b), _pack(least[own], _planes(high[own]), low[own])))
         return _table(out)
 
     return run
@@ -330,6 +370,23 @@ def repeated(documents: np.ndarray, high: np.ndarray, low: np.ndarray, batches:
     return out
 
 
+def _match_hot(key: tuple, table: pa.Table) -> pa.Table:
+    """For each block, a bit per window that it sent. A window comes once per block, so no fingerprint gathers here."""
+    blocks, least, high, low = table["block"].to_pylist(), [], [], []
+    for data in table["data"].to_pylist():
+        d, h, w = _unpack(data, "i8", "u1", "u8")
+        least.append(d)
+        high.append(_from_planes(h))
+        low.append(w)
+    bits = repeated(np.concatenate(least), np.concatenate(high), np.concatenate(low))
+    cuts = np.cumsum([0, *map(len, least)])
+    return _table([_row(b, key[0].as_py(), _pack(np.packbits(bits[i:j]))) for b, i, j in zip(blocks, cuts[:-1], cuts[1:])])
+
+
+def _match_any(buckets: int):
+    return lambda key, table: (_match if key[0].as_py() < buckets else _match_hot)(key, table)
+
+
 def _match(key: tuple, table: pa.Table) -> pa.Table:
     """For each block, a bit per window of each piece that it sent."""
     blocks, least, sizes, texts = table["block"].to_pylist(), [], [], []
@@ -360,19 +417,31 @@ def _remove(buckets: int, with_bytes: bool):
             else:
                 (shared if step == 1 else answers)[b] = data
         block = _opened(own[0])
-        pieces = block.pieces(_wanted(block, buckets, shared))
+        pieces = block.pieces(*_wanted(block, buckets, shared))
         cuts = _in_buckets(pieces, buckets)
         windows = pieces["size"] - LENGTH + 1
         first = np.concatenate([[0], np.cumsum(windows)])
         hit = np.zeros(first[-1], bool)
+        high, _, hot_least, of_hot = block.hot_windows(pieces)
+        hot_hit, hot_cuts = np.zeros(len(high), bool), _in_hot_buckets(high, buckets)
         for b, data in answers.items():
             (bits,) = _unpack(data, "u1")
-            i, j = first[cuts[b]], first[cuts[b + 1]]
-            hit[i:j] = np.unpackbits(bits, count=j - i).astype(bool)
-        # windows of a run: those of its piece, or all of them if a smaller document of the block has the piece
+            if b < buckets:
+                i, j = first[cuts[b]], first[cuts[b + 1]]
+                hit[i:j] = np.unpackbits(bits, count=j - i).astype(bool)
+            else:
+                i, j = hot_cuts[b - buckets], hot_cuts[b - buckets + 1]
+                hot_hit[i:j] = np.unpackbits(bits, count=j - i).astype(bool)
+        # the smallest document of the block that has a window: for a hot piece of any piece with it, else of the piece
+        least = np.repeat(pieces["least"], windows)
+        if len(of_hot):
+            at_hot = first[pieces["cold"]]
+            hit[at_hot:], least[at_hot:] = hot_hit[of_hot], hot_least[of_hot]
+        # windows of a run: those of its piece, or those that a smaller document of the block has
         n = pieces["end"] - pieces["start"]
         shift = np.arange(n.sum()) - np.repeat((np.cumsum(n) - n), n)
-        gone = hit[np.repeat(first[pieces["of"]], n) + shift] | np.repeat(pieces["ids"] > pieces["least"][pieces["of"]], n)
+        window = np.repeat(first[pieces["of"]], n) + shift
+        gone = hit[window] | (np.repeat(pieces["ids"], n) > least[window])
         at = (np.repeat(pieces["start"], n) + shift)[gone]
         change = np.zeros(len(block.data) + LENGTH + 1, np.int32)
         change[at] += 1
@@ -393,7 +462,7 @@ def _remove(buckets: int, with_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, with_bytes: bool = True, block_bytes: int = 1 << 22, bucket_bytes: int = 1 << 23) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, with_bytes: bool = True, block_bytes: int = 1 << 22, bucket_bytes: int = 1 << 23, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes.
 
     Removed is each byte that a 50-byte string covers which also starts in a document with a smaller doc_id, judged on the input. A NULL
@@ -405,9 +474,9 @@ def remove_repeats(docs: DataFrame, *, with_bytes: bool = True, block_bytes: int
     buckets = max(8, -(-size // bucket_bytes))
     blocks = materialize(_blocks(docs, block_bytes), "suffix-blocks")
     keys = blocks.mapInArrow(_send_keys(buckets), PACKED)
-    shared = materialize(keys.groupBy("bucket").applyInArrow(_find_shared, PACKED), "suffix-shared")
+    shared = materialize(keys.groupBy("bucket").applyInArrow(_find_shared(hot), PACKED), "suffix-shared")
     sent = blocks.unionByName(shared).groupBy("block").applyInArrow(_send_pieces(buckets), PACKED)
-    answers = sent.groupBy("bucket").applyInArrow(_match, PACKED)
+    answers = sent.groupBy("bucket").applyInArrow(_match_any(buckets), PACKED)
     steps = blocks.withColumn("step", F.lit(0)).unionByName(shared.withColumn("step", F.lit(1)))
     steps = steps.unionByName(answers.withColumn("step", F.lit(2)))
     out = steps.groupBy("block").applyInArrow(_remove(buckets, with_bytes), RESULT)

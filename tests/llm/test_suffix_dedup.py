@@ -61,6 +61,50 @@ def test_planted_passages(spark):
     assert sd.remove_repeats(docs.limit(0)).count() == 0
 
 
+def headed(n):
+    """Texts that share a header of 40 bytes, with windows across it that are alike in some of them."""
+    rng = random.Random(4)
+    word = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    tails = [word(60) for _ in range(30)]
+    return [word(30) + "This is the header of every hot page. <p>" + (rng.choice(tails) if rng.random() < 0.4 else word(60)) for _ in range(n)]
+
+
+def test_hot_anchors_do_not_change_the_result(spark):
+    texts = headed(300)
+    rows = list(enumerate(texts)) + [(5, texts[9]), (None, texts[10]), (None, texts[10])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (0, 100, sd.HOT):
+        same(docs, block_bytes=3000, bucket_bytes=5000, hot=hot)
+
+
+def test_hot_anchors_are_spread(monkeypatch):
+    """The largest bucket of windows, with documents that all have their own piece of one anchor."""
+    monkeypatch.setattr(sd, "HOT", 100)
+    texts, buckets = [t.encode() for t in headed(2000)], 8
+    blocks = []
+    for k in range(0, 2000, 200):
+        own = texts[k : k + 200]
+        sizes, data = np.array([len(t) for t in own], np.int64), np.frombuffer(b"".join(own), np.uint8)
+        blocks.append(sd._row(k, -1, sd._pack(np.arange(k, k + 200), sizes, data)))
+    keys = sd._table(list(sd._send_keys(buckets)(blocks)))
+    find = sd._find_shared(sd.HOT)
+    answers = []
+    for b in range(buckets):
+        rows = [r for r in keys.to_batches() if r["bucket"][0].as_py() == b]
+        if rows:
+            answers += find((rows[0]["bucket"][0],), sd._table(rows)).to_batches()
+    load = {}
+    for own in blocks:
+        rows = [own] + [r for r in answers if r["block"][0] == own["block"][0]]
+        for r in sd._send_pieces(buckets)((own["block"][0],), sd._table(rows)).to_pylist():
+            if r["bucket"] < buckets:
+                n = int((sd._unpack(r["data"], "i8", "i4", "u1")[1].astype(np.int64) - 49).sum())
+            else:
+                n = len(sd._unpack(r["data"], "i8", "u1", "u8")[0])
+            load[r["bucket"]] = load.get(r["bucket"], 0) + n
+    assert max(load.values()) < sum(load.values()) / 4
+
+
 def test_levels_find_what_was_inserted():
     rng = np.random.default_rng(0)
     levels, seen = sd.SuffixLevels(), set()
