@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogspark.llm.common import SPACE, packed, text_or_empty, words
+from catalogspark.llm.common import SPACE, ascii_lower, packed, text_or_empty, words
 from catalogspark.session import once
 
 SYMBOLS = "#*$%&|<>"
@@ -34,9 +34,12 @@ def _covered(places: str) -> Column:
 
 
 def with_counts(df: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """`keep`, the hashes `w` of the words in the column `text`, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
+    """`keep`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), and the hashes `folded` of the words in lower case.
+
+    Repeated windows compare the words as they are written.
+    """
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    df = once(df, [*keep, text], w=_word_hashes(text), lines=lines)
+    df = once(df, [*keep, text], w=_word_hashes(F.col(text)), folded=_word_hashes(ascii_lower(F.col(text))), lines=lines)
     at = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
     threes = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), at)).otherwise(F.array().cast("array<bigint>"))
     plain = F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")
@@ -46,20 +49,20 @@ def with_counts(df: DataFrame, keep: list[str], text: str) -> DataFrame:
         n_symbols=(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
     )
-    df = once(df, [*keep, "w"], **counts, threes=threes)
+    df = once(df, [*keep, "folded"], **counts, threes=threes)
     # equal windows stand side by side once sorted; only texts with any are sorted
     repeats = F.size(F.array_distinct("threes")) < F.size("threes")
     pairs = F.when(repeats, F.sort_array(F.transform("threes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    df = once(df, [*keep, "w", *counts], pairs=pairs)
+    df = once(df, [*keep, "folded", *counts], pairs=pairs)
     hash_at = lambda i: F.get("pairs", i)["h"]
     again = lambda x, i: F.when((x["h"] == hash_at(i + 1)) | ((i > 0) & (x["h"] == hash_at(F.greatest(i - 1, F.lit(0))))), x["i"])
     places = F.sort_array(F.filter(F.transform("pairs", again), lambda i: i.isNotNull()))
-    df = once(df, [*keep, "w", *counts], places=places)
-    return df.select(*keep, "w", *counts, F.coalesce(_covered("places"), F.lit(0)).cast("long").alias("n_repeat_words"))
+    df = once(df, [*keep, "folded", *counts], places=places)
+    return df.select(*keep, "folded", *counts, F.coalesce(_covered("places"), F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def _word_hashes(text: str) -> Column:
-    return F.transform(words(F.col(text)), lambda x: F.xxhash64(x))
+def _word_hashes(text: Column) -> Column:
+    return F.transform(words(text), lambda x: F.xxhash64(x))
 
 
 def _bucket(h: Column, buckets: int) -> Column:
@@ -73,7 +76,7 @@ def _pair(w: str, i: Column) -> Column:
 
 def _buckets(docs: DataFrame, keep: list[str], buckets: int) -> DataFrame:
     """A row for each word, and for each pair of neighbours, with its bucket."""
-    hashed = once(docs, keep, w=_word_hashes("text"))
+    hashed = once(docs, keep, w=_word_hashes(ascii_lower(F.col("text"))))
     single = F.transform("w", lambda h: _bucket(h, buckets))
     double = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: _bucket(_pair("w", i), buckets))
     both = F.when(F.size("w") > 1, F.concat(single, double)).otherwise(single)
@@ -122,7 +125,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, rules: Rules = Rules())
     ratios = log_ratios(docs, labels, rules)
     rows = packed(docs).select("_row", F.coalesce("_row.text", F.lit("")).alias("text"))
     counted = with_counts(rows, ["_row"], "text")
-    scored = once(counted, [c for c in counted.columns if c != "w"], llr=llr("w", ratios))
+    scored = once(counted, [c for c in counted.columns if c != "folded"], llr=llr("folded", ratios))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= rules.threshold, F.lit(False)))

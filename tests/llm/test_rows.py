@@ -102,6 +102,20 @@ def test_quality_of_odd_rows(spark):
     assert quality_rules.score_documents(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_log_ratio_folds_case(spark):
+    """Texts that differ in the case of ASCII letters get equal ratios; repeated windows compare words as written."""
+    rng = random.Random(7)
+    text = lambda words: " ".join(rng.choices(words, k=80))
+    texts = [text(["apple", "pear", "plum", "fig"]) for _ in range(20)] + [text(["rust", "iron", "zinc", "lead"]) for _ in range(20)]
+    texts += [texts[0].upper(), texts[0].title(), texts[25].upper(), "one two three ONE TWO THREE"]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    rows = quality_rules.score_documents(documents(spark, texts), labels).collect()
+    got = {r["_row"].doc_id: r for r in rows}
+    assert got[0].llr > 0.05 > -0.05 > got[25].llr
+    assert got[40].llr == got[41].llr == got[0].llr and got[42].llr == got[25].llr
+    assert got[40].kept == got[0].kept and got[43].n_repeat_words == 0
+
+
 def test_ratios_tell_the_corpora_apart(spark):
     rng = random.Random(1)
     clean = [" ".join(rng.choices(["sun", "moon", "star", "sea", "tree", "hill"], k=80)) for _ in range(60)]
