@@ -16,10 +16,9 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters. `trusted_rows` bounds the labelled documents that the target is fitted on; counts of the raw corpus cover all."""
+    """Parameters."""
 
     buckets: int = 1 << 16
-    trusted_rows: int = 50_000
     shrink: float = 8.0
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -86,12 +85,12 @@ def _buckets(docs: DataFrame, keep: list[str], buckets: int) -> DataFrame:
 def log_ratios(docs: DataFrame, labels: DataFrame, rules: Rules) -> list[float]:
     """Per bucket log(p_target / p_raw), drawn towards 0 by `shrink` n-grams of the raw corpus so that rare buckets say little.
 
-    The raw corpus is all of `docs`, the target the documents labelled quality 1 and toxic 0, at most
-    `trusted_rows` of them by the order of a hash. The vector has one entry per bucket, however large the corpus.
+    The raw corpus is all of `docs`, the target all documents labelled quality 1 and toxic 0.
+    The vector has one entry per bucket, however large the corpus.
     """
     trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    trusted = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.trusted_rows).withColumn("trusted", F.lit(True))
-    marked = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(trusted), "doc_id", "left")
+    trusted = trusted.withColumn("trusted", F.lit(True))
+    marked = docs.select("doc_id", text_or_empty().alias("text")).join(trusted, "doc_id", "left")
     target = F.count(F.when(F.col("trusted"), F.lit(1)))
     counts = _buckets(marked, ["trusted"], rules.buckets).groupBy("bucket").agg(target.alias("t"), F.count(F.lit(1)).alias("r"))
     found = counts.collect()

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from math import log
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,18 @@ def test_quality_of_odd_rows(spark):
     assert quality_rules.score_documents(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_every_trusted_document_counts(spark):
+    """More than 50,000 trusted documents, of which each has the word: its target share is exact only if all count."""
+    n = 50_400
+    docs = spark.range(n + 1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n, "apple").otherwise("rust").alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    rules = quality_rules.Rules()
+    expected = n * n / (n + 1000)
+    ratio = round(log((n + rules.shrink) / (expected + rules.shrink)), 4)
+    rust = round(log(rules.shrink / (1000 * n / (n + 1000) + rules.shrink)), 4)
+    assert sorted(x for x in quality_rules.log_ratios(docs, labels, rules) if x) == [rust, ratio]
+
+
 def test_log_ratio_folds_case(spark):
     """Texts that differ in the case of ASCII letters get equal ratios; repeated windows compare words as written."""
     rng = random.Random(7)
