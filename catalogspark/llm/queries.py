@@ -7,14 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogspark.llm import cotraining, decontamination, language_model, line_dedup, near_dedup, pieces, quality_rules, sharding, suffix_dedup, warc
+from catalogspark.llm import (
+    alignment,
+    cotraining,
+    decontamination,
+    language_model,
+    line_dedup,
+    near_dedup,
+    pieces,
+    quality_rules,
+    resampling,
+    sharding,
+    suffix_dedup,
+    warc,
+)
 from catalogspark.llm.common import table
 from catalogspark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: The public vocabulary that texts are encoded with.
+#: The public vocabularies that texts are encoded with.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_PAIRS = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def query(sql: str | None = None):
@@ -103,3 +117,13 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'r
 )
 def op10_warc(spark, sf_dir):
     return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op12_cross_tokenizer_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_PAIRS, PIECES)
+
+
+@query()
+def op13_importance_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
