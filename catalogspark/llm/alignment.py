@@ -13,8 +13,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from catalogspark.llm import hashing
 from catalogspark.session import materialize
 
-#: Bytes of text in a chunk; a longer text is a chunk by itself.
-CHUNK = 1 << 22
+#: Bytes of text in a chunk, and of those that are encoded at a time; a longer text is a chunk by itself.
+CHUNK, PART = 1 << 22, 1 << 18
 #: Digits of the largest id that is written out, and the place of the first id in a pair's number.
 DIGITS, SHIFT = 7, 32
 # Fixed value: how the byte-level vocabulary splits texts before merging.
@@ -46,6 +46,28 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _numbers(values: list[int]) -> np.ndarray:
+    return np.frombuffer(array("q", values), np.int64)
+
+
+class Vocabulary:
+    """The bytes of each id: as a list, and end to end with their places."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.tokens, self.length = tokens, np.array([len(t) for t in tokens])
+        self.start, self.joined = np.cumsum(self.length) - self.length, np.frombuffer(b"".join(tokens), np.uint8)
+
+    def gives(self, ids: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
+        """Whether the ids of each text, written out, are the text."""
+        flat, n = np.concatenate(ids), np.array([len(i) for i in ids])
+        size, ends = self.length[flat], np.cumsum([len(t) for t in texts])
+        if n.all() and np.array_equal(np.cumsum(size)[np.cumsum(n) - 1], ends):
+            at = np.repeat(self.start[flat] - (np.cumsum(size) - size), size) + np.arange(ends[-1])
+            if np.array_equal(self.joined[at], np.frombuffer(b"".join(texts), np.uint8)):
+                return np.ones(len(ids), bool)
+        return np.array([b"".join([self.tokens[k] for k in i]) == t for i, t in zip(ids, texts)])
+
+
 class ByteTokenizer:
     """A byte-level vocabulary: ids of space + text, and the bytes of each id.
 
@@ -63,24 +85,21 @@ class ByteTokenizer:
         names = {i: name for name, i in model["vocab"].items()}
         top = max([*names, *self.library.get_vocab().values()]) + 1
         encoded = lambda name: name.encode() if name in special else bytes(to_byte[c] for c in name)
-        self.bytes = [encoded(names[i]) if i in names else b"" for i in range(top)]
+        tokens = [encoded(names[i]) if i in names else b"" for i in range(top)]
+        self.vocabulary = Vocabulary(tokens)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.ranks = None
         if [model["vocab"].get(a + b) for a, b in merges] == list(range(256, 256 + len(merges))):
             import tiktoken
 
-            ranks = {b: i for i, b in enumerate(self.bytes) if names.get(i) not in special and b}
+            ranks = {b: i for i, b in enumerate(tokens) if names.get(i) not in special and b}
             self.ranks = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         own = [i for i, t in enumerate(texts) if self.ranks is None or _BEYOND_LATIN.search(t)]
         found = self.library.encode_batch([" " + texts[i] for i in own], add_special_tokens=False)
-        out: list[list[int]] = [[]] * len(texts)
-        for i, e in zip(own, found):
-            out[i] = e.ids
-        for i in sorted(set(range(len(texts))) - set(own)):
-            out[i] = self.ranks.encode_ordinary(" " + texts[i])
-        return out
+        out = {i: e.ids for i, e in zip(own, found)}
+        return [_numbers(out[i] if i in out else self.ranks.encode_ordinary(" " + t)) for i, t in enumerate(texts)]
 
 
 class PieceTokenizer:
@@ -91,20 +110,19 @@ class PieceTokenizer:
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=proto)
         names = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
-        self.bytes = [
-            bytes([int(n[3:5], 16)]) if self.library.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)
-        ]
+        written = lambda i, n: bytes([int(n[3:5], 16)]) if self.library.is_byte(i) else n.replace("▁", " ").encode()
+        self.vocabulary = Vocabulary([written(i, n) for i, n in enumerate(names)])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [_numbers(ids) for ids in self.library.encode(texts, num_threads=1)]
 
 
-def common_cuts(a_lengths: list[int], b_lengths: list[int]) -> tuple[list[int], list[int]]:
+def common_cuts(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
     """How many tokens of either list lie before each byte offset at which both have a token's end."""
-    at_a = {end: k for k, end in enumerate(accumulate(a_lengths), 1)}
-    at_b = {end: k for k, end in enumerate(accumulate(b_lengths), 1)}
+    at_a = dict(zip(a_ends, range(1, len(a_ends) + 1)))
+    at_b = dict(zip(b_ends, range(1, len(b_ends) + 1)))
     common = sorted(at_a.keys() & at_b.keys())
-    return [at_a[end] for end in common], [at_b[end] for end in common]
+    return list(map(at_a.__getitem__, common)), list(map(at_b.__getitem__, common))
 
 
 def _digits(top: int) -> np.ndarray:
@@ -117,39 +135,37 @@ class Aligner:
 
     def __init__(self, byte_source: str, piece_proto: bytes):
         self.a, self.b = ByteTokenizer(byte_source), PieceTokenizer(piece_proto)
-        self.a_length, self.b_length = [len(x) for x in self.a.bytes], [len(x) for x in self.b.bytes]
-        self.a_lengths, self.b_lengths = np.array(self.a_length), np.array(self.b_length)
-        self.a_digits, self.b_digits = _digits(len(self.a.bytes)), _digits(len(self.b.bytes))
+        self.a_length, self.b_length = self.a.vocabulary.length, self.b.vocabulary.length
+        self.a_digits, self.b_digits = _digits(len(self.a_length)), _digits(len(self.b_length))
 
-    def chunk(self, doc_ids: pa.Array, texts: list[str | None]) -> list:
-        """The values of a row of `ENCODED`, but for the chunk's name."""
+    def part(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """(tokens of A, tokens of B and groups of each text, digests of the groups, the id pair of each link in order)."""
         given = [i for i, t in enumerate(texts) if t]
+        if not given:
+            return np.zeros((3, len(texts)), np.int64), [""] * len(texts), np.zeros(0, np.int64)
         all_a, all_b = self.a.encode([texts[i] for i in given]), self.b.encode([texts[i] for i in given])
-        n_a, n_b, n_groups = (np.zeros(len(texts), np.int64) for _ in range(3))
-        a_ids, b_ids, a_cuts, b_cuts = [], [], [], []
-        for i, a, b in zip(given, all_a, all_b):
-            whole = b" " + texts[i].encode()
-            if b"".join([self.a.bytes[x] for x in a]) != whole or b"".join([self.b.bytes[x] for x in b]) != whole:
+        written = [b" " + texts[i].encode() for i in given]
+        same = self.a.vocabulary.gives(all_a, written) & self.b.vocabulary.gives(all_b, written)
+        sizes = np.zeros((3, len(texts)), np.int64)
+        a_ids, b_ids, a_cuts, b_cuts, a_before, b_before = [], [], [], [], 0, 0
+        for i, a, b, ok in zip(given, all_a, all_b, same):
+            if not ok:
                 continue
-            in_a, in_b = common_cuts([self.a_length[x] for x in a], [self.b_length[x] for x in b])
-            a_cuts.append(np.array(in_a) + len(a_ids))
-            b_cuts.append(np.array(in_b) + len(b_ids))
-            n_a[i], n_b[i], n_groups[i] = len(a), len(b), len(in_a)
-            a_ids += a
-            b_ids += b
-        digests = self._digests(np.array(a_ids, np.int64), np.array(b_ids, np.int64), a_cuts, b_cuts, n_a + n_b)
-        pairs, times, places = self._links(np.array(a_ids, np.int64), np.array(b_ids, np.int64))
-        n_links = n_a + n_b - n_groups
-        packed = np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-        links = pa.compress(pa.py_buffer(packed), codec="zstd", asbytes=True) if len(places) else b""
-        return [pairs, times, doc_ids, n_a, n_b, n_groups, n_links, digests, links]
-
-    def _digests(self, a_ids, b_ids, a_cuts, b_cuts, n_tokens) -> list[str]:
+            in_a, in_b = common_cuts(np.cumsum(self.a_length[a]).tolist(), np.cumsum(self.b_length[b]).tolist())
+            a_cuts.append(_numbers(in_a) + a_before)
+            b_cuts.append(_numbers(in_b) + b_before)
+            sizes[:, i] = len(a), len(b), len(in_a)
+            a_ids.append(a)
+            b_ids.append(b)
+            a_before, b_before = a_before + len(a), b_before + len(b)
+        if not a_ids:
+            return sizes, [""] * len(texts), np.zeros(0, np.int64)
+        a, b = np.concatenate(a_ids), np.concatenate(b_ids)
+        digests = self._digests(a, b, np.concatenate(a_cuts), np.concatenate(b_cuts), sizes[0] + sizes[1])
+        return sizes, digests, self._links(a, b)
+
+    def _digests(self, a_ids, b_ids, a_end, b_end, n_tokens) -> list[str]:
         """SHA-256 of each text's groups, written `a1,a2|b1;a3|b2`; texts without tokens have ''."""
-        out = [""] * len(n_tokens)
-        if not len(a_ids):
-            return out
-        a_end, b_end = np.concatenate(a_cuts), np.concatenate(b_cuts)
         a_size, b_size = np.diff(a_end, prepend=0), np.diff(b_end, prepend=0)
         # a slice's tokens of A stand before its tokens of B
         a_at = np.arange(len(a_ids)) + np.repeat(b_end - b_size, a_size)
@@ -158,31 +174,41 @@ class Aligner:
         written[a_at, :DIGITS], written[b_at, :DIGITS] = self.a_digits[a_ids], self.b_digits[b_ids]
         written[:, DIGITS] = ord(",")
         written[a_at[a_end - 1], DIGITS], written[b_at[b_end - 1], DIGITS] = ord("|"), ord(";")
-        ends = np.cumsum((written != 0).sum(axis=1))
-        text = written.reshape(-1)
-        text = text[text != 0].tobytes()
-        first = 0
+        there = written != 0
+        ends = np.cumsum(np.count_nonzero(there, axis=1))
+        text = written[there].tobytes()
+        out, first = [""] * len(n_tokens), 0
         for i in np.flatnonzero(n_tokens):
-            last = int(ends[first + n_tokens[i] - 1])
-            start = int(ends[first - 1]) if first else 0
-            out[i] = hashlib.sha256(text[start : last - 1]).hexdigest()
-            first += int(n_tokens[i])
+            start, first = (int(ends[first - 1]) if first else 0), first + int(n_tokens[i])
+            out[i] = hashlib.sha256(text[start : int(ends[first - 1]) - 1]).hexdigest()
         return out
 
-    def _links(self, a_ids, b_ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct id pairs, how many links have each, place of each link's pair), links in order.
+    def _links(self, a_ids, b_ids) -> np.ndarray:
+        """The id pair of each link, in order.
 
         Between neighbouring ends of either kind lies one token of each, and no two such stretches have the same two tokens: a
         slice of n and m tokens has n + m - 1 links.
         """
-        if not len(a_ids):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a_end, b_end = np.cumsum(self.a_lengths[a_ids]), np.cumsum(self.b_lengths[b_ids])
+        a_end, b_end = np.cumsum(self.a_length[a_ids]), np.cumsum(self.b_length[b_ids])
         ends = np.sort(np.concatenate([a_end, b_end]), kind="stable")
         ends = ends[np.diff(ends, prepend=0) > 0]
-        pair = a_ids[np.searchsorted(a_end, ends)] << SHIFT | b_ids[np.searchsorted(b_end, ends)]
-        pairs, places, times = np.unique(pair, return_inverse=True, return_counts=True)
-        return pairs, times, places
+        return a_ids[np.searchsorted(a_end, ends)] << SHIFT | b_ids[np.searchsorted(b_end, ends)]
+
+
+def _chunk(number: int, parts: list[tuple[pa.Array, np.ndarray, list[str], np.ndarray]]) -> pa.RecordBatch:
+    """A row of `ENCODED` from the ids of the documents of each part and what `Aligner.part` gave for it."""
+    found = pa.array(np.concatenate([p[3] for p in parts])).dictionary_encode()
+    places = found.indices.to_numpy()
+    times = np.bincount(places, minlength=len(found.dictionary))
+    n_a, n_b, n_groups = np.concatenate([p[1] for p in parts], axis=1)
+    planes = np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    links = pa.compress(pa.py_buffer(planes), codec="zstd", asbytes=True) if len(places) else b""
+    digests = [d for p in parts for d in p[2]]
+    lists = [found.dictionary, times, pa.concat_arrays([p[0] for p in parts]), n_a, n_b, n_groups, n_a + n_b - n_groups, digests]
+    lists = [v if isinstance(v, pa.Array) else pa.array(v) for v in lists]
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists]
+    names = [field.split(" ")[0] for field in ENCODED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([links], pa.binary())], names=names)
 
 
 _aligners: dict[str, Aligner] = {}
@@ -195,10 +221,6 @@ def _aligner(name: str, sources) -> Aligner:
     return _aligners[name]
 
 
-def _array(values) -> pa.Array:
-    return values if isinstance(values, pa.Array) else pa.array(values)
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents from rows of `ENCODED` with `rated`, the corpus counts of the chunk's pairs."""
     for batch in batches:
@@ -233,26 +255,16 @@ def encode_chunks(docs: DataFrame, byte_path: str, piece_path: str, chunk: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, number = _aligner(name, shared), TaskContext.get().partitionId() << 32
-        names = [part.split(" ")[0] for part in ENCODED.split(", ")]
-        kept, size = [], 0
-
-        def flush():
-            nonlocal kept, size, number
-            ids = pa.concat_arrays([b.column(0).cast(pa.int64()) for b in kept])
-            values = aligner.chunk(ids, [t for b in kept for t in b.column(1).to_pylist()])
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), _array(v)) for v in values[:-1]]
-            row = pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([values[-1]], pa.binary())], names=names)
-            kept, size, number = [], 0, number + 1
-            return row
-
+        parts, size = [], 0
         for whole in batches:
-            for batch in hashing.pieces_of(whole, 1, chunk):
-                kept.append(batch)
+            for batch in hashing.pieces_of(whole, 1, min(chunk, PART)):
+                parts.append((batch.column(0).cast(pa.int64()), *aligner.part(batch.column(1).to_pylist())))
                 size += int(hashing.texts_of(batch.column(1))[1][-1])
                 if size >= chunk:
-                    yield flush()
-        if kept:
-            yield flush()
+                    yield _chunk(number, parts)
+                    parts, size, number = [], 0, number + 1
+        if parts:
+            yield _chunk(number, parts)
 
     return docs.select("doc_id", "text").mapInArrow(encode, ENCODED)
 
