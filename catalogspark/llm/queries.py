@@ -13,7 +13,9 @@ from catalogspark.llm import (
     decontamination,
     language_model,
     line_dedup,
+    main_text,
     near_dedup,
+    page_layouts,
     pieces,
     quality_rules,
     resampling,
@@ -119,6 +121,12 @@ def op10_warc(spark, sf_dir):
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
+@query()
+def op11_html_extraction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return main_text.extract(pages, page_layouts.labelled_pages(pages))
+
+
 @query()
 def op12_cross_tokenizer_alignment(spark, sf_dir):
     return alignment.align(table(spark, sf_dir, "documents"), BYTE_PAIRS, PIECES)
