@@ -124,7 +124,7 @@ def parse(html: str) -> Tree:
         for tag, _ in stack[k:]:
             links -= tag == "a"
             silent -= tag in SILENT
-            block += tag not in INLINE
+            block += tag not in INLINE and tag not in SILENT
         del stack[k:]
 
     match = _TOKEN.search(html)
@@ -154,7 +154,7 @@ def parse(html: str) -> Tree:
                             break
                         if stack[k][0] in bound:
                             break
-                block += tag not in INLINE
+                block += tag not in INLINE and tag not in SILENT
                 if tag not in VOID:
                     node, hints = stack[-1][1], _hints(attributes) if "=" in attributes or "hidden" in attributes else []
                     if (tag not in INLINE or hints) and tree.depths[node] < MAX_DEPTH:
