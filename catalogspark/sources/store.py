@@ -66,90 +66,97 @@ def make_state(
     return [v.cast(f.dataType).alias(f.name) for v, f in zip(values, STATE_SCHEMA)]
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder of any store that Spark reaches; none if there is no such folder."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
-
-
-class BatchTable:
-    """A keyed table stored as one parquet folder per writer and batch.
-
-    Writing a batch costs as much as the batch, however large the table is, and writing it again
-    replaces just its own folder, so a replay is harmless. Batch ids count per writer: a stream with a
-    new checkpoint, a second stream and a batch job each have a name of their own. Reading
-    keeps the last row per key; a writer that came later counts as later, and so does a later batch of one.
-    ``compact`` folds the batches into one when reading gets slow.
+class KeyedTable:
+    """A keyed table as one Parquet table with a partition for each batch; reading keeps the last write per key.
+
+    Every batch is stored with a commit number, one more than the highest of the table when the batch was first written, whoever wrote
+    it. So of several writers, such as streams and batch jobs, the one that wrote a key last counts. A batch
+    that is written again keeps its number and replaces just its own partition: replays are harmless and change no order. Batches that
+    start at the same moment may share a number; then the writer's name decides. ``compact`` folds the batches
+    into one when reading gets slow.
     """
 
-    WRITER, BATCH = "writer", "batch_id"
+    COMMIT, WRITER, BATCH = "commit", "writer", "batch_id"
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str):
         self.spark, self.path, self.schema, self.key = spark, path, schema, key
+        marks = [StructField(self.COMMIT, LongType()), StructField(self.WRITER, StringType()), StructField(self.BATCH, LongType())]
+        self._stored = StructType([*schema.fields, *marks])
+        spark.createDataFrame([], self._stored).write.mode("ignore").parquet(path)
+
+    def rows(self) -> DataFrame:
+        """All stored rows with their commit, writer and batch."""
+        return self.spark.read.schema(self._stored).parquet(self.path)
 
-    def _ranked_name(self, writer: str) -> str:
-        """The writer's name with its rank among all writers in front, given at its first batch."""
-        known = [n.split("=", 1)[1] for n in _names(self.spark, self.path) if n.startswith(f"{self.WRITER}=")]
-        return next((n for n in sorted(known) if n[9:] == writer), f"{len(known):08d}.{writer}")
+    def commit_of(self, batch_id: int, writer: str) -> int:
+        """The number that a batch has, or that it gets now; only partition values are read."""
+        same = (F.col(self.WRITER) == writer) & (F.col(self.BATCH) == batch_id)
+        own, last = F.max(F.when(same, F.col(self.COMMIT))), F.max(self.COMMIT)
+        return self.rows().agg(F.coalesce(own, last + 1, F.lit(1))).first()[0]
 
     def write_batch(self, rows: DataFrame, batch_id: int, seq: str | list[str], writer: str = "batch") -> None:
+        """Store the last row per key by ``seq`` as one batch of a writer."""
         if not re.fullmatch(r"[A-Za-z0-9._-]+", writer):
             raise ValueError("a writer's name consists of letters, digits, dots, dashes and underscores")
         winners = latest_by_key(rows, self.key, seq).select(*self.schema.fieldNames())
-        folder = f"{self.path}/{self.WRITER}={self._ranked_name(writer)}/{self.BATCH}={batch_id}"
-        winners.write.mode("overwrite").parquet(folder)
-
-    def _rows(self) -> DataFrame:
-        stored = StructType([*self.schema.fields, StructField(self.WRITER, StringType()), StructField(self.BATCH, LongType())])
-        return self.spark.read.schema(stored).parquet(self.path)
+        marks = {self.COMMIT: self.commit_of(batch_id, writer), self.WRITER: writer, self.BATCH: batch_id}
+        marked = winners.withColumns({name: F.lit(value) for name, value in marks.items()})
+        _overwrite(marked, self.path, list(marks))
 
     def read(self) -> DataFrame:
-        return latest_by_key(self._rows(), self.key, [self.WRITER, self.BATCH]).drop(self.WRITER, self.BATCH)
+        marks = [self.COMMIT, self.WRITER, self.BATCH]
+        return latest_by_key(self.rows(), self.key, marks).drop(*marks)
 
-    def compact(self, path: str) -> BatchTable:
-        """A copy at a new path with all batches folded into one; later writers rank after it."""
-        target = BatchTable(self.spark, path, self.schema, self.key)
+    def compact(self, path: str) -> KeyedTable:
+        """A copy at a new path with all batches folded into one; later writes count after it."""
+        target = KeyedTable(self.spark, path, self.schema, self.key)
         target.write_batch(self.read(), 0, self.key, "compacted")
         return target
 
 
-VERSION = re.compile(r"version=(\d+)$")
+def _overwrite(rows: DataFrame, path: str, partitions: list[str]) -> None:
+    """Write rows into their partitions of a table, in place of what these held; other partitions stay."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partitions).parquet(path)
+
+
+_VERSIONS = StructType([StructField("version", LongType())])
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
-    """The complete versions below ``path``: those whose last file, the mark of a finished write, is there."""
-    found = [int(m[1]) for n in _names(spark, path) if (m := VERSION.match(n))]
-    return sorted(v for v in found if "_complete" in _names(spark, f"{path}/version={v}"))
+    """The numbers of what has been published below ``path``."""
+    spark.createDataFrame([], _VERSIONS).write.mode("ignore").parquet(f"{path}/published")
+    found = spark.read.schema(_VERSIONS).parquet(f"{path}/published").distinct().collect()
+    return sorted(r["version"] for r in found)
 
 
 def publish(path: str, **tables: DataFrame) -> int:
     """Store tables together as the next version below ``path``, and return its number.
 
-    Readers see a version only once its mark is written, so they switch from all old tables to all new ones.
-    A table may be made from the version that it replaces, which stays as it is. There is one publisher at a time; what a failed one left is
-    overwritten.
+    Each table has a partition per version. The version's number is added to the table ``published`` last, so readers, who look
+    there first, switch from all old tables to all new ones. A table may be made from the version that it follows.
+    There is one publisher at a time; what a failed one left is overwritten.
     """
     spark = next(iter(tables.values())).sparkSession
     number = max(versions(spark, path), default=0) + 1
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/version={number}/{name}")
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number}/_complete")
-    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark).close()
+        _overwrite(table.withColumn("version", F.lit(number).cast("long")), f"{path}/{name}", ["version"])
+    spark.range(1).select(F.lit(number).cast("long").alias("version")).write.mode("append").parquet(f"{path}/published")
     return number
 
 
 def read_published(spark: SparkSession, path: str, name: str, schema: StructType, version: int | None = None) -> DataFrame:
-    """A table of the latest complete version, or of a given one; empty if nothing was published yet."""
+    """A table of the latest published version, or of a given one; empty if nothing was published yet."""
     found = versions(spark, path)
     if version is None and not found:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/version={found[-1] if version is None else version}/{name}")
+    stored = spark.read.schema(StructType([*schema.fields, *_VERSIONS.fields])).parquet(f"{path}/{name}")
+    return stored.where(F.col("version") == (found[-1] if version is None else version)).drop("version")
 
 
-def products_table(spark: SparkSession, path: str) -> BatchTable:
-    return BatchTable(spark, path, PRODUCT_SCHEMA, "sku")
+def products_table(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, PRODUCT_SCHEMA, "sku")
 
 
-def states_table(spark: SparkSession, path: str) -> BatchTable:
-    return BatchTable(spark, path, STATE_SCHEMA, "url")
+def states_table(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, STATE_SCHEMA, "url")

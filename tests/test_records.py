@@ -15,7 +15,7 @@ from catalogspark.operators.ordering import first_n, first_seen, latest_by_key
 from catalogspark.schemas import PRODUCT_SCHEMA, STATE_SCHEMA
 from catalogspark.sources.export import EXPORT_COLUMNS, export
 from catalogspark.sources.store import (
-    BatchTable,
+    KeyedTable,
     bulk_upsert_products,
     products_table,
     read_products,
@@ -112,7 +112,7 @@ def test_refresh(spark):
 
 def test_batches_are_replayed_and_compacted(spark, tmp_path):
     table = products_table(spark, str(tmp_path / "t"))
-    assert isinstance(table, BatchTable)
+    assert isinstance(table, KeyedTable)
     table.write_batch(products(spark, product("A", name="one"), product("B")), 0, "seq")
     table.write_batch(products(spark, product("A", name="two"), product("C")), 1, "seq")
     table.write_batch(products(spark, product("A", name="two"), product("C")), 1, "seq")
@@ -186,6 +186,23 @@ def test_writers_do_not_replace_each_other(spark, tmp_path):
     assert {r.sku: r.name for r in table.compact(f"{tmp_path}/c").read().collect()} == {"A": "two", "B": "late"}
 
 
+def test_the_last_write_counts_whoever_wrote_it(spark, tmp_path):
+    table = products_table(spark, f"{tmp_path}/t")
+    a0, b0, a1 = (products(spark, product("A", name=n)) for n in ("a0", "b0", "a1"))
+    table.write_batch(a0, 0, "seq", "a")
+    table.write_batch(b0, 0, "seq", "b")
+    table.write_batch(a1, 1, "seq", "a")
+    name = lambda t: [r.name for r in t.read().collect()]
+    assert name(table) == ["a1"]
+    table.write_batch(b0, 0, "seq", "b")  # a replay keeps its place
+    assert name(table) == ["a1"] and table.commit_of(0, "b") == 2 and table.commit_of(7, "c") == 4
+    folded = table.compact(f"{tmp_path}/c")
+    folded.write_batch(b0, 0, "seq", "b")
+    assert name(folded) == ["b0"]
+    other = products_table(spark, f"{tmp_path}/t")  # opening it again loses nothing
+    assert name(other) == ["a1"]
+
+
 def test_published_versions_switch_together(spark, tmp_path):
     from catalogspark.schemas import PRODUCT_SCHEMA
     from catalogspark.sources.store import publish, read_published, versions
@@ -197,22 +214,24 @@ def test_published_versions_switch_together(spark, tmp_path):
     assert publish(path, products=products(spark, product("A")).select(*columns)) == 1
     merged = read_published(spark, path, "products", PRODUCT_SCHEMA).unionByName(products(spark, product("B")).select(*columns))
     assert publish(path, products=merged) == 2 and read() == {"A", "B"} and read(version=1) == {"A"}
-    merged.write.parquet(f"{path}/version=3/products")
+    merged.write.parquet(f"{path}/products/version=3")  # a version whose publisher failed
     assert versions(spark, path) == [1, 2] and read() == {"A", "B"}
+    assert publish(path, products=merged.where("sku = 'B'")) == 3 and read() == {"B"}
 
 
 def test_intermediate_tables_are_removed(spark):
+    from pathlib import Path
+
     from catalogspark import session
-    from catalogspark.sources.store import _names
 
     kept = dict(session._made)
     session._made.clear()
     try:
         table = session.materialize(spark.range(5), "numbers")
         (path,) = session._made[spark.sparkContext.applicationId]
-        assert table.count() == 5 and _names(spark, path)
+        assert table.count() == 5 and Path(path).exists()
         session.close(spark)
-        assert not _names(spark, path) and not session._made
+        assert not Path(path).exists() and not session._made
     finally:
         session._made.update(kept)
 

@@ -2,9 +2,10 @@ import json
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from catalogspark.sources.store import products_table, states_table
-from catalogspark.streaming.incremental import stream_extract, stream_first_seen, stream_upsert, write_stream
+from catalogspark.sources.store import KeyedTable, products_table, states_table
+from catalogspark.streaming.incremental import FIRST_SEEN_SCHEMA, stream_extract, stream_first_seen_into, stream_last_writes, stream_upsert
 
 
 def at():
@@ -43,15 +44,37 @@ def test_upserts_over_several_runs(spark, tmp_path):
 
 
 def test_first_seen_over_micro_batches(spark, tmp_path):
-    incoming, out = tmp_path / "in", str(tmp_path / "out")
-    start = datetime(2024, 1, 1)
+    incoming, start = tmp_path / "in", datetime(2024, 1, 1)
+    table = KeyedTable(spark, str(tmp_path / "out"), FIRST_SEEN_SCHEMA, "url")
 
-    def arrivals(*urls):
-        df = spark.createDataFrame([(u, start + timedelta(minutes=i)) for i, u in enumerate(urls)], "url string, at timestamp")
+    def arrivals(**minutes):
+        rows = [(u, None if m is None else start + timedelta(minutes=m)) for u, times in minutes.items() for m in times]
+        df = spark.createDataFrame([*rows, (None, start)], "url string, at timestamp")
         df.coalesce(1).write.mode("append").parquet(str(incoming))
         stream = spark.readStream.schema(df.schema).parquet(str(incoming))
-        write_stream(stream_first_seen(stream, "at", "1 day"), out, str(tmp_path / "check")).awaitTermination()
-
-    arrivals("a", "b", "a")
-    arrivals("b", "c", "c")
-    assert sorted(r.url for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+        stream_first_seen_into(stream, "at", timedelta(days=1), table, str(tmp_path / "check")).awaitTermination()
+        return {r.url: (r.first_seen - start).total_seconds() / 60 for r in table.read().collect()}
+
+    assert arrivals(a=[5, 3, 9], b=[7], n=[None]) == {"a": 3, "b": 7}
+    assert arrivals(a=[4], b=[2], c=[8, 8]) == {"a": 3, "b": 2, "c": 8}
+    assert arrivals(b=[-30], d=[5000]) == {"a": 3, "b": -30, "c": 8, "d": 5000}
+    # by now the URL is forgotten: it counts as new
+    assert arrivals(e=[5001])["a"] == 3
+    assert arrivals(a=[5002])["a"] == 5002
+
+
+def test_last_writes_of_interleaved_writers(spark, tmp_path):
+    schema = StructType([StructField("k", StringType()), StructField("name", StringType()), StructField("seq", LongType())])
+    table = KeyedTable(spark, str(tmp_path / "t"), schema, "k")
+
+    def run(a, b):
+        sources = []
+        for name, rows in (("a", a), ("b", b)):
+            spark.createDataFrame([(k, f"{name}{s}", s) for k, s in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            sources.append(spark.readStream.schema(schema).parquet(str(tmp_path / name)))
+        stream_last_writes(sources[0].union(sources[1]), table, "seq", str(tmp_path / "check")).awaitTermination()
+        return {r.k: r.name for r in table.read().collect()}
+
+    assert run([("x", 0), ("y", 5)], [("x", 1), ("z", None)]) == {"x": "b1", "y": "a5", "z": "bNone"}
+    assert run([("x", 2)], [("y", 3)]) == {"x": "a2", "y": "a5", "z": "bNone"}  # y's late row does not undo the later one
+    assert run([("z", 0)], [("x", 1)]) == {"x": "a2", "y": "a5", "z": "a0"}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from catalogspark.operators import alternatives, constraints, dedupe, discovery, frontier, ordering, reports
 from catalogspark.plans import catalog_job
@@ -688,10 +690,45 @@ def _streamed_tables(spark, sf_dir):
     return products, states
 
 
-@query(f"SELECT DISTINCT '{BASE}/product/' || user_id AS url FROM events")
+def _in_files(spark, rows, files, order):
+    """Rows as a stream of files, one in each micro-batch; ``order`` says which file a row is in."""
+    path = new_dir(spark, "arrivals")
+    for k in range(files):
+        rows.where(order == k).write.mode("append").parquet(f"{path}/{k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", spark.sparkContext.defaultParallelism).parquet(f"{path}/*")
+
+
+@query(f"""SELECT '{BASE}/product/' || user_id AS url, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_seen FROM events GROUP BY user_id""")
 def streamed_first_seen(spark, sf_dir):
-    arrivals = inputs.crawl_states(_stream(spark, sf_dir, "events")).select("url", "updated_at")
-    out, checkpoint = new_dir(spark, "stream"), new_dir(spark, "checkpoint")
-    first = incremental.stream_first_seen(arrivals, "updated_at", "3650 days")
-    incremental.write_stream(first, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out).select("url")
+    """The first time of each URL, from events that arrive out of order in several micro-batches."""
+    events = table(spark, sf_dir, "events")
+    rows = inputs.crawl_states(events).select("url", "updated_at", (F.col("event_id") % 3).alias("part"))
+    arrivals = _in_files(spark, rows, 3, F.col("part"))
+    seen = store.KeyedTable(spark, new_dir(spark, "seen"), incremental.FIRST_SEEN_SCHEMA, "url")
+    incremental.stream_first_seen_into(arrivals, "updated_at", timedelta(days=3650), seen, new_dir(spark, "checkpoint")).awaitTermination()
+    return seen.read().select("url", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_seen"))
+
+
+@query(f"SELECT url, category, status, sku, error FROM {LATEST}")
+def streamed_last_writes(spark, sf_dir):
+    """State changes of two writers, late ones among them: the last by event id counts, whoever wrote it."""
+    rows = changes(spark, sf_dir).where(F.col("event_id").isNotNull())
+    late = F.when(F.col("event_id") % 5 == 0, 2 - F.col("event_id") % 3).otherwise(F.col("event_id") % 3)
+    one, other = (rows.where(F.col("event_id") % 2 == k) for k in (0, 1))
+    united = _in_files(spark, one, 3, late).union(_in_files(spark, other, 3, F.col("event_id") % 3))
+    schema = StructType([*STATE_SCHEMA.fields, StructField("event_id", LongType())])
+    states = store.KeyedTable(spark, new_dir(spark, "states"), schema, "url")
+    incremental.stream_last_writes(united, states, "event_id", new_dir(spark, "checkpoint")).awaitTermination()
+    return states.read().select("url", "category", "status", "sku", "error")
+
+
+@query(f"SELECT * FROM {UPSERTED_WHOLE}")
+def interleaved_writers(spark, sf_dir):
+    """Batches of two writers in turns: first sightings, then later ones, and a replay of an early batch at the end."""
+    products = store.products_table(spark, new_dir(spark, "products"))
+    sightings = observations(spark, sf_dir)
+    products.write_batch(inputs.prior_products(table(spark, sf_dir, "part")), 0, "sku", "a")
+    products.write_batch(sightings, 0, SEEN[::-1], "b")
+    products.write_batch(sightings, 1, SEEN, "a")
+    products.write_batch(sightings, 0, SEEN[::-1], "b")
+    return product_text(products.read())
