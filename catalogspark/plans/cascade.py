@@ -38,7 +38,7 @@ def join_tiers(
     """
     if rendered is not None:
         wanted = rendered.where(~is_blank(F.col("html"))).join(incomplete.select("url"), "url", "left_semi")
-        shown = extract_partial(with_copy_key(wanted, "url", "html"))
+        shown = extract_partial(with_copy_key(without_older_copies(wanted), "url", "html"))
         shown = latest_by_key(shown, "url", copy_order(shown))
         shown = shown.select("url", F.col("partial").alias("r_partial"), F.col("missing").alias("r_missing"))
         incomplete = incomplete.join(shown, "url", "left")
@@ -52,6 +52,25 @@ def join_tiers(
     return incomplete
 
 
+def without_older_copies(pages: DataFrame) -> DataFrame:
+    """The pages but for copies that were fetched before the last of their URL, so that each page is extracted once.
+
+    Only URLs and times are compared; a page's HTML is left where it is, unless the list of older copies is too long to broadcast.
+    Copies with the same time all stay. A time that is not known is earlier than any other. Without ``fetched_at`` nothing is left out.
+    """
+    if "fetched_at" not in pages.columns:
+        return pages
+    times = pages.select("url", "fetched_at")
+    last = times.groupBy("url").agg(
+        F.max("fetched_at").alias("last"), F.min("fetched_at").alias("first"), F.count("fetched_at").alias("known"), F.count(F.lit(1)).alias("n")
+    )
+    several = last.where((F.col("first") < F.col("last")) | ((F.col("known") < F.col("n")) & (F.col("known") > 0))).select("url", "last")
+    older = times.join(several, "url").where(F.col("fetched_at").isNull() | (F.col("fetched_at") < F.col("last")))
+    older = older.select(F.col("url").alias("_url"), F.col("fetched_at").alias("_at")).distinct()
+    same = (F.col("url") == F.col("_url")) & F.col("fetched_at").eqNullSafe(F.col("_at"))
+    return pages.join(older, same, "left_anti")
+
+
 def with_copy_key(pages: DataFrame, *columns: str) -> DataFrame:
     """The columns, the fetch time if there is one, and a key that tells copies of a page apart."""
     time = [c for c in ("fetched_at",) if c in pages.columns and c not in columns]
@@ -99,7 +118,7 @@ def fallback_requests(
     """
     incomplete = static.where(F.col("fetch_error").isNull() & F.col("error").isNotNull()).select("url", "missing")
     source = (pages if rendered is None else rendered).where(~is_blank(F.col("html")))
-    source = with_copy_key(source.join(incomplete.select("url"), "url", "left_semi"), "url", "html")
+    source = with_copy_key(without_older_copies(source.join(incomplete.select("url"), "url", "left_semi")), "url", "html")
     source = latest_by_key(source, "url", copy_order(source)).select("url", "html")
     if rendered is None:
         return build_fallback_requests(source.join(incomplete, "url"), site)
@@ -152,21 +171,29 @@ def resolve_tiers(
     With ``store`` the rows that went on to later tiers are stored too, for outcomes that several
     readers need; the settled ones already are.
     """
+    settled, opened = split_tier(static)
+    decided = decide(join_tiers(opened, rendered, answers), rendered is not None, strict)
+    return union_tiers(settled, materialize(decided, "later-tiers") if store else decided)
+
+
+def split_tier(static: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of the first tier that are settled by it, and those that are open for later ones; both without a shuffle."""
     keys = [c for c in static.columns if c not in _TIER_COLUMNS]
-    out = [*keys, *_TIER_COLUMNS]
-    unfetched = F.col("fetch_error").isNotNull()
-    settled = static.where(unfetched | F.col("error").isNull()).select(*out)
-    joined = join_tiers(static.where(~unfetched & F.col("error").isNotNull()), rendered, answers)
-    if rendered is None:
-        decided = _after_fallback(joined, F.col("partial"), keys, strict)
-        return union_tiers(settled, materialize(decided, "later-tiers") if store else decided)
+    final = F.col("fetch_error").isNotNull() | F.col("error").isNull()
+    return static.where(final).select(*keys, *_TIER_COLUMNS), static.where(~final)
 
+
+def decide(joined: DataFrame, with_rendering: bool, strict: bool = False) -> DataFrame:
+    """Outcomes of open rows with what the later tiers say: ``r_partial``, ``r_missing`` and ``answer`` of ``join_tiers``."""
+    keys = [c for c in joined.columns if c not in (*_TIER_COLUMNS, "r_partial", "r_missing", "answer")]
+    if not with_rendering:
+        return _after_fallback(joined, F.col("partial"), keys, strict)
     # One pass over the joined rows decides all three cases, so the join runs once.
     has_rendering = F.col("r_partial").isNotNull()
     complete = has_rendering & is_empty(F.col("r_missing"))
     merged = joined.withColumn("_merged", _filled(F.col("r_partial"), joined, strict))
     still = missing_fields(F.col("_merged"))
-    decided = merged.select(
+    return merged.select(
         *keys,
         F.when(complete, F.col("r_partial")).when(has_rendering, F.col("_merged")).otherwise(F.col("partial")).alias("partial"),
         F.when(complete, "playwright_dom").when(has_rendering, "llm_fallback").otherwise(F.col("method")).alias("method"),
@@ -176,7 +203,6 @@ def resolve_tiers(
         .otherwise(F.col("error"))
         .alias("error"),
     )
-    return union_tiers(settled, materialize(decided, "later-tiers") if store else decided)
 
 
 def route_outcomes(

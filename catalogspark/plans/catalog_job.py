@@ -18,7 +18,15 @@ from catalogspark.operators.discovery import (
 )
 from catalogspark.operators.frontier import needs_work, with_prior_status
 from catalogspark.operators.ordering import cap_categories, cap_per_group, latest_by_key
-from catalogspark.plans.cascade import copy_order, given_answers, read_static, resolve_tiers, route_outcomes, with_copy_key
+from catalogspark.plans.cascade import (
+    copy_order,
+    given_answers,
+    read_static,
+    resolve_tiers,
+    route_outcomes,
+    with_copy_key,
+    without_older_copies,
+)
 from catalogspark.schemas import PRODUCT_SCHEMA, STATE_SCHEMA
 from catalogspark.session import configure, materialize
 from catalogspark.site import SiteConfig
@@ -159,7 +167,7 @@ def run_catalog_job(
 
     work = frontier.where(needs_work(F.col("prior_status")))
     wanted = inputs.pages.join(work.select("url"), "url", "left_semi")
-    fetched = read_static(with_copy_key(wanted, "url", "html", "fetch_error"))
+    fetched = read_static(with_copy_key(without_older_copies(wanted), "url", "html", "fetch_error"))
     # Copies of a page are dropped before the shuffle on its URL, which the join then shares.
     latest = latest_by_key(fetched, "url", copy_order(fetched)).drop("fetched_at", "copy_key")
     static = materialize(latest.join(work, "url"), "static-tier")

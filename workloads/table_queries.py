@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from catalogspark.operators import alternatives, constraints, dedupe, discovery, frontier, ordering, reports
-from catalogspark.plans import catalog_job
+from catalogspark.plans import cascade, catalog_job
 from catalogspark.schemas import PRODUCT_SCHEMA, STATE_SCHEMA
 from catalogspark.session import materialize, new_dir
 from catalogspark.sources import export, listings, pages, recs, store
+from catalogspark.streaming import cascade as streamed
 from catalogspark.streaming import incremental
 from workloads import inputs
 from workloads.inputs import SEEN, SITE, run_at, table
@@ -306,6 +307,14 @@ def upsert_products(spark, sf_dir):
     return product_text(store.upsert_products(once, sightings, SEEN))
 
 
+@query(f"SELECT * FROM {UPSERTED_WHOLE}")
+def bulk_upserted_products(spark, sf_dir):
+    """The table that a bulk upsert leaves, every column of it."""
+    existing = inputs.prior_products(table(spark, sf_dir, "part"))
+    upserted, _ = store.bulk_upsert_products(existing, observations(spark, sf_dir), SEEN)
+    return product_text(upserted)
+
+
 @query("SELECT count(*) AS n FROM lineitem")
 def bulk_upsert_count(spark, sf_dir):
     existing = inputs.prior_products(table(spark, sf_dir, "part"))
@@ -691,11 +700,11 @@ def _streamed_tables(spark, sf_dir):
 
 
 def _in_files(spark, rows, files, order):
-    """Rows as a stream of files, one in each micro-batch; ``order`` says which file a row is in."""
+    """Rows as a stream that comes in several micro-batches, and its folder; ``order`` says which of them a row is in."""
     path = new_dir(spark, "arrivals")
     for k in range(files):
-        rows.where(order == k).write.mode("append").parquet(f"{path}/{k}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", spark.sparkContext.defaultParallelism).parquet(f"{path}/*")
+        rows.where(order == k).coalesce(2).write.parquet(f"{path}/{k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/*"), path
 
 
 @query(f"""SELECT '{BASE}/product/' || user_id AS url, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_seen FROM events GROUP BY user_id""")
@@ -703,7 +712,7 @@ def streamed_first_seen(spark, sf_dir):
     """The first time of each URL, from events that arrive out of order in several micro-batches."""
     events = table(spark, sf_dir, "events")
     rows = inputs.crawl_states(events).select("url", "updated_at", (F.col("event_id") % 3).alias("part"))
-    arrivals = _in_files(spark, rows, 3, F.col("part"))
+    arrivals, _ = _in_files(spark, rows, 3, F.col("part"))
     seen = store.KeyedTable(spark, new_dir(spark, "seen"), incremental.FIRST_SEEN_SCHEMA, "url")
     incremental.stream_first_seen_into(arrivals, "updated_at", timedelta(days=3650), seen, new_dir(spark, "checkpoint")).awaitTermination()
     return seen.read().select("url", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_seen"))
@@ -715,7 +724,7 @@ def streamed_last_writes(spark, sf_dir):
     rows = changes(spark, sf_dir).where(F.col("event_id").isNotNull())
     late = F.when(F.col("event_id") % 5 == 0, 2 - F.col("event_id") % 3).otherwise(F.col("event_id") % 3)
     one, other = (rows.where(F.col("event_id") % 2 == k) for k in (0, 1))
-    united = _in_files(spark, one, 3, late).union(_in_files(spark, other, 3, F.col("event_id") % 3))
+    united = _in_files(spark, one, 3, late)[0].union(_in_files(spark, other, 3, F.col("event_id") % 3)[0])
     schema = StructType([*STATE_SCHEMA.fields, StructField("event_id", LongType())])
     states = store.KeyedTable(spark, new_dir(spark, "states"), schema, "url")
     incremental.stream_last_writes(united, states, "event_id", new_dir(spark, "checkpoint")).awaitTermination()
@@ -732,3 +741,49 @@ def interleaved_writers(spark, sf_dir):
     products.write_batch(sightings, 1, SEEN, "a")
     products.write_batch(sightings, 0, SEEN[::-1], "b")
     return product_text(products.read())
+
+
+CASCADE_TEXT = """url, sku, name, price_text, method, missing, error"""
+
+
+def _cascade_streams(spark, sf_dir):
+    """Pages, renderings and answers as three streams of three files each: those of part p are dated p seconds after the
+    start, and every third rendering and answer comes two files late. Returns them with their folders."""
+    part = inputs.parts(spark, sf_dir)
+    key = F.regexp_extract("url", r"p-(\d+)", 1).try_cast("bigint")
+    late = F.when(key % 3 == 0, F.lit(2)).otherwise(F.floor(key / 3) % 2)
+    after = lambda seconds: F.timestamp_seconds(F.unix_timestamp(run_at()) + key + seconds)
+    pages = inputs.product_pages(part).withColumn("fetched_at", after(0))
+    rendered = inputs.rendered_pages(part).withColumn("rendered_at", after(60))
+    answers = inputs.fallback_replies(part).withColumn("answered_at", after(600))
+    return [_in_files(spark, rows, 3, order) for rows, order in ((pages, F.col("position") % 3), (rendered, late), (answers, late))]
+
+
+def _time_goes_on(spark, stream, path, days):
+    """A row without content, dated so many days after the start, as it comes with any later traffic."""
+    last = {"url": F.lit("last"), stream.columns[-1]: F.timestamp_seconds(F.unix_timestamp(run_at()) + days * 86400)}
+    row = [last.get(c, F.lit(None)).cast(t).alias(c) for c, t in stream.dtypes]
+    spark.range(1).select(*row).write.parquet(f"{path}/later-{days}")
+
+
+@query(f"""SELECT url, sku, name, price_text, method, missing, error FROM ({WITH_RENDERING})""")
+def streamed_cascade(spark, sf_dir):
+    """The tiers over streams with late renderings and answers: the same outcomes as of the batch plan."""
+    streams = _cascade_streams(spark, sf_dir)
+    (pages, _), (rendered, _), (answers, _) = streams
+    waiting = streamed.Waiting("1 hour", "1 hour", "50 days")
+    tiers = [(new_dir(spark, f"tier-{k}"), new_dir(spark, "checkpoint")) for k in range(3)]
+
+    def stored(k):
+        return spark.readStream.schema(spark.read.parquet(tiers[k][0]).schema).parquet(tiers[k][0])
+
+    steps = [lambda: streamed.stream_static(pages), lambda: streamed.stream_rendering(stored(0), rendered, waiting)]
+    steps.append(lambda: streamed.stream_answers(stored(1), answers, waiting))
+    # an outer join gives up on what is missing once time has gone on
+    for stream, path in streams:
+        _time_goes_on(spark, stream, path, 100)
+    for step, (out, checkpoint) in zip(steps, tiers):
+        incremental.write_stream(step(), out, checkpoint).awaitTermination()
+    settled, _ = cascade.split_tier(spark.read.parquet(tiers[0][0]))
+    columns = ["url", "partial.sku", "partial.name", "partial.price_text", "method", joined(F.col("missing")).alias("missing"), "error"]
+    return settled.select(*columns).unionByName(spark.read.parquet(tiers[2][0]).select(*columns)).where("url <> 'last'")
