@@ -8,11 +8,11 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from catalogspark.operators import alternatives, constraints, dedupe, discovery, frontier, ordering, reports
+from catalogspark.operators import alternatives, backpressure, constraints, dedupe, discovery, frontier, ordering, reports, review
 from catalogspark.plans import cascade, catalog_job
 from catalogspark.schemas import PRODUCT_SCHEMA, STATE_SCHEMA
 from catalogspark.session import materialize, new_dir
-from catalogspark.sources import export, listings, pages, recs, store
+from catalogspark.sources import export, layout, listings, pages, recs, store
 from catalogspark.streaming import cascade as streamed
 from catalogspark.streaming import incremental
 from workloads import inputs
@@ -455,6 +455,76 @@ def state_lookup(spark, sf_dir):
     return frontier.get_state(current_states(spark, sf_dir), f"{BASE}/product/7").select("url", "status", "sku")
 
 
+def laid_out_states(spark, states):
+    path = new_dir(spark, "states")
+    return layout.store_states(states, f"states_{path[-32:]}", path, buckets=8)
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_suppkey, CASE l_partkey % 11 WHEN 1 THEN 'failed' WHEN 2 THEN 'discovered' END AS prior_status,
+  l_partkey % 11 > 2 AS is_new FROM lineitem WHERE l_partkey % 11 <> 0""")
+def laid_out_frontier(spark, sf_dir):
+    """The frontier from states that lie in buckets by URL."""
+    listed = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit(f"{BASE}/product/p-"), "l_partkey").alias("url"), "l_orderkey", "l_linenumber", "l_suppkey"
+    )
+    states = laid_out_states(spark, inputs.prior_states(table(spark, sf_dir, "part")))
+    return frontier.select_frontier(listed, states).drop("url")
+
+
+@query(f"""SELECT url, category, status, sku, error FROM {LATEST} WHERE status IN ('failed', 'discovered')
+UNION ALL SELECT url, category, status, sku, error FROM {LATEST} WHERE url = '{BASE}/product/7'""")
+def laid_out_lookups(spark, sf_dir):
+    """States by status and by URL from the laid-out table."""
+    states = laid_out_states(spark, current_states(spark, sf_dir))
+    found = frontier.urls_by_status(states, "failed", "discovered").unionByName(frontier.get_state(states, f"{BASE}/product/7"))
+    return found.select("url", "category", "status", "sku", "error")
+
+
+RUN_FAILED = "event_type = 'error' OR (event_id % 5 = 3 AND user_id % 7 < 3 AND event_type <> 'purchase')"
+CONTROL = f"""(WITH RECURSIVE history AS (
+  SELECT category, run_no, x, row_number() OVER (PARTITION BY category ORDER BY run_no) AS i FROM
+    (SELECT 'c-' || (user_id % 7) AS category, event_id % 5 AS run_no, CAST(count(*) FILTER ({RUN_FAILED}) AS DOUBLE) / count(*) AS x
+     FROM events GROUP BY 1, 2)),
+decided AS (
+  SELECT category, run_no, i, x, CAST(0 AS DOUBLE) AS mean, CAST(0 AS DOUBLE) AS var, false AS frozen, x AS next_mean, CAST(0 AS DOUBLE) AS next_var, 1 AS n
+  FROM history WHERE i = 1
+  UNION ALL
+  SELECT category, run_no, i, x, mean, var, frozen, CASE WHEN frozen THEN mean ELSE mean + 0.3 * (x - mean) END,
+    CASE WHEN frozen THEN var ELSE 0.7 * (var + 0.3 * (x - mean) * (x - mean)) END, n + CASE WHEN frozen THEN 0 ELSE 1 END FROM
+  (SELECT h.category, h.run_no, h.i, h.x, d.next_mean AS mean, d.next_var AS var, d.n,
+     d.n >= 2 AND h.x > greatest(d.next_mean + CASE WHEN d.frozen THEN 1.0 ELSE 3.0 END * sqrt(d.next_var), 0.05) AS frozen
+   FROM decided d JOIN history h ON h.category = d.category AND h.i = d.i + 1))
+SELECT * FROM decided)"""
+
+
+def run_decisions(spark, sf_dir):
+    failed = F.expr(RUN_FAILED)
+    states = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("c-"), F.col("user_id") % 7).alias("category"), F.when(failed, "failed").otherwise("done").alias("status"), "event_id"
+    )
+    history = backpressure.run_history(states, F.col("event_id") % 5)
+    return backpressure.control(history, backpressure.ControlLimits(warm_up=2))
+
+
+@query(f"""SELECT category, run_no, printf('%.8f', x) AS failure_rate, printf('%.8f', mean) AS mean, printf('%.8f', sqrt(var)) AS deviation, frozen FROM {CONTROL}""")
+def failure_control(spark, sf_dir):
+    """Five runs; three categories fail in the fourth."""
+    shown = {n: F.format_string("%.8f", n) for n in ("failure_rate", "mean", "deviation")}
+    return run_decisions(spark, sf_dir).withColumns(shown)
+
+
+@query(f"""SELECT c_custkey, run, category, is_new FROM (SELECT c_custkey, unnest([1, 2, 3, 4, 5]) AS run, 'c-' || (c_custkey % 9) AS category, c_custkey % 3 <> 0 AS is_new FROM customer) l
+WHERE NOT is_new OR NOT coalesce((SELECT arg_max(frozen, run_no) FROM {CONTROL} c WHERE c.category = l.category AND c.run_no < l.run), false)""")
+def frontier_under_control(spark, sf_dir):
+    """What five runs may work on: new URLs of a frozen category leave the frontier and come back."""
+    key = F.col("c_custkey")
+    listed = table(spark, sf_dir, "customer").select(
+        key, F.explode(F.sequence(F.lit(1), F.lit(5))).alias("run"), F.concat(F.lit("c-"), key % 9).alias("category"), (key % 3 != 0).alias("is_new")
+    )
+    decisions = materialize(run_decisions(spark, sf_dir), "decisions")
+    return backpressure.without_frozen(listed, decisions, F.col("run"))
+
+
 @query(f"""SELECT '{BASE}/product/p-' || p AS url, CASE WHEN o_orderdate > d THEN 'changed' ELSE 'old' END AS reason, o_orderkey FROM
 (SELECT l_partkey AS p, max(l_shipdate) AS d FROM lineitem GROUP BY 1) JOIN
 (SELECT l_partkey AS p, o_orderkey, o_orderdate FROM orders JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON o_orderkey = l_orderkey)
@@ -563,6 +633,30 @@ def review_sample(spark, sf_dir):
     return reports.sample_for_review(observations(spark, sf_dir)).groupBy("sku").agg(F.count("*").alias("n"))
 
 
+_JUDGED = """(SELECT doc_id, source AS source_category, lang AS extraction_method, n_chars % 6 + 3 * quality AS score, quality FROM documents JOIN labels USING (doc_id))"""
+
+
+@query(f"""WITH gold AS (SELECT score, sum(quality) AS s, count(*) AS n FROM {_JUDGED} WHERE doc_id % 3 = 0 GROUP BY score),
+pooled AS (SELECT a.score AS a, b.score AS b, sum(g.s) / sum(g.n) AS mean FROM gold a JOIN gold b ON a.score <= b.score JOIN gold g ON g.score BETWEEN a.score AND b.score GROUP BY 1, 2),
+fitted AS (SELECT score, max(low) AS value FROM (SELECT g.score, p.a, min(p.mean) AS low FROM gold g JOIN pooled p ON p.a <= g.score AND p.b >= g.score GROUP BY 1, 2) GROUP BY score),
+sample AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_category, extraction_method
+  ORDER BY ('0x' || substr(md5('' || doc_id), 1, 15))::BIGINT, doc_id) AS place FROM {_JUDGED}) WHERE place <= 25)
+SELECT doc_id, source_category, extraction_method, printf('%.8f', value) AS score, printf('%.8f', avg(value) OVER
+  (PARTITION BY source_category, extraction_method ORDER BY doc_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) AS rolling_mean
+FROM (SELECT s.*, coalesce((SELECT arg_max(f.value, f.score) FROM fitted f WHERE f.score <= s.score), (SELECT arg_min(value, score) FROM fitted)) AS value FROM sample s)""")
+def reviewed_quality(spark, sf_dir):
+    """25 documents of each source and language, a judge's scores calibrated on a third of the labels, and their rolling mean."""
+    documents = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("source_category"), F.col("lang").alias("extraction_method"), "n_chars"
+    )
+    judged = table(spark, sf_dir, "labels").join(documents, "doc_id")
+    judged = judged.withColumn("score", F.col("n_chars") % 6 + 3 * F.col("quality"))
+    gold = judged.where("doc_id % 3 = 0").select("score", F.col("quality").alias("label"))
+    rows = judged.select("doc_id", "source_category", "extraction_method", "score")
+    means = review.reviewed_quality(rows, gold, 25, "doc_id", 9, key="doc_id", chunk_rows=20)
+    return means.withColumns({c: F.format_string("%.8f", c) for c in ("score", "rolling_mean")})
+
+
 # --- 2.9 whole run -----------------------------------------------------------------------------------
 
 OCCURRENCES = f"""(SELECT l_suppkey, l_partkey, min(rn) AS rn FROM {LISTED} WHERE l_linenumber % 4 <> 3 GROUP BY 1, 2)"""
