@@ -35,23 +35,24 @@ def _covered(places: str) -> Column:
 def with_counts(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """`keep`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), and the hashes `folded` of the words in lower case.
 
-    Repeated windows compare the words as they are written.
+    Repeated windows compare the words as they are written. Windows that repeat do so in lower case as well, so the words as written are
+    hashed only where windows in lower case repeat.
     """
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    df = once(df, [*keep, text], w=_word_hashes(F.col(text)), folded=_word_hashes(ascii_lower(F.col(text))), lines=lines)
-    at = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
-    threes = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), at)).otherwise(F.array().cast("array<bigint>"))
+    df = once(df, [*keep, text], folded=_word_hashes(ascii_lower(F.col(text))), lines=lines)
     plain = F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")
     counts = dict(
-        n_words=F.size("w").cast("long"),
+        n_words=F.size("folded").cast("long"),
         word_chars=F.length(plain).cast("long"),
         n_symbols=(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
     )
-    df = once(df, [*keep, "folded"], **counts, threes=threes)
+    df = once(df, [*keep, "folded", text], **counts, threes=_windows("folded"))
+    repeats = lambda: F.size(F.array_distinct("threes")) < F.size("threes")
+    df = once(df, [*keep, "folded", *counts], w=F.when(repeats(), _word_hashes(F.col(text))))
+    df = once(df, [*keep, "folded", *counts], threes=_windows("w"))
     # equal windows stand side by side once sorted; only texts with any are sorted
-    repeats = F.size(F.array_distinct("threes")) < F.size("threes")
-    pairs = F.when(repeats, F.sort_array(F.transform("threes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    pairs = F.when(repeats(), F.sort_array(F.transform("threes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     df = once(df, [*keep, "folded", *counts], pairs=pairs)
     hash_at = lambda i: F.get("pairs", i)["h"]
     again = lambda x, i: F.when((x["h"] == hash_at(i + 1)) | ((i > 0) & (x["h"] == hash_at(F.greatest(i - 1, F.lit(0))))), x["i"])
@@ -60,6 +61,13 @@ def with_counts(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     return df.select(*keep, "folded", *counts, F.coalesce(_covered("places"), F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
+def _windows(hashes: str) -> Column:
+    """Hashes of three neighbouring words, in order; none if there are fewer or the words are not given."""
+    at = lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2))
+    some = F.transform(F.sequence(F.lit(0), F.size(hashes) - 3), at)
+    return F.when(F.coalesce(F.size(hashes), F.lit(0)) >= 3, some).otherwise(F.array().cast("array<bigint>"))
+
+
 def _word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda x: F.xxhash64(x))
 
@@ -73,33 +81,28 @@ def _pair(w: str, i: Column) -> Column:
     return F.xxhash64(F.get(w, F.greatest(i - 1, F.lit(0))), F.get(w, i))
 
 
-def _buckets(docs: DataFrame, keep: list[str], buckets: int) -> DataFrame:
-    """A row for each word, and for each pair of neighbours, with its bucket."""
-    hashed = once(docs, keep, w=_word_hashes(ascii_lower(F.col("text"))))
+def _bucket_counts(docs: DataFrame, buckets: int) -> dict[int, int]:
+    """How many words, and pairs of neighbours, fall into each bucket."""
+    hashed = once(docs.select(text_or_empty().alias("text")), [], w=_word_hashes(ascii_lower(F.col("text"))))
     single = F.transform("w", lambda h: _bucket(h, buckets))
     double = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: _bucket(_pair("w", i), buckets))
     both = F.when(F.size("w") > 1, F.concat(single, double)).otherwise(single)
-    return hashed.select(*keep, F.explode(both).alias("bucket"))
+    counted = hashed.select(F.explode(both).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return {row["bucket"]: row["n"] for row in counted.collect()}
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, rules: Rules) -> list[float]:
     """Per bucket log(p_target / p_raw), drawn towards 0 by `shrink` n-grams of the raw corpus so that rare buckets say little.
 
-    The raw corpus is all of `docs`, the target all documents labelled quality 1 and toxic 0.
-    The vector has one entry per bucket, however large the corpus.
+    The raw corpus is all of `docs`, the target all documents labelled quality 1 and toxic 0. Only the texts of the target may be
+    shuffled, to meet their labels. The vector has one entry per bucket, however large the corpus.
     """
-    trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    trusted = trusted.withColumn("trusted", F.lit(True))
-    marked = docs.select("doc_id", text_or_empty().alias("text")).join(trusted, "doc_id", "left")
-    target = F.count(F.when(F.col("trusted"), F.lit(1)))
-    counts = _buckets(marked, ["trusted"], rules.buckets).groupBy("bucket").agg(target.alias("t"), F.count(F.lit(1)).alias("r"))
-    found = counts.collect()
-    share = sum(row["t"] for row in found) / max(1, sum(row["r"] for row in found))
-    ratios = [0.0] * rules.buckets
-    for row in found:
-        expected = share * row["r"]
-        ratios[row["bucket"]] = round(math.log((row["t"] + rules.shrink) / (expected + rules.shrink)), 4)
-    return ratios
+    trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id")
+    raw = _bucket_counts(docs, rules.buckets)
+    target = _bucket_counts(docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi"), rules.buckets)
+    share = sum(target.values()) / max(1, sum(raw.values()))
+    ratio = lambda b: math.log((target.get(b, 0) + rules.shrink) / (share * raw[b] + rules.shrink))
+    return [round(ratio(b), 4) if b in raw else 0.0 for b in range(rules.buckets)]
 
 
 def llr(w: str, ratios: list[float]) -> Column:

@@ -101,7 +101,7 @@ def op8_quality_rules(spark, sf_dir):
     scored = quality_rules.score_documents(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     )
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"]
     return scored.select(F.col("_row.doc_id").alias("doc_id"), *counts)
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from math import log
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from catalogspark.llm import line_dedup, quality_rules, sharding, warc
@@ -129,6 +131,43 @@ def test_log_ratio_folds_case(spark):
     assert got[40].kept == got[0].kept and got[43].n_repeat_words == 0
 
 
+def bucket_hashes(text):
+    """The hashes of a text's words and pairs of neighbours, by the public library."""
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    signed = lambda x: x - (x >> 63 << 64)
+    w = [signed(xxhash.xxh64(x.encode(), seed=42).intdigest()) for x in WORD.findall(lowered)]
+    long = lambda x, seed: xxhash.xxh64(struct.pack("<q", x), seed=seed).intdigest()
+    return w + [signed(long(b, long(a, 42))) for a, b in zip(w, w[1:])]
+
+
+def test_ratio_and_verdict_against_plain_python(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rules = quality_rules.Rules()
+    raw, target, own = Counter(), Counter(), {}
+    for i, text in docs:
+        own[i] = [h % rules.buckets for h in bucket_hashes(text)]
+        raw.update(own[i])
+        if i in labels and labels[i].quality == 1 and not labels[i].toxic:
+            target.update(own[i])
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {b: round(log((target[b] + rules.shrink) / (share * raw[b] + rules.shrink)), 4) for b in raw}
+    texts = dict(docs)
+    for r in QUERIES["op8_quality_rules"](spark, SF).collect():
+        n_words, _, _, _, n_repeat, failed = base_counts(texts[r.doc_id])
+        llr = sum(ratio[b] for b in own[r.doc_id]) / len(own[r.doc_id]) if own[r.doc_id] else None
+        assert (r.llr is None and llr is None) or abs(r.llr - llr) < 1e-9
+        assert r.kept == (not failed and llr is not None and llr >= rules.threshold)
+
+
+def test_repeats_are_counted_as_written(spark):
+    texts = ["a b c A B C a b c", "A b C A b C", "a b c d A B C", "x y z x y z X Y Z x y z", "one"]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = quality_rules.score_documents(docs, labels).select("_row.text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert all(tuple(r)[1:] == base_counts(r.text) for r in rows.collect())
+
+
 def test_ratios_tell_the_corpora_apart(spark):
     rng = random.Random(1)
     clean = [" ".join(rng.choices(["sun", "moon", "star", "sea", "tree", "hill"], k=80)) for _ in range(60)]
