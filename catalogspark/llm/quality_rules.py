@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogspark.llm.common import SPACE, ascii_lower, packed, text_or_empty, words
@@ -91,15 +93,31 @@ def _bucket_counts(docs: DataFrame, buckets: int) -> dict[int, int]:
     return {row["bucket"]: row["n"] for row in counted.collect()}
 
 
+@contextmanager
+def _early_filter(spark: SparkSession) -> Iterator[None]:
+    """Let Spark drop rows in the scan by a bloom filter of the other side's keys, of 1 MB, before a join shuffles them.
+
+    It does so by itself only for tables of 10 GB and more.
+    """
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame, rules: Rules) -> list[float]:
     """Per bucket log(p_target / p_raw), drawn towards 0 by `shrink` n-grams of the raw corpus so that rare buckets say little.
 
-    The raw corpus is all of `docs`, the target all documents labelled quality 1 and toxic 0. Only the texts of the target may be
-    shuffled, to meet their labels. The vector has one entry per bucket, however large the corpus.
+    The raw corpus is all of `docs`, the target all documents labelled quality 1 and toxic 0. Where labels are too many to broadcast, the
+    texts of the target are shuffled to meet them, and few others. The vector has one entry per bucket, however large the corpus.
     """
     trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id")
     raw = _bucket_counts(docs, rules.buckets)
-    target = _bucket_counts(docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi"), rules.buckets)
+    with _early_filter(docs.sparkSession):
+        target = _bucket_counts(docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi"), rules.buckets)
     share = sum(target.values()) / max(1, sum(raw.values()))
     ratio = lambda b: math.log((target.get(b, 0) + rules.shrink) / (share * raw[b] + rules.shrink))
     return [round(ratio(b), 4) if b in raw else 0.0 for b in range(rules.buckets)]
