@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +107,7 @@ class _Block:
         self.ids, self.data = ids, data
         self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
+    @cached_property
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(key, first window, one past the last window, document) of each run of windows with one anchor within a document."""
         n, sizes = len(self.data), np.diff(self.offsets)
@@ -134,7 +136,7 @@ class _Block:
 
     def keys(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(distinct keys in order, whether several documents of the block have it, number of runs up to 65535, bounds of each bucket)."""
-        key, _, _, doc = self.anchors()
+        key, _, _, doc = self.anchors
         order = np.argsort(key, kind="stable")
         key, ids = key[order], self.ids[doc[order]]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -148,7 +150,7 @@ class _Block:
 
         Pieces are in order of their keys, those of hot anchors (a flag per wanted key) after all others, from number `cold` on. `of` gives each run the number of its piece; `sample` a run of each piece in its smallest document, `least` that document's id.
         """
-        key, start, end, doc = self.anchors()
+        key, start, end, doc = self.anchors
         at = np.searchsorted(wanted, key)
         at[at == len(wanted)] = 0
         hit = (wanted[at] == key) if len(wanted) else np.zeros(len(key), bool)
