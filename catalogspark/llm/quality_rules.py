@@ -41,15 +41,17 @@ def with_counts(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     hashed only where windows in lower case repeat.
     """
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    df = once(df, [*keep, text], folded=_word_hashes(ascii_lower(F.col(text))), lines=lines)
-    plain = F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")
+    df = once(df, [*keep, text], folded_words=words(_folded(text)), lines=lines)
+    hashes = F.transform("folded_words", lambda x: F.xxhash64(x))
+    n_chars = F.length(F.array_join("folded_words", ""))
+    df = once(df, [*keep, text, "lines"], folded=hashes, word_chars=n_chars.cast("long"))
     counts = dict(
         n_words=F.size("folded").cast("long"),
-        word_chars=F.length(plain).cast("long"),
-        n_symbols=(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        n_symbols=F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
     )
-    df = once(df, [*keep, "folded", text], **counts, threes=_windows("folded"))
+    df = once(df, [*keep, "folded", "word_chars", text], **counts, threes=_windows("folded"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
     repeats = lambda: F.size(F.array_distinct("threes")) < F.size("threes")
     df = once(df, [*keep, "folded", *counts], w=F.when(repeats(), _word_hashes(F.col(text))))
     df = once(df, [*keep, "folded", *counts], threes=_windows("w"))
@@ -70,6 +72,12 @@ def _windows(hashes: str) -> Column:
     return F.when(F.coalesce(F.size(hashes), F.lit(0)) >= 3, some).otherwise(F.array().cast("array<bigint>"))
 
 
+def _folded(text: str) -> Column:
+    """A-Z in lower case; a text that is ASCII as a whole takes the built-in way."""
+    is_ascii = F.octet_length(text) == F.length(text)
+    return F.when(is_ascii, F.lower(text)).otherwise(ascii_lower(F.col(text)))
+
+
 def _word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda x: F.xxhash64(x))
 
@@ -85,7 +93,7 @@ def _pair(w: str, i: Column) -> Column:
 
 def _bucket_counts(docs: DataFrame, buckets: int) -> dict[int, int]:
     """How many words, and pairs of neighbours, fall into each bucket."""
-    hashed = once(docs.select(text_or_empty().alias("text")), [], w=_word_hashes(ascii_lower(F.col("text"))))
+    hashed = once(docs.select(text_or_empty().alias("text")), [], w=_word_hashes(_folded("text")))
     single = F.transform("w", lambda h: _bucket(h, buckets))
     double = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: _bucket(_pair("w", i), buckets))
     both = F.when(F.size("w") > 1, F.concat(single, double)).otherwise(single)
