@@ -52,8 +52,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return later.groupBy("id_a", "id_b").agg(F.collect_list("pos").alias("starts"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """`docs` with every column and row, the text without later occurrences of repeated windows, and `removed_lines` (int).
+def dedup_lines(docs: DataFrame, *, count: str | None = "removed_lines") -> DataFrame:
+    """`docs` with every column and row, the text without later occurrences of repeated windows, and how many lines went (int).
+
+    `count` names the last column, which replaces one of that name; None leaves it out.
 
     A line ends at a line feed. A window is three consecutive lines that have a word; lines without one are passed over.
     The first occurrence of a window, by doc_id and position, stays. The lines that later ones cover go, overlaps merged,
@@ -74,5 +76,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lined = once(lined, ["_row", "lines", "covered"], left=F.when(F.col("covered").isNotNull(), left))
     kept = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")
     text = F.when(F.col("covered").isNull(), F.col("_row.text")).otherwise(kept)
-    columns = [text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    return lined.select(*columns, F.coalesce(F.size("covered"), F.lit(0)).alias("removed_lines"))
+    columns = [text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != count]
+    return lined.select(*columns, *([F.coalesce(F.size("covered"), F.lit(0)).alias(count)] if count else []))

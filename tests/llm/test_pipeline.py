@@ -8,7 +8,7 @@ from test_near_dedup import brute as grouped
 from test_rows import dedup_plain
 
 import corpus_pipeline
-from catalogspark.llm import quality_rules
+from catalogspark.llm import line_dedup, quality_rules
 from catalogspark.llm.queries import PIECES
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +51,12 @@ def test_odd_rows_pass_all_stages(spark, tmp_path):
             frame = stage(spark, frame, str(tmp_path))
             frame = spark.createDataFrame(frame.collect(), frame.schema)
             assert frame.columns[: len(docs.columns)] == docs.columns
+
+
+def test_a_column_named_like_a_result_passes_the_stage(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc\nd", 7), (2, "a\nb\nc\ne", None), (3, None, 1)], "doc_id long, text string, removed_lines int")
+    kept = sorted(tuple(r) for r in corpus_pipeline.lines(spark, docs, SF).collect())
+    assert kept == [(1, "a\nb\nc\nd", 7), (2, "e", None), (3, None, 1)]
+    counted = line_dedup.dedup_lines(docs)
+    assert counted.columns == ["doc_id", "text", "removed_lines"]
+    assert sorted((r.doc_id, r.removed_lines) for r in counted.collect()) == [(1, 0), (2, 3), (3, 0)]
