@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later occurrences of repeated three-line windows."""
     configure(spark)
-    out = line_dedup.dedup_lines(docs).drop("removed_lines")
+    out = line_dedup.dedup_lines(docs, count=None)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
     return out.select(*[f"`{c}`" for c in docs.columns])
