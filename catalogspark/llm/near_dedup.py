@@ -31,17 +31,28 @@ _A = _RNG.integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uin
 _B = _RNG.integers(1, 2**63, FUNCTIONS, dtype=np.uint64)
 #: Of 128 signature values two texts of similarity 0.75 share 96 on average; fewer than this with a probability below 1 in 100,000.
 LEAST_SHARED = 74
-#: Members of a group that one task compares at a time, and node ids that may be broadcast.
-BLOCK, BROADCAST_IDS = 1000, 200_000
+#: Members of a group that one task compares at a time.
+BLOCK = 1000
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
+SIGNED = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
 
 
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    words, first, _ = hashing.word_hashes(*hashing.texts_of(batch.column(1)))
+    words, first, _ = hashing.word_hashes(*hashing.texts_of(batch.column("text")))
     return hashing.sorted_sets(*hashing.shingle_hashes(words, first, SHINGLE))
 
 
+def _set_keys(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 128-bit key of each text's set, in two halves; 0 and 0 for an empty set."""
+    has = np.diff(offsets) > 0
+    set_a, set_b = np.zeros(len(has), np.uint64), np.zeros(len(has), np.uint64)
+    if has.any():
+        full = offsets[:-1][has]
+        set_a[has] = np.add.reduceat(hashing.mix(values ^ _A[0]), full)
+        set_b[has] = np.bitwise_xor.reduceat(hashing.mix(values + _B[1]), full) + np.add.reduceat(hashing.mix(values ^ _B[2]), full)
+    return set_a, set_b
+
+
 def _signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Minimum and maximum of each function, a row per text that has shingles: columns min 0, max 0, min 1, ..."""
     full = offsets[:-1][np.diff(offsets) > 0]
@@ -55,16 +66,13 @@ def _signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in hashing.pieces_of(whole, 1):
+        for batch in hashing.pieces_of(whole, whole.schema.get_field_index("text")):
             values, offsets = _sets(batch)
             sizes = np.diff(offsets)
             has = sizes > 0
-            set_a, set_b = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.uint64)
+            set_a, set_b = _set_keys(values, offsets)
             bands, sketches = np.zeros((0, FUNCTIONS * 2 // BAND), np.uint64), np.zeros((0, 2 * FUNCTIONS), np.uint8)
             if has.any():
-                full = offsets[:-1][has]
-                set_a[has] = np.add.reduceat(hashing.mix(values ^ _A[0]), full)
-                set_b[has] = np.bitwise_xor.reduceat(hashing.mix(values + _B[1]), full) + np.add.reduceat(hashing.mix(values ^ _B[2]), full)
                 found = _signatures(values, offsets)
                 sketches = (found >> np.uint64(32)).astype(np.uint8)
                 parts = found.reshape(len(found), -1, BAND)
@@ -75,20 +83,23 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signed = lambda x: pa.array(x.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(sizes.astype(np.int64)), signed(set_a), signed(set_b),
+                    batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes.astype(np.int64)), signed(set_a), signed(set_b),
                     pa.ListArray.from_arrays(pa.array(at), signed(np.ascontiguousarray(bands).reshape(-1))),
                     pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(sketch_at), pa.py_buffer(np.ascontiguousarray(sketches))]),
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands", "sketch"],
             )
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) of the texts whose set is that of the node."""
     for whole in batches:
-        for batch in hashing.pieces_of(whole, 1):
+        for batch in hashing.pieces_of(whole, whole.schema.get_field_index("text")):
             values, offsets = _sets(batch)
             data = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(values)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), data], names=["node", "shingles"])
+            set_a, set_b = (k.view(np.int64) for k in _set_keys(values, offsets))
+            own = (set_a == batch.column("set_a").to_numpy()) & (set_b == batch.column("set_b").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), data], names=["node", "shingles"]).filter(pa.array(own))
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -186,10 +197,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, text) of the nodes, one row each. A list of bounded length is broadcast, a longer one joined by shuffle."""
-    few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = nodes.select(F.col("node").alias("doc_id"))
-    return docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """(node, set_a, set_b, text) of the nodes. Texts are found by document and hash; who reads them compares the set, which is exact."""
+    wanted = nodes.select("doc_id", "text_hash", "node", "set_a", "set_b")
+    return docs.join(wanted, ["doc_id", "text_hash"]).select("node", "set_a", "set_b", "text").dropDuplicates(["node", "text"])
+
+
+def _of_one_document(real: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of the nodes that occur under one doc_id: each with the smallest of them."""
+    key = F.struct("set_a", "set_b")
+    several = real.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("doc_id")
+    several = materialize(several, "several")
+    held = real.select("doc_id", "set_a", "set_b").join(several, "doc_id", "left_semi").distinct()
+    held = materialize(held.join(classes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).select("doc_id", "node"), "held")
+    return held.join(held.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b").where("a <> b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -199,15 +219,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     100 * intersection >= 75 * union, and component_id is the smallest doc_id that links reach. kept: it is the document's own.
 
     A NULL or blank text has an empty set and is linked with nothing, not even with another one. Rows without doc_id take no
-    part in links and get NULL and kept = true. Rows that share a doc_id are taken as one document: they are linked, and each
-    of them carries its own n_shingles. Further columns are ignored. An empty table gives an empty one.
+    part in links and get NULL and kept = true. Rows that share a doc_id are taken as one document: those that have words are
+    linked, whatever their texts, so links of each of them count for all; each row carries its own n_shingles. Further columns are ignored. An empty table gives an empty one.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     signed = materialize(docs.mapInArrow(_sign, SIGNED), "signatures")
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    # one node per different set, named by its smallest document
-    classes = real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    nodes = real.join(classes, ["set_a", "set_b"]).where("doc_id = node").dropDuplicates(["node"])
+    # one node per different set; its text is one of its smallest document's
+    classes = real.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_hash")).alias("text"))
+    classes = classes.select("set_a", "set_b", "text.*", F.monotonically_increasing_id().alias("node"))
+    classes = materialize(classes, "classes")
+    nodes = real.join(classes, ["set_a", "set_b", "doc_id", "text_hash"]).dropDuplicates(["node"])
     nodes = materialize(nodes.select("node", "n_shingles", "bands", "sketch"), "nodes")
     flat = nodes.select("node", F.explode("bands").alias("key"))
     full = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -222,7 +244,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = materialize(pairs.groupBy("node").agg(best).select("node", F.col("best.centre").alias("centre")), "first")
 
     candidates = members.select("node").distinct()
-    sets = materialize(_texts(docs, candidates).mapInArrow(_shingle_sets, "node long, shingles binary"), "shingles")
+    sets = materialize(_texts(docs, classes.join(candidates, "node", "left_semi")).mapInArrow(_shingle_sets, "node long, shingles binary"), "shingles")
     counts = first.groupBy("centre").agg(F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     salted = first.join(counts, "centre").select("node", "centre", F.pmod(F.xxhash64("node"), parts).cast("int").alias("salt"))
@@ -232,10 +254,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     grouped = materialize(components(links), "components")
     again = _open_groups(members, nodes, grouped, sets)
-    links = links.unionByName(materialize(again, "confirmed"))
-    # links join nodes; documents that share a set or an id are joined through their node
-    grouped = components(links)
-    by_class = classes.join(grouped, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
+    links = links.unionByName(materialize(again, "confirmed")).unionByName(_of_one_document(real, classes))
+    # links join nodes; a component is named by the smallest document of its nodes
+    grouped = materialize(components(links).join(classes.select("node", "doc_id"), "node"), "components")
+    named = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    grouped = grouped.join(named, "component").select("node", "component_id")
+    by_class = classes.join(grouped, "node", "left").select("set_a", "set_b", F.coalesce("component_id", "doc_id").alias("component_id"))
     joined = signed.join(by_class, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)

@@ -84,6 +84,20 @@ def test_odd_rows(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(rng.choices(["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)], k=120)) for _ in range(3))
+    rows = [(5, a), (5, b), (2, b + " more"), (9, a + " more"), (5, ""), (7, c)]
+    got = result(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r[0], r[2], r[3]) for r in got if r[1]} == {(5, 2, False), (2, 2, True), (9, 2, False), (7, 7, True)}
+    got = result(spark.createDataFrame([(5, a), (5, b), (2, a)], "doc_id long, text string"))
+    assert {(r[0], r[2]) for r in got} == {(5, 2), (2, 2)}
+    # one document with many texts, each of which has a near copy of its own
+    many = [" ".join(rng.choices(a.split() + b.split() + c.split(), k=90)) for _ in range(40)]
+    rows = [(50, t) for t in many] + [(100 + k, t + " end") for k, t in enumerate(many)] + [(50, many[0])]
+    assert {r[2] for r in result(spark.createDataFrame(rows, "doc_id long, text string"))} == {50}
+
+
 def test_rare_misses():
     from math import comb
 
