@@ -82,13 +82,19 @@ def variant_lists(variants: Column) -> dict[str, Column]:
     return {"item_numbers": given("item"), "mfr_numbers": given("mfr"), "brands": given("brand")}
 
 
+def with_variants(df: DataFrame, text: str, into: str) -> DataFrame:
+    """Replace the literal by its variants, one struct each, so that numbers stay aligned where one of them is blank."""
+    kept = [c for c in df.columns if c != text]
+    return df.select(*kept, variants_of(unescape_js(F.col(text))).alias(into))
+
+
 def with_master_data(df: DataFrame, text: str, into: str) -> DataFrame:
     """Replace the literal by a struct of item_numbers, mfr_numbers and brand; NULL where nothing is given.
 
     Each step is a projection of its own, so that the literal is read once.
     """
     kept = [c for c in df.columns if c != text]
-    variants = df.select(*kept, variants_of(unescape_js(F.col(text))).alias("_variants"))
+    variants = with_variants(df, text, "_variants")
     lists = variant_lists(F.col("_variants"))
     listed = variants.select(*kept, *[c.alias(f"_{n}") for n, c in lists.items()])
     data = F.struct(

@@ -79,19 +79,20 @@ def discover_categories(pages: DataFrame, site: SiteConfig = SiteConfig(), page_
     return canonical_categories(raw, site).select("name", "url", "slug", "position")
 
 
-def _words(c: Column) -> Column:
+def words_of(c: Column) -> Column:
+    """Runs of letters and digits, in lower case."""
     return F.filter(F.split(F.lower(c), r"(?U)[^\p{Alnum}]+"), lambda w: w != "")
 
 
 def filter_by_intent(categories: DataFrame, intent: str | None) -> DataFrame:
     """Categories that share a word with the intent; all of them when the intent is blank.
 
-    Words are compared as written. To judge by meaning instead, join the verdicts of a model.
+    Words are compared as written. ``intent.rank_by_intent`` also finds inflected and misspelt ones.
     """
     if intent is None or not intent.strip():
         return categories
-    wanted = _words(F.lit(intent))
-    return categories.where(F.arrays_overlap(_words(F.concat_ws(" ", "name", "slug")), wanted))
+    wanted = words_of(F.lit(intent))
+    return categories.where(F.arrays_overlap(words_of(F.concat_ws(" ", "name", "slug")), wanted))
 
 
 def attach_source_category(urls: DataFrame, categories: DataFrame) -> DataFrame:

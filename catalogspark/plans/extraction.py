@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogspark.functions.inline import master_data_text, with_master_data
+from catalogspark.functions.inline import master_data_text, with_master_data, with_variants
 from catalogspark.functions.jsonld import crumb_names, inner_crumbs, jsonld_entities, with_product_jsonld
 from catalogspark.functions.markup import dom_enrichments, markup_candidate
 from catalogspark.functions.text import is_blank, is_empty, nonblank, nonempty, pack_size, parse_price, strip, strip_all
@@ -105,6 +105,16 @@ def extract_partial(pages: DataFrame) -> DataFrame:
     return with_missing_fields(once(products, keys, partial=partial, method=method))
 
 
+def extract_variants(pages: DataFrame) -> DataFrame:
+    """(url, place, position, item, mfr, brand) of each variant in the pages' inline data, in the order of the shop from place 0.
+
+    A variant's blank or missing fields are NULL. Pages without variant data have no rows.
+    """
+    read = once(pages, ["url"], _text=master_data_text(F.col("html"))).where("_text <> ''")
+    rows = with_variants(read, "_text", "_variants").select("url", F.posexplode("_variants").alias("place", "v"))
+    return rows.select("url", "place", *[F.col(f"v.{name}").alias(name) for name in ("position", "item", "mfr", "brand")])
+
+
 def merge_fallback(partial: Column, answer: Column, strict: bool = False) -> Column:
     """Partial record with its gaps filled from a fallback answer; values it has are kept.
 

@@ -10,7 +10,9 @@ from dataclasses import dataclass
 class SiteConfig:
     """Address and URL shapes of one shop, and the caps of a run; None is no cap.
 
-    ``fallback_html_chars`` is the size of one request; a longer page is asked about in several.
+    ``fallback_html_chars`` is the size of one request; a longer page is asked about in several, of
+    which each begins with the last ``fallback_overlap_chars`` of the one before. A fact of up to that size is whole in one. A request
+    of less than twice that size has no room for an overlap.
     """
 
     base_url: str = "https://shop.example.com"
@@ -22,6 +24,11 @@ class SiteConfig:
     listing_max_pages: int | None = None
     max_alternatives: int = 8
     fallback_html_chars: int = 60_000
+    fallback_overlap_chars: int = 4_000
+
+    @property
+    def fallback_overlap(self) -> int:
+        return self.fallback_overlap_chars if self.fallback_html_chars >= 2 * self.fallback_overlap_chars else 0
 
     @property
     def base(self) -> str:

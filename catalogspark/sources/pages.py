@@ -31,11 +31,13 @@ def build_fallback_requests(incomplete: DataFrame, site: SiteConfig = SiteConfig
     """Requests for a model, for each page with missing fields: url, part_no, parts, missing, prompt.
 
     Needs url, html and missing. A prompt shows at most ``site.fallback_html_chars`` characters. A longer page
-    is asked about in several parts, numbered from 0, which together show all of it.
+    is asked about in several parts, numbered from 0, which together show all of it. Neighbouring parts share
+    ``site.fallback_overlap`` characters, so a fact of up to that length is whole in one of them.
     """
-    budget = site.fallback_html_chars
+    budget, overlap = site.fallback_html_chars, site.fallback_overlap
+    step = budget - overlap
     asked = incomplete.where((F.size("missing") > 0) & ~is_blank(F.col("html")))
-    parts = F.ceil(F.length("html") / budget).cast("int")
+    parts = F.greatest(F.ceil((F.length("html") - overlap) / step), F.lit(1)).cast("int")
     asked = asked.select("url", "missing", "html", parts.alias("parts"))
     asked = asked.withColumn("part_no", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return asked.select(
@@ -49,6 +51,6 @@ def build_fallback_requests(incomplete: DataFrame, site: SiteConfig = SiteConfig
             F.array_join("missing", ", "),
             F.col("part_no") + 1,
             "parts",
-            F.substring("html", F.col("part_no") * budget + 1, F.lit(budget)),
+            F.substring("html", F.col("part_no") * step + 1, F.lit(budget)),
         ).alias("prompt"),
     )

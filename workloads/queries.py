@@ -151,6 +151,12 @@ def inline_master_data(spark, sf_dir):
     )
 
 
+@query(f"""SELECT url, (k - 1)::INT AS place, k::BIGINT AS position, p_partkey || '-' || k AS item, 'M' || k || '-' || p_partkey AS mfr, p_brand AS brand
+FROM ({STATIC}) JOIN (SELECT p_partkey, p_brand, unnest([1, 2]) AS k FROM part) USING (p_partkey) WHERE item_numbers <> ''""")
+def product_variants(spark, sf_dir):
+    return extraction.extract_variants(static_pages(spark, sf_dir).where("html IS NOT NULL"))
+
+
 @query(f"""SELECT p_partkey AS position, CASE WHEN specifications <> '' THEN pack_size END AS pack_size,
   specifications, alternative_products FROM ({STATIC})""")
 def markup_fields(spark, sf_dir):
@@ -381,6 +387,19 @@ def fallback_requests(spark, sf_dir):
     return joined.select("url", F.array_join("missing", ", ").alias("missing"), whole.alias("whole"))
 
 
+@query("""SELECT doc_id, greatest(ceil((2 * length(text) + length('[fact of ' || doc_id || ']') - 60) / 340), 1)::INT AS parts, true AS whole
+FROM documents WHERE text <> ''""")
+def overlapping_prompts(spark, sf_dir):
+    """A fact in the middle of each text, and whether a prompt shows it whole."""
+    site = replace(SITE, fallback_html_chars=400, fallback_overlap_chars=60)
+    fact = F.concat(F.lit("[fact of "), "doc_id", F.lit("]"))
+    texts = table(spark, sf_dir, "documents").where("text <> ''")
+    asked = texts.select(F.col("doc_id").cast("string").alias("url"), F.array(F.lit("price")).alias("missing"), F.concat("text", fact, "text").alias("html"))
+    shown = pages.build_fallback_requests(asked, site).groupBy(F.col("url").cast("long").alias("doc_id"))
+    whole = F.max(F.contains("prompt", F.concat(F.lit("[fact of "), "url", F.lit("]")))).alias("whole")
+    return shown.agg(F.max("parts").alias("parts"), whole)
+
+
 @query(f"""SELECT '{BASE}/product/p-' || p_partkey AS url, 'static fetch: HTTP 503' AS error FROM part
 WHERE p_partkey % 97 = 5""")
 def page_table_failures(spark, sf_dir):

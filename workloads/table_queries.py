@@ -8,11 +8,11 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from catalogspark.operators import alternatives, backpressure, constraints, dedupe, discovery, frontier, ordering, reports, review
+from catalogspark.operators import alternatives, backpressure, constraints, dedupe, discovery, frontier, intent, ordering, reports, review
 from catalogspark.plans import cascade, catalog_job
 from catalogspark.schemas import PRODUCT_SCHEMA, STATE_SCHEMA
 from catalogspark.session import materialize, new_dir
-from catalogspark.sources import export, layout, listings, pages, recs, store
+from catalogspark.sources import export, layout, listings, pages, recs, sitemaps, store
 from catalogspark.streaming import cascade as streamed
 from catalogspark.streaming import incremental
 from workloads import inputs
@@ -133,6 +133,29 @@ def intent_filter(spark, sf_dir):
     return discovery.filter_by_intent(named, "Small, RED promo-kits!").select("p_partkey", "p_name")
 
 
+INTENT = "Standrad promos, blu ANVILS"
+
+
+@query(f"""WITH texts AS (SELECT p_brand || '-' || p_type AS slug, p_name AS t FROM part
+  UNION ALL SELECT DISTINCT p_brand || '-' || p_type, p_type || ' ' || p_brand || '-' || p_type FROM part),
+words AS (SELECT slug, unnest(list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM texts),
+runs AS (SELECT slug, unnest(list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3))) AS g FROM words),
+asked AS (SELECT unnest(list_filter(regexp_split_to_array(lower('{INTENT}'), '[^a-z0-9]+'), lambda w: w <> '')) AS w),
+wanted AS (SELECT DISTINCT unnest(list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3))) AS g FROM asked),
+lengths AS (SELECT slug, count(*) AS len FROM runs GROUP BY 1),
+met AS (SELECT slug, g, count(*) AS n FROM runs WHERE g IN (SELECT g FROM wanted) GROUP BY 1, 2),
+weights AS (SELECT g, ln(1 + ((SELECT count(*) FROM lengths) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM met GROUP BY 1),
+scores AS (SELECT slug, sum(idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len / (SELECT avg(len) FROM lengths)))) AS score
+  FROM met JOIN weights USING (g) JOIN lengths USING (slug) GROUP BY 1)
+SELECT slug, round(score, 6) AS score FROM scores WHERE score >= 0.3 * (SELECT max(score) FROM scores)""")
+def ranked_intent(spark, sf_dir):
+    """Categories of a brand and a type, by a misspelt intent."""
+    part = table(spark, sf_dir, "part").withColumn("slug", F.concat("p_brand", F.lit("-"), "p_type"))
+    categories = part.select("slug", F.col("p_type").alias("name")).distinct()
+    ranked = intent.rank_by_intent(categories, part.select("slug", F.col("p_name").alias("title")), INTENT)
+    return ranked.select("slug", F.round("score", 6).alias("score"))
+
+
 @query("""SELECT l_suppkey, l_orderkey, l_linenumber, 's-' || l_suppkey AS source_category FROM lineitem""")
 def source_category(spark, sf_dir):
     listed = table(spark, sf_dir, "lineitem").select(
@@ -541,6 +564,53 @@ def refresh_frontier(spark, sf_dir):
     return stale.select("url", "reason", "o_orderkey")
 
 
+_CHANGED = "CASE l_partkey % 3 WHEN 0 THEN date_trunc('day', l_shipdate) WHEN 1 THEN date_trunc('second', l_shipdate) ELSE date_trunc('minute', l_shipdate) END"
+
+
+def sitemap_bodies(spark, sf_dir):
+    """A sitemap for each five hundred orders: their parts, with the shipping date in three forms of writing it."""
+    at = F.col("l_shipdate")
+    written = (
+        F.when(F.col("l_partkey") % 3 == 0, F.date_format(at, "yyyy-MM-dd"))
+        .when(F.col("l_partkey") % 3 == 1, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .otherwise(F.date_format(at + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm'+02:00'"))
+    )
+    entry = F.format_string(f" <url><loc> {BASE}/product/p-%d?a=1&amp;b=2</loc><lastmod>%s</lastmod><priority>0.5</priority></url>", "l_partkey", written)
+    lines = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 500).alias("file_no"), entry.alias("entry"))
+    head = '<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+    return lines.groupBy("file_no").agg(F.concat(F.lit(head), F.array_join(F.collect_list("entry"), ""), F.lit("</urlset>")).alias("body"))
+
+
+@query(f"""SELECT '{BASE}/product/p-' || p || '?a=1&b=2' AS url, CASE WHEN lastmod > extracted_at THEN 'changed' ELSE 'old' END AS reason
+FROM (SELECT l_partkey AS p, max({_CHANGED}) AS lastmod, min(l_shipdate) + INTERVAL 900 DAY AS extracted_at FROM lineitem GROUP BY 1)
+WHERE lastmod > extracted_at OR extracted_at < TIMESTAMP '2001-06-01' - INTERVAL 30 DAY""")
+def sitemap_stale_urls(spark, sf_dir):
+    """Products to extract again by the sitemaps, which are gzipped files of one document each."""
+    path = new_dir(spark, "sitemaps")
+    sitemap_bodies(spark, sf_dir).select("body").write.option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    listed = sitemaps.listed_changes(sitemaps.read_sitemaps(spark, path))
+    url = F.concat(F.lit(f"{BASE}/product/p-"), "l_partkey", F.lit("?a=1&b=2"))
+    first = table(spark, sf_dir, "lineitem").groupBy(url.alias("product_url")).agg(F.min("l_shipdate").alias("first"))
+    products = first.select("product_url", (F.col("first") + F.expr("INTERVAL 900 DAYS")).alias("extracted_at"))
+    stale = frontier.refresh_frontier(listed, products, F.lit("2001-06-01 00:00:00").cast("timestamp"), 30)
+    return stale.select("url", "reason")
+
+
+@query(f"""SELECT l_orderkey // 500 AS file_no, CASE WHEN l_orderkey // 500 % 5 = 3 THEN 'corrupt' ELSE 'url' END AS kind,
+  CASE WHEN l_orderkey // 500 % 5 = 3 THEN 1 ELSE count(*) END AS entries,
+  CASE WHEN l_orderkey // 500 % 5 <> 3 THEN max({_CHANGED}) END AS lastmod FROM lineitem GROUP BY 1
+UNION ALL SELECT -1, 'sitemap', count(DISTINCT l_orderkey // 500), NULL FROM lineitem""")
+def parsed_sitemaps(spark, sf_dir):
+    """Fetched sitemaps and their index, each fifth one broken: the entries of each and the last change."""
+    bodies = sitemap_bodies(spark, sf_dir)
+    body = F.when(F.col("file_no") % 5 == 3, F.replace("body", F.lit("</urlset>"), F.lit("</nothing>"))).otherwise(F.col("body"))
+    named = F.array_join(F.collect_list(F.format_string("<sitemap><loc>%d</loc></sitemap>", "file_no")), "")
+    index = bodies.agg(F.concat(F.lit("<sitemapindex>"), named, F.lit("</sitemapindex>")).alias("body")).select(F.lit("-1").alias("url"), "body")
+    fetched = bodies.select(F.col("file_no").cast("string").alias("url"), body.alias("body")).unionByName(index)
+    read = sitemaps.parse_sitemaps(fetched).groupBy(F.col("sitemap").cast("long").alias("file_no"), "kind")
+    return read.agg(F.count(F.lit(1)).alias("entries"), F.max("lastmod").alias("lastmod"))
+
+
 # --- 2.4 reports -------------------------------------------------------------------------------------
 
 
