@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
 A model file is compiled to a machine over characters: the normaliser (white space to its marker, a marker in front), an arc
-for each piece, and byte arcs for characters that no piece has. A text composed with it is a lattice, and its
+for each piece, and an arc of its bytes, or the unknown one, for a character that is no piece by itself. A text composed with it is a lattice, and its
 encoding the shortest path in the tropical semiring.
 
-- Unigram models: an arc weighs minus the piece's score.
+- Unigram models: an arc weighs minus the piece's score, that of an unknown character 10 more than the worst piece, and a user-defined
+  piece's 0.1, so that it comes first. Neighbouring unknown characters give one id.
 - Merge (BPE) models: arcs weigh nothing, but the machine remembers the last piece, and two pieces may follow one another only if
   merging would leave them apart. Exactly one path of a text then has finite weight, so the first one that a
   depth-first search completes is the shortest. Runs of white-space markers, whose merges have equal scores and are
@@ -31,6 +32,8 @@ MARK = "▁"
 #: Fixed values of the model format: types of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Fixed value: what an unknown character weighs more than the worst piece of a unigram model.
+UNKNOWN_PENALTY = 10.0
 #: Encodings of segments that a worker remembers, twice this many at most.
 REMEMBERED = 150_000
 
@@ -73,6 +76,7 @@ class Machine:
     unknown: int
     dummy_prefix: bool
     longest: int
+    unknown_cost: float = 0.0
     rank: dict[int, int] = field(default_factory=dict)
     halves: dict[int, tuple[int, int]] = field(default_factory=dict)
     apart: dict[tuple[int, int], bool] = field(default_factory=dict)
@@ -107,10 +111,15 @@ class Machine:
                     known, older = self.known, self.older
                 known[s] = ids
             out.extend(ids)
+        if not self.byte_ids and self.unknown in out:
+            unknown = self.unknown
+            return array("i", [i for k, i in enumerate(out) if i != unknown or not k or out[k - 1] != unknown])
         return out
 
     def shortest_path(self, segment: str) -> list[int]:
         """Ids on the shortest path of the machine composed with a segment, which no piece crosses the ends of."""
+        if self.kind != BPE:
+            return self._cheapest(segment)
         out: list[int] = []
         at, arcs = 0, self.arcs
         while at < len(segment):
@@ -119,9 +128,7 @@ class Machine:
                 end += 1
             if end > at:
                 part = segment[at:end]
-                if self.kind != BPE:
-                    out += self._cheapest(part)
-                elif MARK * 2 in part:
+                if MARK * 2 in part:
                     out += self.merge(part)
                 else:
                     out += self._only_path(part)
@@ -131,18 +138,30 @@ class Machine:
         return out
 
     def _cheapest(self, part: str) -> list[int]:
-        """Tropical shortest distances from the left, then the path back."""
-        n = len(part)
+        """Tropical shortest distances from the left, then the path back; of equal paths the one whose last arc starts further left."""
+        n, arcs = len(part), self.arcs
         best: list[tuple[float, int, int]] = [(0.0, 0, -1)] + [(float("inf"), 0, -1)] * n
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = self.arcs.get(part[i:j])
-                if piece is not None and best[i][0] + self.cost[piece] < best[j][0]:
-                    best[j] = (best[i][0] + self.cost[piece], i, piece)
+            for j in range(i + 1, min(n, max(i + self.longest, i + 1)) + 1):
+                piece = arcs.get(part[i:j])
+                if piece is not None:
+                    cost = best[i][0] + self.cost[piece]
+                elif j == i + 1:
+                    piece, cost = -1, best[i][0] + self.unknown_cost
+                else:
+                    continue
+                if cost < best[j][0]:
+                    best[j] = (cost, i, piece)
         out, at = [], n
         while at:
-            out.append(best[at][2])
-            at = best[at][1]
+            _, start, piece = best[at]
+            if piece >= 0:
+                out.append(piece)
+            elif self.byte_ids:
+                out += [self.byte_ids[b] for b in reversed(part[start].encode("utf-8", "surrogatepass"))]
+            else:
+                out.append(self.unknown)
+            at = start
         return out[::-1]
 
     def _only_path(self, part: str) -> list[int]:
@@ -274,6 +293,12 @@ def compile_model(data: bytes) -> Machine:
     )
     if kind == BPE:
         _derive(machine)
+    else:
+        normal = [c for c, t in zip(cost, types) if t == NORMAL]
+        machine.unknown_cost = max(normal, default=0.0) + UNKNOWN_PENALTY
+        for i, (name, t) in enumerate(zip(names, types)):
+            if t == USER_DEFINED:
+                cost[i] = len(name.encode()) * min([0.0, *normal]) + 0.1
     return machine
 
 

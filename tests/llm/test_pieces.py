@@ -84,6 +84,32 @@ def test_unigram_takes_the_cheapest_path():
     assert list(machine.encode("aXb")).count(machine.unknown) == 1
 
 
+@pytest.mark.parametrize("with_bytes", [False, True])
+def test_unigram_ids_of_the_library(with_bytes):
+    rng = random.Random(11)
+    compared = 0
+    for _ in range(60):
+        names = {"▁"} if rng.random() < 0.8 else set()
+        while len(names) < 25:
+            name = "".join(rng.choices("abcdxé漢", k=rng.choice([1, 1, 2, 2, 3, 4])))
+            names.add("▁" + name if rng.random() < 0.3 else name)
+        vocabulary = [(n, -rng.uniform(1, 12), 4 if n[0] != "▁" and rng.random() < 0.08 else 1) for n in sorted(names)]
+        vocabulary += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if with_bytes else []
+        data = small_model(vocabulary, pieces.UNIGRAM) + (_message(2, 2, _message(35, 0, 1)) if with_bytes else b"")
+        library, machine = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.compile_model(data)
+        for _ in range(60):
+            text = "".join(rng.choices("abcdxyQé漢🙂 ", k=rng.randrange(0, 30)))
+            assert list(machine.encode(text)) == library.encode(text), (text, vocabulary)
+            compared += 1
+    assert compared == 3600
+
+
+def test_probed_unigram_texts():
+    machine = pieces.compile_model(small_model([("▁", -1.0, 1), ("a", -1.0, 1), ("b", -1.0, 1), ("ab", -9.0, 1), ("xy", -2.0, 1)], pieces.UNIGRAM))
+    assert [machine.names[i] for i in machine.encode("axy")] == ["▁", "a", "xy"]
+    assert [machine.names[i] for i in machine.encode("aQQb")] == ["▁", "a", "<unk>", "b"]
+
+
 def test_query(spark, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = QUERIES["op4_sentencepiece"](spark, SF).collect()
