@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from catalogspark.llm.common import text_or_empty
+from catalogspark.session import materialize
 
 #: The ring has this many positions, and the lookup table one row for each of its equal cells.
 RING, CELLS = 1 << 40, 1 << 13
@@ -59,6 +60,15 @@ def plan_loads(nodes: list[tuple[int, int]], loads: list[int], capacity: list[in
     return pieces
 
 
+def in_ranges(placed: DataFrame, order: list[str]) -> DataFrame:
+    """`placed`, stored in ranges `part` of its order (arc, *order); `turn` parts equal rows, so that no range is bound to hold a hot key.
+
+    Both steps are stored: a task that is repeated must meet the rows, their turns and the borders of the ranges as they were.
+    """
+    turned = materialize(placed.withColumn("turn", F.monotonically_increasing_id()), "ring-places")
+    return materialize(turned.repartitionByRange("arc", *order, "turn").withColumn("part", F.spark_partition_id()), "ring-ranges")
+
+
 def place_on_ring(
     docs: DataFrame, key: Column, tie_break: list[str], *, shards: int = 8, nodes_per_shard: int = 512, slack: float = 0.0
 ) -> DataFrame:
@@ -66,11 +76,11 @@ def place_on_ring(
 
     A key belongs to the first virtual node at or after its position. No shard takes more than
     (1 + slack) * rows / shards rows; with no slack the counts differ by one at most. Keys beyond that
-    continue clockwise. Only counts per arc, whose number the ring fixes, reach the driver. Each arc is
-    numbered by a task of its own, so raise `nodes_per_shard` with the number of rows.
+    continue clockwise. Only counts per arc, whose number the ring fixes, reach the driver. An arc is numbered
+    in stored ranges, each from where the arc's earlier ranges end, so the rows of one position may fill many tasks.
 
     Rows with one key share a position and are ordered by `tie_break`; equal rows are interchangeable. An empty
-    table gives an empty one. `docs` must not have columns named cell, place, arc, rank or like the results.
+    table gives an empty one. `docs` must not have columns named cell, place, arc, turn, part, before, rank or like the results.
     """
     spark = docs.sparkSession
     nodes = virtual_nodes(shards, nodes_per_shard)
@@ -79,9 +89,11 @@ def place_on_ring(
     at_or_after = F.filter("inside", lambda n: n.place >= F.col("place"))
     arc = F.coalesce(F.get(at_or_after, F.lit(0))["arc"], F.col("after"))
     placed = placed.withColumn("arc", arc).drop("cell", "inside", "after")
+    placed = in_ranges(placed, ["place", *tie_break])
+    chunks = placed.groupBy("arc", "part").agg(F.count(F.lit(1)).alias("n"))
     loads = [0] * len(nodes)
-    for row in placed.groupBy("arc").count().collect():
-        loads[row["arc"]] = row["count"]
+    for row in chunks.groupBy("arc").agg(F.sum("n").alias("n")).collect():
+        loads[row["arc"]] = row["n"]
     total = sum(loads)
     if slack:
         capacity = [-(-int(total * (1 + slack)) // shards)] * shards
@@ -90,12 +102,14 @@ def place_on_ring(
     pieces = plan_loads(nodes, loads, capacity)
     plan = spark.createDataFrame(pieces, "arc int, start long, end long, shard int, base long")
     owners = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(nodes)], "arc int, home_shard int")
-    order = Window.partitionBy("arc").orderBy("place", *tie_break)
-    ranked = placed.withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    earlier = F.sum("n").over(Window.partitionBy("arc").orderBy("part")) - F.col("n")
+    inside = F.row_number().over(Window.partitionBy("arc", "part").orderBy("place", *tie_break, "turn"))
+    ranked = placed.withColumn("rank", inside.cast("long") - 1).join(chunks.select("arc", "part", earlier.alias("before")), ["arc", "part"])
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("rank"))
     ranked = ranked.join(F.broadcast(plan.join(owners, "arc")), "arc")
     ranked = ranked.where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end")))
     slot = F.col("base") + F.col("rank") - F.col("start")
-    return ranked.withColumn("slot", slot).drop("place", "arc", "rank", "start", "end", "base")
+    return ranked.withColumn("slot", slot).drop("place", "arc", "turn", "part", "before", "rank", "start", "end", "base")
 
 
 def shard_documents(docs: DataFrame, *, shards: int = 8, nodes_per_shard: int = 512) -> DataFrame:
