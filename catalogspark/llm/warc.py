@@ -22,6 +22,8 @@ from catalogspark.session import materialize, new_dir
 #: Fixed values of the seekable Zstandard format: the skippable frame that holds the seek table, and its footer.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 LEAST_SHARED_BYTES = 100
+#: Stored bytes that one task reads back; they unpack to some times as many, a frame at a time.
+READ_BYTES = 1 << 27
 INDEX = "record_id string, bundle string, frame int, frame_start long, frame_bytes long, offset long, length long"
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload binary"
 
@@ -173,16 +175,28 @@ def write_bundles(pages: DataFrame, path: str, *, frame_bytes: int = 1 << 18, bu
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archive, a task per share of the bundles; frames are found by the seek tables and read one at a time."""
-    bundles = spark.read.parquet(f"{path}/index").select("bundle").distinct()
-    bundles = bundles.repartition(max(1, bundles.count()), "bundle")
+    """Every record of the archive. The seek tables give the frames, which are dealt by bundle and place to tasks of about `READ_BYTES`.
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    So a task reads neighbouring frames, one at a time, and neither few nor unequal bundles decide how many tasks share the work.
+    """
+    index = spark.read.parquet(f"{path}/index")
+    stored = index.select("bundle", "frame_start", "frame_bytes").distinct().agg(F.sum("frame_bytes")).first()[0] or 0
+    shares = max(spark.sparkContext.defaultParallelism, -(-stored // READ_BYTES))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = filesystem(path)
         for batch in batches:
             for name in batch["bundle"]:
                 with fs.open_input_file(f"{root}/{name}") as file:
-                    for start, n in seek_table(file, file.size()):
+                    found = [(name, start, n) for start, n in seek_table(file, file.size())]
+                yield pd.DataFrame(found, columns=["bundle", "start", "n"])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = filesystem(path)
+        for batch in batches:
+            for name, frames in batch.sort_values("start").groupby("bundle"):
+                with fs.open_input_file(f"{root}/{name}") as file:
+                    for start, n in zip(frames["start"], frames["n"]):
                         file.seek(start)
                         data = zstandard.ZstdDecompressor().decompress(file.read(n))
                         at, rows = 0, []
@@ -191,7 +205,8 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
                             rows.append(_row(fields, payload))
                         yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
 
-    return bundles.mapInPandas(read, RECORD)
+    frames = index.select("bundle").distinct().mapInPandas(find, "bundle string, start long, n long")
+    return frames.repartitionByRange(shares, "bundle", "start").mapInPandas(read, RECORD)
 
 
 def fetch_records(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
