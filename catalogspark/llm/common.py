@@ -20,8 +20,10 @@ def text_or_empty(column: str = "text") -> Column:
 
 def words(text: Column) -> Column:
     """The runs of non-space characters, in order; none for an empty text."""
-    trimmed = F.btrim(text, F.lit(SPACE))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
+    for c in SPACE[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    # one character as separator is split without a regular expression
+    return F.array_remove(F.split(text, " "), "")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -92,13 +92,13 @@ def _pair(w: str, i: Column) -> Column:
 
 
 def _bucket_counts(docs: DataFrame, buckets: int) -> dict[int, int]:
-    """How many words, and pairs of neighbours, fall into each bucket."""
-    hashed = once(docs.select(text_or_empty().alias("text")), [], w=_word_hashes(_folded("text")))
-    single = F.transform("w", lambda h: _bucket(h, buckets))
-    double = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: _bucket(_pair("w", i), buckets))
-    both = F.when(F.size("w") > 1, F.concat(single, double)).otherwise(single)
-    counted = hashed.select(F.explode(both).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    return {row["bucket"]: row["n"] for row in counted.collect()}
+    """How many words, and pairs of neighbours, fall into each bucket. Words meet the next one in rows, so that hashing them is compiled."""
+    split = once(docs.select(text_or_empty().alias("text")), [], w=words(_folded("text")))
+    following = F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0)))
+    rows = split.select(F.explode(F.arrays_zip(F.col("w").alias("word"), following.alias("next"))).alias("z"))
+    pair = F.when(F.col("z.next").isNotNull(), _bucket(F.xxhash64(F.xxhash64("z.word"), F.xxhash64("z.next")), buckets))
+    both = rows.select(F.explode(F.array(_bucket(F.xxhash64("z.word"), buckets), pair)).alias("bucket")).where("bucket IS NOT NULL")
+    return {row["bucket"]: row["n"] for row in both.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 @contextmanager
