@@ -72,6 +72,37 @@ def test_shards_of_odd_rows(spark):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_position_fill_many_ranges(spark):
+    docs = documents(spark, ["same"] * 20_000 + ["x", "y"], [None] * 20_000 + [1, 2]).repartition(8)
+    got = sharding.shard_documents(docs)
+    counts = Counter(r.shard for r in got.select("shard").collect())
+    assert sorted(counts.values()) == [2500] * 6 + [2501] * 2
+    slots = got.groupBy("shard").agg(F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("n")).collect()
+    assert all((r.low, r.high + 1) == (0, r.n) for r in slots)
+    placed = docs.select("doc_id", F.lit(3).alias("arc"), F.lit(9).cast("long").alias("place"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = [r["count"] for r in sharding.in_ranges(placed, ["place", "doc_id"]).groupBy("part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == 8 and max(parts) < 2 * 20_002 / 8
+
+
+def test_ranks_follow_the_ring_order(spark):
+    """Ranks of the ranges equal one numbering of the whole arc, in plain Python."""
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(rng.randrange(1 << 41), i % 7) for i in range(3000)], "k long, tie int")
+    got = sharding.place_on_ring(docs, F.col("k"), ["tie", "k"], shards=3, nodes_per_shard=2).collect()
+    nodes = sharding.virtual_nodes(3, 2)
+    arcs = [[] for _ in nodes]
+    for r in got:
+        place = r.k % sharding.RING
+        arcs[next((i for i, (p, _) in enumerate(nodes) if p >= place), 0)].append((place, r.tie, r.k, r.shard, r.slot))
+    pieces = sharding.plan_loads(nodes, [len(a) for a in arcs], [1000] * 3)
+    want = {(a, start + i): (shard, base + i) for a, start, end, shard, base in pieces for i in range(end - start)}
+    assert all(row[3:] == want[a, rank] for a, rows in enumerate(arcs) for rank, row in enumerate(sorted(rows)))
+
+
 def base_counts(text):
     text = text or ""
     w = WORD.findall(text)
@@ -244,3 +275,17 @@ def test_archived_pages(spark, pages, tmp_path):
         assert (r.payload_bytes, r.payload_digest) == (len(html[r.page_id]), hashlib.sha256(html[r.page_id]).hexdigest())
         assert (r.record_type, r.refers_to) == (("response", None) if first == r.page_id else ("revisit", first))
     assert warc.archived_pages(pages.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
+def test_pages_that_share_an_id(spark, tmp_path):
+    rows = [(1, "a", "x" * 200), (1, "b", "x" * 200), (1, "c", "y" * 150), (2, "d", "x" * 200), (3, "e", "y" * 150), (3, "f", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived_pages(pages, f"file://{tmp_path}/archive").collect())
+    assert got == [(1, 150, "response", None), (1, 200, "response", None), (1, 200, "response", None), (2, 200, "revisit", 1), (3, 1, "response", None), (3, 150, "revisit", 1)]
+
+
+def test_frames_are_dealt_to_many_tasks(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 600) for i in range(400)], "page_id long, url string, html string").coalesce(1)
+    warc.write_bundles(pages, f"file://{tmp_path}/archive", frame_bytes=2000)
+    read = warc.read_bundles(spark, f"file://{tmp_path}/archive").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in read) == 400 and len(read) == 8 and max(r["count"] for r in read) < 150
