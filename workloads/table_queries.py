@@ -424,35 +424,34 @@ def stored_products(spark, sf_dir):
 
 _EXPORT_COLUMNS = f"""'' || l_partkey AS sku, 'Part ' || l_partkey AS name, '{BASE}/product/p-' || l_partkey AS product_url,
   printf('%.2f', l_extendedprice) AS price, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S+00:00') AS extracted_at,
-  method AS extraction_method, 's-' || l_suppkey AS source_category"""
+  method AS extraction_method, 's-' || l_suppkey AS source_category, '' AS category_path, 'USD' AS currency, 'InStock' AS availability,
+  '' AS description, CASE WHEN l_quantity % 2 = 0 THEN 'x' ELSE '' END AS alternative_products"""
 
 
-@query(f"""SELECT {_EXPORT_COLUMNS}, CASE WHEN l_discount > 0.05 THEN 'Brand' END AS brand, CASE WHEN l_tax > 0.04 THEN '10/box' END AS pack_size,
+@query(f"""SELECT {_EXPORT_COLUMNS}, CAST(NULL AS VARCHAR) AS item_numbers, CAST(NULL AS VARCHAR) AS mfr_numbers, CASE WHEN l_discount > 0.05 THEN 'Brand' END AS brand, CASE WHEN l_tax > 0.04 THEN '10/box' END AS pack_size,
   CASE WHEN l_quantity > 25 THEN 'k=v' ELSE '' END AS specifications, CASE WHEN l_linenumber > 4 THEN 'x|y' ELSE 'x' END AS image_urls
 FROM {EXPORTED} WHERE rn = 1""")
 def exported_json(spark, sf_dir):
     """Products written as JSON Lines and read back."""
     path = new_dir(spark, "export")
     export.export_json(stored_products(spark, sf_dir), path)
-    schema = ("sku string, name string, product_url string, price string, extracted_at string, extraction_method string, "
-              "source_category string, brand string, pack_size string, specifications map<string,string>, image_urls array<string>")
-    lines = spark.read.schema(schema).json(path)
+    lists = ("item_numbers", "mfr_numbers", "category_path", "image_urls", "alternative_products")
+    kinds = {"specifications": "map<string,string>"} | dict.fromkeys(lists, "array<string>")
+    lines = spark.read.schema(", ".join(f"{c} {kinds.get(c, 'string')}" for c in export.EXPORT_COLUMNS)).json(path)
     pairs = F.transform(F.map_entries("specifications"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return lines.withColumn("specifications", F.coalesce(F.array_join(pairs, "|"), F.lit(""))).withColumn(
-        "image_urls", joined(F.col("image_urls"))
-    )
+    flat = {c: F.array_join(c, "|") for c in lists} | {"specifications": F.coalesce(F.array_join(pairs, "|"), F.lit(""))}
+    return lines.withColumns(flat)
 
 
-@query(f"""SELECT {_EXPORT_COLUMNS}, CASE WHEN l_discount > 0.05 THEN 'Brand' ELSE '' END AS brand,
-  CASE WHEN l_quantity > 25 THEN '{{"k":"v"}}' ELSE '' END AS specifications_json, CASE WHEN l_linenumber > 4 THEN 'x|y' ELSE 'x' END AS image_urls
+@query(f"""SELECT {_EXPORT_COLUMNS}, '' AS item_numbers, '' AS mfr_numbers, CASE WHEN l_discount > 0.05 THEN 'Brand' ELSE '' END AS brand,
+  CASE WHEN l_tax > 0.04 THEN '10/box' ELSE '' END AS pack_size, CASE WHEN l_quantity > 25 THEN '{{"k":"v"}}' ELSE '' END AS specifications_json, CASE WHEN l_linenumber > 4 THEN 'x|y' ELSE 'x' END AS image_urls
 FROM {EXPORTED} WHERE rn = 1""")
 def exported_csv(spark, sf_dir):
     """Products written as CSV and read back."""
     out = new_dir(spark, "export")
     export.export(stored_products(spark, sf_dir), out, "csv")
     rows = spark.read.options(header="true", escape='"', multiLine="true").csv(f"{out}/products.csv").fillna("")
-    return rows.select("sku", "name", "product_url", "price", "extracted_at", "extraction_method", "source_category", "brand",
-                       "specifications_json", "image_urls")
+    return rows.select(*[export.CSV_NAMES.get(c, c) for c in export.EXPORT_COLUMNS])
 
 
 # --- 2.3 frontier ------------------------------------------------------------------------------------
