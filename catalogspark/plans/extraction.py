@@ -59,32 +59,48 @@ def missing_error(missing: Column, after_fallback: bool) -> Column:
     return F.concat(F.lit(f"required fields missing {when} LLM fallback: ["), quoted, F.lit("]"))
 
 
-def extract_partial(pages: DataFrame) -> DataFrame:
-    """Replace ``html`` by ``partial`` (what the page says), ``method`` and ``missing``.
-
-    JSON-LD comes first and markup adds to it. Variant data decides the brand and otherwise fills
-    gaps, and the pack size may come from the description or the name. Pages without ``html`` get a
-    partial record of NULLs. All other columns are kept.
-    """
+def _read_blocks(pages: DataFrame) -> DataFrame:
     keys = [c for c in pages.columns if c != "html"]
     html = F.col("html")
-    read = pages.select(
+    return pages.select(
         *keys,
         jsonld_entities(html).alias("_entities"),
         master_data_text(html).alias("_variants_text"),
         markup_candidate(html).alias("_markup"),
     )
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """``pages`` with the parsed blocks of each page in place of ``html``.
+
+    They are ``_entities`` (its JSON-LD), ``_variants_text`` (the literal with variant data) and ``_dom`` (the fields of its markup). Whoever
+    stores them can extract again under other rules without the HTML. Pages without ``html`` have NULL blocks.
+    """
+    return _read_blocks(pages).withColumn("_dom", dom_enrichments(F.col("_markup"))).drop("_markup")
+
+
+def extract_partial(pages: DataFrame) -> DataFrame:
+    """Replace ``html`` by ``partial`` (what the page says), ``method`` and ``missing``.
+
+    JSON-LD comes first and markup adds to it. Variant data decides the brand and otherwise fills
+    gaps, and the pack size may come from the description or the name. Pages without ``html`` get a
+    partial record of NULLs. All other columns are kept.
+    """
+    return _partial(_read_blocks(pages), dom_enrichments(F.col("_markup")))
+
+
+def partial_of_blocks(blocks: DataFrame) -> DataFrame:
+    """``extract_partial`` from parsed blocks, as ``page_blocks`` gives them or as they were stored."""
+    return _partial(blocks, F.col("_dom"))
+
+
+def _partial(blocks: DataFrame, dom: Column) -> DataFrame:
+    keys = [c for c in blocks.columns if c not in ("_entities", "_variants_text", "_markup", "_dom")]
     # Projections that several columns build on are kept apart by the optimizer, so the blocks of a
     # page are parsed once.
-    facts = read.select("*", crumb_names(F.col("_entities")).alias("_crumbs"))
+    facts = blocks.select("*", crumb_names(F.col("_entities")).alias("_crumbs"))
     products = with_master_data(with_product_jsonld(facts, "_entities", "_fields"), "_variants_text", "_master")
-    products = products.select(
-        *keys,
-        "_fields",
-        "_master",
-        dom_enrichments(F.col("_markup")).alias("_dom"),
-        inner_crumbs(F.col("_crumbs")).alias("_path"),
-    )
+    products = products.select(*keys, "_fields", "_master", dom.alias("_dom"), inner_crumbs(F.col("_crumbs")).alias("_path"))
     fields, dom, master = F.col("_fields"), F.col("_dom"), F.col("_master")
     merged = {name: fields[name] for name in PARTIAL_FIELDS if name not in _ADDED}
     merged |= {

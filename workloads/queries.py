@@ -15,7 +15,7 @@ from catalogspark.functions.ranking import completeness_of_product, dedupe_key,
 from catalogspark.functions.text import clean_description, normalize_availability, pack_size, parse_price, strip
 from catalogspark.plans import cascade, extraction
 from catalogspark.session import configure, new_dir
-from catalogspark.sources import answers, export, pages
+from catalogspark.sources import answers, export, pages, parsed
 from workloads import inputs
 from workloads.inputs import SITE, run_at, table
 
@@ -239,6 +239,15 @@ def extract_partial(spark, sf_dir):
     return read.select("position", *partial_columns(), "method", joined(F.col("missing")).alias("missing"))
 
 
+@query(f"SELECT p_partkey AS position, {PARTIAL_NAMES}, method, missing FROM ({STATIC})")
+def extract_stored_blocks(spark, sf_dir):
+    """Extraction from blocks that were parsed and stored before."""
+    path = new_dir(spark, "blocks")
+    parsed.store_blocks(static_pages(spark, sf_dir), path)
+    read = extraction.partial_of_blocks(parsed.read_blocks(spark, path))
+    return read.select("position", *partial_columns(), "method", joined(F.col("missing")).alias("missing"))
+
+
 RECORD_NAMES = ("sku, item_numbers, mfr_numbers, name, product_url, category_path, brand, price_text, currency, availability, "
                 "pack_size, description, specifications, image_urls, alternative_products")
 
