@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from catalogspark.functions.jsonld import jsonld_entities, with_product_jsonld
 from catalogspark.operators.dedupe import dedupe_products
 from catalogspark.operators.ordering import first_n, first_seen, latest_by_key
 from catalogspark.plans.cascade import fallback_requests, read_static, resolve_tiers
@@ -107,3 +108,11 @@ def test_a_small_batch_leaves_the_store_unshuffled(spark, part, tmp_path):
     text = plan(upsert_products(existing, batch, "seq"))
     assert "BroadcastHashJoin" in text and "LeftAnti" in text
     assert text.count("Exchange hashpartitioning") == 1  # the batch's own
+
+
+def test_filter_on_products_reads_pages_once(spark):
+    """A filter on the product goes below no shuffle with the parsing of the page."""
+    built = inputs.product_pages(inputs.parts(spark, SF)).select("position", jsonld_entities(F.col("html")).alias("e"))
+    text = plan(with_product_jsonld(built, "e", "p").where("p IS NOT NULL"))
+    assert text.count("application/ld\\+json") == 1
+    assert text.index("application/ld\\+json") < text.index("Exchange")
