@@ -254,3 +254,12 @@ def test_small_and_large_limits_agree(spark):
             assert got == {k: v[:n] for k, v in want.items()}
     finally:
         spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
+def test_queries_bound_what_a_task_sorts(spark):
+    """A split that rows are picked from is sorted in memory, however wide the rows are made."""
+    from __spark_entry__ import queries
+
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert queries()["bulk_upsert_count"](spark, "/root/testdata/sf0.001").count() == 1
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
