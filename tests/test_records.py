@@ -263,3 +263,12 @@ def test_queries_bound_what_a_task_sorts(spark):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert queries()["bulk_upsert_count"](spark, "/root/testdata/sf0.001").count() == 1
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
+
+
+def test_queries_bound_batches_for_python(spark):
+    """A worker holds a batch of texts several times over."""
+    from __spark_entry__ import queries
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert queries()["description_cleanup"](spark, "/root/testdata/sf0.001").count() > 0
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
