@@ -78,3 +78,14 @@ def test_last_writes_of_interleaved_writers(spark, tmp_path):
     assert run([("x", 0), ("y", 5)], [("x", 1), ("z", None)]) == {"x": "b1", "y": "a5", "z": "bNone"}
     assert run([("x", 2)], [("y", 3)]) == {"x": "a2", "y": "a5", "z": "bNone"}  # y's late row does not undo the later one
     assert run([("z", 0)], [("x", 1)]) == {"x": "a2", "y": "a5", "z": "a0"}
+
+
+def test_arrivals_are_built_by_all_tasks(spark):
+    """Rows that come as files are written by as many tasks as hold them."""
+    from pyspark.sql import functions as F
+
+    from workloads.table_queries import _in_files
+
+    rows = spark.range(0, 80, 1, 8).select("id", F.col("id").cast("timestamp").alias("at"))
+    _, path = _in_files(spark, rows, 2, F.col("id") % 2)
+    assert len(spark.read.parquet(f"{path}/0").inputFiles()) == 8
