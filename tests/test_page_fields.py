@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalogspark.functions.inline import master_data_text, with_master_data
-from catalogspark.functions.markup import dom_enrichments, markup_candidate, read_fields
+from catalogspark.functions.markup import _FieldReader, _fields_of, dom_enrichments, markup_candidate, read_fields
 
 
 @pytest.fixture
@@ -86,3 +86,31 @@ def test_only_pages_with_a_hint_reach_python(spark):
     rows = df.select("i", markup_candidate(F.col("html")).alias("c")).select("i", "c", dom_enrichments(F.col("c")).alias("d"))
     found = {r.i: (r.c is not None, r.d and r.d.specifications) for r in rows.collect()}
     assert found == {0: (True, {"a": "b"}), 1: (False, None), 2: (False, None), 3: (False, None)}
+
+
+PLAIN = (
+    '<!DOCTYPE html><div class="product-pack-size"> <b>5</b>/tray</div>',
+    "<TABLE class='data table'><tr><th>a &amp; b<td>1<tr><th>c</th><td>2<br/>3</td></table>",
+    '<ul class="product-items"><li><a class="product-item-link x" href="/product/1">x</a><li><a href="/product/2">y</a></ul>',
+    '<script>if (a < b) { x = "</b>"; }</script><style>a>b{}</style><!-- c --><p data-pack-size>2/box</p>',
+    '<title>t</title><div class="upsell-products"><a href="/product/1" href=\'/product/2\' />z</div><a href="/product/3">',
+)
+OTHER = (
+    '<p data-pack-size=x>1/box</p>',
+    '<div class="related-products"><a href="/product/1?a=1&amp;b=2">x</a></div>',
+    '<div class="product-pack-size">1 < 2</div>',
+    '<script>a<!-- b --></script><p data-pack-size>1</p>',
+    '<p class="a"class="product-pack-size">1</p>',
+    '<textarea><p data-pack-size>1</p></textarea>',
+    '<td data-pack-size>1<script>unclosed',
+)
+
+
+@pytest.mark.parametrize("page", PLAIN + OTHER)
+def test_plain_markup_is_read_as_the_parser_reads_it(page):
+    parser = _FieldReader()
+    assert parser.feed_plain(page) == (page in PLAIN)
+    parser = _FieldReader()
+    parser.feed(page)
+    parser.close()
+    assert read_fields(page) == _fields_of(parser)

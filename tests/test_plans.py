@@ -5,7 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from catalogspark.functions.jsonld import jsonld_entities, with_product_jsonld
+from catalogspark.functions.inline import with_master_data
+from catalogspark.functions.jsonld import jsonld_blocks, jsonld_entities, with_product_jsonld
+from catalogspark.operators.discovery import canonical_product_urls
 from catalogspark.operators.dedupe import dedupe_products
 from catalogspark.operators.ordering import first_n, first_seen, latest_by_key
 from catalogspark.plans.cascade import fallback_requests, read_static, resolve_tiers
@@ -116,3 +118,18 @@ def test_filter_on_products_reads_pages_once(spark):
     text = plan(with_product_jsonld(built, "e", "p").where("p IS NOT NULL"))
     assert text.count("application/ld\\+json") == 1
     assert text.index("application/ld\\+json") < text.index("Exchange")
+
+
+def test_variant_data_is_parsed_once(spark, pages):
+    """The literal and its object are each parsed in one place, however often the functions above mention them."""
+    text = plan(with_master_data(pages.select("url", F.col("html").alias("t")), "t", "m"))
+    assert text.count("from_json(") == 2
+
+
+def test_blocks_are_parsed_once(pages):
+    assert plan(pages.select(jsonld_blocks(F.col("html")))).count("parseJson") == 1
+
+
+def test_links_are_stripped_once(spark):
+    hits = inputs.listing_hits(inputs.table(spark, SF, "lineitem"))
+    assert plan(canonical_product_urls(hits, keys=("category", "url"), order=inputs.SEEN)).count("trim(") <= 3
