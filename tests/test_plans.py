@@ -10,9 +10,10 @@ from catalogspark.functions.jsonld import jsonld_blocks, jsonld_entities, with_p
 from catalogspark.operators.discovery import canonical_product_urls
 from catalogspark.operators.dedupe import dedupe_products
 from catalogspark.operators.ordering import first_n, first_seen, latest_by_key
-from catalogspark.plans.cascade import fallback_requests, read_static, resolve_tiers
+from catalogspark.plans.cascade import fallback_requests, read_static, resolve_tiers, with_copy_key
+from catalogspark.plans.catalog_job import with_place
 from catalogspark.plans.extraction import extract_partial
-from catalogspark.session import new_dir
+from catalogspark.session import BROADCAST_ESTIMATE, bound_broadcasts, new_dir
 from catalogspark.sources.listings import readable_pages
 from catalogspark.sources.store import upsert_products
 from workloads import inputs
@@ -133,3 +134,38 @@ def test_blocks_are_parsed_once(pages):
 def test_links_are_stripped_once(spark):
     hits = inputs.listing_hits(inputs.table(spark, SF, "lineitem"))
     assert plan(canonical_product_urls(hits, keys=("category", "url"), order=inputs.SEEN)).count("trim(") <= 3
+
+
+@pytest.fixture
+def thresholds(spark):
+    """The thresholds of broadcasts, by estimate and by measure, as the session has them by default; put back afterwards."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name in names:
+        spark.conf.unset(name)
+    yield names
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_records_of_pages_are_not_broadcast(spark, part, pages, tmp_path, thresholds):
+    """Their estimated size is so far below the true one that any threshold would let them through."""
+    static = stored(spark, read_static(pages), tmp_path / "static")
+    rendered = stored(spark, inputs.rendered_pages(part), tmp_path / "rendered")
+    answers = stored(spark, inputs.fallback_replies(part), tmp_path / "answers")
+    later = plan(resolve_tiers(static, rendered, answers))
+    assert later.count("SortMergeJoin") == 2 and not re.search("BroadcastHashJoin.*LeftOuter", later)
+    work = stored(spark, pages.select("url", "position"), tmp_path / "work")
+    first = plan(with_place(read_static(with_copy_key(pages, "url", "html", "fetch_error")), work))
+    assert "SortMergeJoin" in first and "Broadcast" not in first
+    assert first.count("Exchange hashpartitioning") == 2  # the picks and the join share one
+
+
+def test_estimates_have_a_lower_threshold_for_broadcasts(spark, thresholds):
+    estimated, measured = thresholds
+    for _ in range(2):
+        bound_broadcasts(spark)
+        assert (spark.conf.get(estimated), spark.conf.get(measured)) == (str(BROADCAST_ESTIMATE), "10485760b")
+    spark.conf.set(estimated, "-1")
+    bound_broadcasts(spark)
+    assert spark.conf.get(estimated) == "-1"
