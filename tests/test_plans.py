@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from catalogspark.functions.inline import with_master_data
 from catalogspark.functions.jsonld import jsonld_blocks, jsonld_entities, with_product_jsonld
 from catalogspark.operators.discovery import canonical_product_urls
@@ -169,3 +170,20 @@ def test_estimates_have_a_lower_threshold_for_broadcasts(spark, thresholds):
     spark.conf.set(estimated, "-1")
     bound_broadcasts(spark)
     assert spark.conf.get(estimated) == "-1"
+
+
+def executions(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {found.apply(i).executionId(): found.apply(i).physicalPlanDescription() for i in range(found.size())}
+
+
+@pytest.mark.parametrize("name", ["catalog_run_states", "catalog_run_from_landing_page"])
+def test_no_step_of_a_run_broadcasts_records(spark, thresholds, name):
+    """Lists of keys may be broadcast if they are short, what was extracted from pages never is."""
+    before = executions(spark)
+    queries()[name](spark, SF).collect()
+    plans = [text for number, text in executions(spark).items() if number not in before]
+    sent = [columns for text in plans for columns in re.findall(r"\) BroadcastExchange\nInput \[\d+\]: \[(.*?)\]\n", text)]
+    assert len(plans) > 4 and sent
+    assert not [columns for columns in sent if re.search(r"\b(r_partial|partial|answer)#", columns)]
