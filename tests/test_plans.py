@@ -172,6 +172,11 @@ def test_estimates_have_a_lower_threshold_for_broadcasts(spark, thresholds):
     assert spark.conf.get(estimated) == "-1"
 
 
+def test_records_of_all_pages_are_merged_with_answers(spark, thresholds):
+    text = plan(queries()["merge_fallback"](spark, SF))
+    assert text.count("SortMergeJoin") == 1 and "Broadcast" not in text
+
+
 def executions(spark):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     found = spark._jsparkSession.sharedState().statusStore().executionsList()
