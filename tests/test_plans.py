@@ -183,7 +183,7 @@ def executions(spark):
     return {found.apply(i).executionId(): found.apply(i).physicalPlanDescription() for i in range(found.size())}
 
 
-@pytest.mark.parametrize("name", ["catalog_run_states", "catalog_run_from_landing_page", "catalog_run_products", "catalog_run_stats"])
+@pytest.mark.parametrize("name", ["catalog_run_states", "catalog_run_from_landing_page", "catalog_run_products", "catalog_run_stats", "published_run"])
 def test_no_step_of_a_run_broadcasts_records(spark, thresholds, name):
     """Lists of keys may be broadcast if they are short, what was extracted from pages never is."""
     before = executions(spark)
